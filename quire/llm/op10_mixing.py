@@ -97,8 +97,8 @@ def split(goals: DataFrame, depth: int, seed: str = "mix") -> DataFrame:
         level = level.withColumn("total", total)
         state = F.struct(F.floor(F.col("total") / 2).cast("long").alias("drawn"), F.col("total").alias("total"), F.array().cast("array<bigint>").alias("out"))
 
-        def colour(a: Column, x: Column, k: int = k) -> Column:
-            got = _drawn(x, a["drawn"], a["total"], F.lit(seed), F.lit(k), F.col("node"), F.size(a["out"]))
+        def colour(a: Column, x: Column) -> Column:
+            got = _drawn(x, a["drawn"], a["total"], F.lit(seed), F.lit(k), F.col("node"), F.size(a["out"]))  # noqa: B023
             return F.transform(F.array(got), lambda g: F.struct((a["drawn"] - g).alias("drawn"), (a["total"] - x).alias("total"), F.concat(a["out"], F.array(g)).alias("out")))[0]
 
         level = level.withColumn("left", F.aggregate("quotas", state, colour, lambda a: a["out"]))
