@@ -33,7 +33,7 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list
             at = 0
             while at < batch.num_rows:
                 n = min(size, batch.num_rows - at)
-                while n > 1 and batch.slice(at, n).get_total_buffer_size() > 0 and batch.slice(at, n).nbytes > text_bytes:
+                while n > 1 and batch.slice(at, n).nbytes > text_bytes:
                     n //= 2
                 part = batch.slice(at, n)
                 at += n

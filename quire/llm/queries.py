@@ -11,6 +11,9 @@ from quire.llm.common import table
 
 #: query -> (module, table)
 OPERATORS = {
+    "op3_pii": ("op3_pii", "documents"),
+    "op4_langid": ("op4_langid", "documents"),
+    "op8_toxicity": ("op8_toxicity", "documents"),
     "op10_mixing": ("op10_mixing", "documents"),
 }
 
