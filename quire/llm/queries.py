@@ -11,9 +11,15 @@ from quire.llm.common import table
 
 #: query -> (module, table)
 OPERATORS = {
+    "op1_html": ("op1_html", "pages"),
+    "op2_suffix": ("op2_suffix", "documents"),
     "op3_pii": ("op3_pii", "documents"),
     "op4_langid": ("op4_langid", "documents"),
+    "op5_packing": ("op5_packing", "documents"),
+    "op6_jpeg": ("op6_jpeg", "documents"),
+    "op7_jaccard": ("op7_jaccard", "documents"),
     "op8_toxicity": ("op8_toxicity", "documents"),
+    "op9_quality": ("op9_quality", "documents"),
     "op10_mixing": ("op10_mixing", "documents"),
 }
 
