@@ -9,7 +9,8 @@ hangs below the class of its members' nearest ancestor. The class that occurs on
 The nested classes are the host's template; what lies between its tokens are slots. The main slot is the
 skeleton's article or main element, else the deepest element that holds most of the text that no mark (a navigation,
 footer, aside, form, advert, comments, ...) sets apart. Extraction takes the blocks in the main slot, leaves out marked
-parts inside it, and leaves out text that is itself a token of the skeleton (the same words once on every page).
+parts inside it. Where the slot was found by its text alone, blocks that are themselves tokens of the skeleton (the
+same words once on every page) are left out too; an article or main element is taken as it stands.
 
 Vectors cover all pages of a host, the template is a few rows a host, and pages are read twice.
 
@@ -235,7 +236,7 @@ def main_slot(pages: int, rows: list[tuple[str, int, int, int, int]]) -> tuple[s
             if p.startswith(best + "/") and 2 * inside(p) > inside(best):
                 best = p
         if inside(best):
-            return best, fixed
+            return best, []
     bodies = sorted((p for p in skeleton if steps(p)[-1].startswith("body")), key=len)
     if not bodies:
         return "", fixed

@@ -118,13 +118,13 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         hexed = re.fullmatch("[0-9a-fA-F]+", value) is not None
         digits = sum(c.isdigit() for c in value)
         votes = (
-            "y" if keyed else "n" if not re.search(r"(?i)(?:" + "|".join(KEYS) + r")\W{0,6}$", before) else "y",
+            "y" if keyed or re.search(r"(?i)(?:" + "|".join(KEYS) + r")\W{0,6}$", before) else "-",
             "y" if value.startswith(PREFIXES) else "-",
             "y" if hexed and len(value) >= 16 and digits else "-",
             "y" if classes >= 2 and digits >= 2 and len(value) >= 8 else "n" if not digits else "-",
             "y" if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[0-9A-Z ]{12,}", value) or "at)" in value.lower() or "at]" in value.lower() else "-",
             "n" if value.lower() in NO_VALUE else "-",
-            "y" if re.search(r"[=:]\s{0,2}[\"']?$", before) else "n",
+            "y" if re.search(r"[=:]\s{0,2}[\"']?$", before) else "-",
             "y" if before[-1:] in "\"'" and before else "-",
             "n" if value.isalpha() else "y" if digits else "-",
         )
@@ -136,11 +136,12 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: in
     """(posterior of each pattern, reliability of each labeler: how often its vote is right when it votes)."""
     votes = np.array([[{"y": 1, "n": 0, "-": 2}[v] for v in p] for p in patterns])
     good = np.clip((votes == 1).sum(1) / np.maximum(1, (votes != 2).sum(1)), 0.05, 0.95)  # majority vote
+    lean = 1 + 0.05 * counts.sum()  # so much of a prior has yes with the right class and no with the other
     for _ in range(rounds):
         logs = []
-        for w in (good * counts, (1 - good) * counts):
-            total = w.sum() + 3.0
-            logs.append(np.log((w.sum() + 1) / (counts.sum() + 2)) + sum(np.log(np.array([w[votes[:, j] == v].sum() + 1 for v in range(3)]) / total)[votes[:, j]] for j in range(votes.shape[1])))
+        for w, says in ((good * counts, 1), ((1 - good) * counts, 0)):
+            chance = lambda j: np.array([w[votes[:, j] == v].sum() + 1 + lean * (v == says) for v in range(3)]) / (w.sum() + 3 + lean)  # noqa: B023, E731
+            logs.append(np.log((w.sum() + 1) / (counts.sum() + 2)) + sum(np.log(chance(j)[votes[:, j]]) for j in range(votes.shape[1])))
         good = 1 / (1 + np.exp(np.clip(logs[1] - logs[0], -30, 30)))
     right = np.array([(((votes[:, j] == 1) * good + (votes[:, j] == 0) * (1 - good)) * counts).sum() / max(1e-9, ((votes[:, j] != 2) * counts).sum()) for j in range(votes.shape[1])])
     return good, right

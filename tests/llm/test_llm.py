@@ -86,7 +86,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script
 def test_html(spark):
     pages = [(i, f"https://h.example.org/p{i}", PAGE.format(i=i)) for i in range(6)] + [(90, None, None), (91, "x", ""), (92, "http://solo.example/", "<body><p>Only <p>this &lt;b&gt;</body>"), (92, "http://solo.example/", "plain < text")]
     got = {(r["page_id"], r["text"]) for r in op1_html.query(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
-    want = {(i, f"Title & {i}\n\nFirst bold and more {i}.\n\nSecond éé line {i}\n\none {i}\n\ntwo") for i in range(6)}
+    want = {(i, f"Title & {i}\n\nFirst bold and more {i}.\n\nSecond éé line {i}\n\none {i}\n\ntwo\n\nAlways here.") for i in range(6)}
     assert want | {(90, ""), (91, ""), (92, "Only\n\nthis <b>"), (92, "plain < text")} == got
 
 
@@ -165,7 +165,7 @@ def test_base_spans_against_the_patterns():
 
 
 def test_pii_adds_secrets_and_leaves_plain_text(spark):
-    secrets = ['token = "%s" then' % hashlib.sha1(b"%d" % i).hexdigest() for i in range(30)] + ["password=%s end" % hashlib.md5(b"%d" % i).hexdigest()[:18] for i in range(30)] + ["key AKIA6FZM54CNMW7HB%dEU x" % i for i in range(10, 30)]
+    secrets = ['token = "%s" then' % hashlib.sha1(b"%d" % i).hexdigest() for i in range(30)] + ["password=%s end" % hashlib.md5(b"%d" % i).hexdigest()[:18] for i in range(30)] + ["key AKIA6FZM54CNMW7H%dEU x" % i for i in range(10, 30)]
     plain = ["the token is lost and the password was forgotten by 12 people in 1999", "Licensed under version 2.0 of the key = value form"] * 40
     docs = spark.createDataFrame(list(enumerate(secrets + plain)), "doc_id long, text string")
     got = {r["doc_id"]: r["spans"] for r in op3_pii.query(docs).collect()}
