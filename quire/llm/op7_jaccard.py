@@ -9,7 +9,7 @@ grows with their similarity; runs are repeated until the chance to miss a pair a
 The first two levels are walked where the set is read. Buckets are counted before rows are dealt: single
 ones go, small ones are compared pair by pair on a sketch of two bits a coordinate, with a margin of four standard
 errors, and large ones are compared with their least member only and then split further. A large bucket is
-settled once all its members have the same leader; one that isn't after `levels` levels is joined whole.
+settled once all its members are in one candidate group; one that isn't after `levels` levels is joined whole.
 
 That gives candidate groups (connected components, in DataFrames). Inside a group every pair is then compared by
 exact Jaccard similarity on whole sets, in blocks of bounded size that are dealt out apart, so nothing the sketch
@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BinaryType, IntegerType, LongType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
 from quire.llm.components import components
 from quire.session import written
@@ -84,7 +84,7 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
         if b - a >= n:
             out.append(np.unique(names[a : b - n + 1]))
         elif b > a:
-            short = words[a:a + 1].copy()
+            short = words[a : a + 1].copy()
             for k in range(1, b - a):
                 short = mixed(short * MIX1 + words[a + k : a + k + 1])
             out.append(short + np.uint64(b - a))
@@ -242,46 +242,46 @@ def small_edges(rows: DataFrame, similarity: float) -> DataFrame:
     return rows.repartition("path").sortWithinPartitions("path").select("path", "node", "sketch").mapInArrow(run, EDGES)
 
 
-def candidates(nodes: DataFrame, similarity: float, runs: int, levels: int = 8) -> DataFrame:
-    """Edges (a, b) whose components hold together whatever may be similar."""
-    rows, edges = first_paths(nodes, similarity, runs), []
+def candidate_groups(nodes: DataFrame, similarity: float, runs: int, levels: int = 8) -> DataFrame:
+    """node, least: groups that hold together whatever may be similar; nodes alone are not in it.
+
+    After each level, groups are the components of what was found so far; a bucket with members of one group only is
+    settled, since groups are compared exactly later. leader is a node's group."""
+    rows, groups = first_paths(nodes, similarity, runs), None
     for level in range(2, levels + 1):
         rows = written(rows, f"paths-{level}")
         buckets = rows.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("lead"), F.min("leader").alias("least"), F.max("leader").alias("most")).where("n > 1 and least != most")
-        live = written(rows.join(buckets, "path"), f"buckets-{level}")
-        edges.append(written(small_edges(live.where(F.col("n") <= SMALL), similarity), f"edges-{level}"))
+        live = written(rows.join(buckets, "path").drop("least", "most"), f"buckets-{level}")
+        edges = small_edges(live.where(F.col("n") <= SMALL), similarity)
         large = live.where(F.col("n") > SMALL)
-        if large.isEmpty():
-            break
-        if level == levels:
-            edges.append(written(large.where("node != lead.node").select(F.col("lead.node").alias("a"), F.col("node").alias("b")), "edges-rest"))
+        done = large.isEmpty()
+        if not done:
+            spokes = large.where("node != lead.node")
+            edges = edges.unionByName(spokes.select(F.col("lead.node").alias("a"), F.col("node").alias("b")) if level == levels else led_edges(spokes, similarity))
+        if groups is not None:
+            edges = edges.unionByName(groups.select(F.col("node").alias("a"), F.col("least").alias("b")))
+        groups = written(components(edges), f"groups-{level}")
+        if done or level == levels:
             break
-        led = written(_with_leader(large, similarity), f"led-{level}")
-        edges.append(led.where("alike and node != lead").select(F.col("lead").alias("a"), F.col("node").alias("b")))
-        open_ = led.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most").select("path")
-        rows = next_paths(led.join(open_, "path").select("path", "node", "leader", "sketch"), nodes, similarity)
-    out = edges[0]
-    for e in edges[1:]:
-        out = out.unionByName(e)
-    return out
+        named = large.drop("leader").join(groups, "node", "left").withColumn("leader", F.coalesce("least", "node")).select("path", "node", "leader", "sketch")
+        named = written(named, f"named-{level}")
+        open_ = named.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most").select("path")
+        rows = next_paths(named.join(open_, "path"), nodes, similarity)
+    return groups
 
 
-def _with_leader(large: DataFrame, similarity: float) -> DataFrame:
-    """path, node, leader, sketch, lead, alike: each member beside its bucket's least; alike members take it as leader."""
-    schema = StructType([*PATHS, StructField("lead", BinaryType()), StructField("alike", IntegerType())])
+def led_edges(spokes: DataFrame, similarity: float) -> DataFrame:
+    """Edges from a large bucket's least member to those that are likely similar to it."""
 
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            mark = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            lead = np.frombuffer(b"".join(batch.column(5).to_pylist()), np.uint8).reshape(batch.num_rows, -1)
-            alike = likely(mark, lead, similarity)
-            leader = [x if good else y for good, x, y in zip(alike.tolist(), batch.column(4).to_pylist(), batch.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(leader, pa.binary()), batch.column(3), batch.column(4), pa.array(alike.astype(np.int32))], names=[f.name for f in schema])
+            mark, lead = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
+            keep = pa.array(np.flatnonzero(likely(mark, lead, similarity)))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
 
-    found = large.select("path", "node", "leader", "sketch", "lead.node", F.col("lead.sketch").alias("lead_sketch")).toDF("path", "node", "leader", "sketch", "lead", "lead_sketch").mapInArrow(run, schema)
-    return found.withColumn("alike", F.col("alike") == 1)
+    return spokes.select("lead.node", F.col("node").alias("b"), "sketch", F.col("lead.sketch").alias("s")).mapInArrow(run, EDGES)
 
 
 SETS = StructType([StructField("node", BinaryType()), StructField("shingles", BinaryType())])
@@ -402,8 +402,7 @@ def join(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id, n_links (other documents at least as similar), n_copies (documents with its set), node."""
     keys = written(read_sets(docs), "jaccard-sets")
     nodes = written(keys.where("hashes is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")), "jaccard-nodes")
-    edges = candidates(nodes, similarity, runs_for(similarity))
-    groups = written(components(edges).select("node", F.col("least").alias("group")), "jaccard-groups")
+    groups = candidate_groups(nodes, similarity, runs_for(similarity)).select("node", F.col("least").alias("group"))
     wanted = nodes.select("node", "doc", "copies").join(groups, "node")
     sets = whole_sets(docs, wanted)
     links = written(exact_links(wanted.select("group", "node", "copies").join(sets, "node").select("group", "node", "copies", "shingles"), similarity), "jaccard-links")

@@ -369,7 +369,7 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
 
 def test_unsettled_large_buckets_are_joined_whole(spark, monkeypatch):
     monkeypatch.setattr(op7_jaccard, "SMALL", 2)
-    monkeypatch.setattr(op7_jaccard, "_with_leader", lambda large, s: large.select("path", "node", "leader", "sketch", F.col("lead.node").alias("lead"), F.lit(False).alias("alike")))
+    monkeypatch.setattr(op7_jaccard, "led_edges", lambda spokes, s: spokes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
     rng = random.Random(1)
     hub = words_of(120, 3, 5000)
     rows = [(i, near(hub, 1, rng)) for i in range(25)]
