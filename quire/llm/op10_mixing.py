@@ -163,16 +163,21 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     """The mix as documents: a row for each piece taken, with docs' columns; a cut document keeps its words
     and the white space before them. Rows that share a doc_id are told apart by size, then by place."""
     names = docs.columns
+    documents, draws = mix(docs)
     n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), n.alias("n"))
-    own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id", "n").orderBy(F.xxhash64("row.text"))))
-    documents, draws = mix(docs)
-    nth = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("rank", "start"))
-    which = documents.select("doc_id", "size", "rank", "start", nth.alias("nth")).where("size > 0")
-    which = which.select(F.col("doc_id").alias("d"), "size", F.col("nth").alias("m"), F.col("rank").alias("r"), F.col("start").alias("s"))
-    pieces = draws.join(which, (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s"))).select("d", "size", "m", "first", "words")
-    got = own.join(pieces, F.col("id").eqNullSafe(F.col("d")) & (F.col("n") == F.col("size")) & (F.col("nth") == F.col("m")))
+    many, missing = documents.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.max("k"), F.count_if(F.col("doc_id").isNull())).first()
+    if (many or 0) <= 1 and not missing:
+        got = own.join(draws.select(F.col("doc_id").alias("d"), "first", "words"), F.col("id") == F.col("d"))
+    else:
+        own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id", "n").orderBy(F.xxhash64("row.text"))))
+        nth = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("rank", "start"))
+        which = documents.select("doc_id", "size", "rank", "start", nth.alias("nth")).where("size > 0")
+        which = which.select(F.col("doc_id").alias("d"), "size", F.col("nth").alias("m"), F.col("rank").alias("r"), F.col("start").alias("s"))
+        pieces = draws.join(which, (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s"))).select("d", "size", "m", "first", "words")
+        got = own.join(pieces, F.col("id").eqNullSafe(F.col("d")) & (F.col("n") == F.col("size")) & (F.col("nth") == F.col("m")))
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
     cut = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "")
     whole = (F.col("first") == 0) & (F.col("words") == F.col("n"))
-    return got.select(*[(F.when(whole, F.col("row.text")).otherwise(cut) if c == "text" else F.col("row").getField(c)).alias(c) for c in names])
+    new = {"text": cut, "n_chars": F.length(cut).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    return got.select(*[(F.when(whole, F.col("row").getField(c)).otherwise(new[c]) if c in new else F.col("row").getField(c)).alias(c) for c in names])
