@@ -2,8 +2,8 @@
 
 A word's vector is the mean of the vectors of its character 3- to 5-grams (with word ends marked, hashed), so an
 unseen misspelling shares most of them with the word it comes from. A window's vector is the mean over its
-words; the softmax on top gives the window's probability. A text scores as its highest window of `window`
-words, stepping by half a window, so a few words in a long text are not averaged away.
+words; the softmax on top gives the window's probability. A text scores as its highest window of a few
+neighbouring words, so a few words in a long text are not averaged away.
 
 Training alternates, on a bounded sample of labelled documents (`sample`, of smallest id hash): pick each
 text's highest window under the present model (at first under each n-gram's log odds), then descend jointly
@@ -23,9 +23,11 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from quire.llm.common import crc_of_id, map_rows
 
-BITS = 17
+BITS = 18
 #: Stripped from either end of a word.
 EDGES = "\"'`.,;:!?()[]{}<>|/\\-_*#%&$+=~"
+#: Words a window has.
+WINDOW = 2
 #: Words known by their bare form at once; then forgotten.
 KNOWN = 400_000
 
@@ -76,8 +78,11 @@ def windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
     return (sums[ends] - sums[starts]) / (ends - starts), starts, ends
 
 
-def train(texts: list[str], toxic: np.ndarray, window: int = 16, size: int = 8, rounds: int = 4, epochs: int = 12, seed: int = 1) -> tuple[np.ndarray, float]:
-    """(logit of each n-gram's bucket, bias)."""
+def train(texts: list[str], toxic: np.ndarray, window: int = WINDOW, size: int = 8, rounds: int = 3, epochs: int = 15, seed: int = 1) -> tuple[np.ndarray, float]:
+    """(logit of each n-gram's bucket, bias).
+
+    Vectors start along one direction, by each n-gram's log odds shrunk towards none where it is rare. Their steps are
+    damped by the gradients of the common ones, so an n-gram that few texts have hardly moves."""
     known = Words()
     docs = [np.array([known[c] for c in t.split()], np.int64) for t in texts]
     keep = [i for i, d in enumerate(docs) if len(d)]
@@ -87,50 +92,52 @@ def train(texts: list[str], toxic: np.ndarray, window: int = 16, size: int = 8,
     buckets, starts = subwords(list(known.bare))
     counts = np.diff(starts)
 
+    def spread(words: np.ndarray) -> np.ndarray:
+        """Where the n-grams of these words stand in buckets."""
+        reach = counts[words]
+        return np.repeat(starts[words] - np.cumsum(reach) + reach, reach) + np.arange(reach.sum())
+
     def word_means(values: np.ndarray) -> np.ndarray:
         return np.add.reduceat(values[buckets], starts[:-1]) / counts
 
-    # documents that have the n-gram, by label
-    seen = np.zeros((2, 1 << BITS))
+    seen = np.zeros((2, 1 << BITS))  # texts that have the n-gram, by label
     for d, label in zip(docs, toxic):
-        own = np.unique(d)
-        flat = np.unique(np.concatenate([buckets[starts[w] : starts[w + 1]] for w in own.tolist()]))
-        seen[int(label), flat] += 1
-    odds = np.log((seen[1] + 0.2) / (toxic.sum() + 0.4)) - np.log((seen[0] + 0.2) / ((~toxic).sum() + 0.4))
-    score = word_means(odds)
+        seen[int(label), np.unique(buckets[spread(np.unique(d))])] += 1
+    share = toxic.mean()
+    odds = np.log((seen[1] + 2 * share) / share) - np.log((seen[0] + 2 * (1 - share)) / (1 - share))
     rng = np.random.default_rng(seed)
-    vectors = rng.normal(0, 0.05, (1 << BITS, size))
-    weights = rng.normal(0, 0.05, size)
-    vectors += 0.02 * np.clip(odds, -5, 5)[:, None] * np.sign(weights)
-    bias, past_v, past_w, past_b = 0.0, np.full((1 << BITS, size), 1e-6), np.full(size, 1e-6), 1e-6
+    weights = rng.choice((-1.0, 1.0), size) / np.sqrt(size)
+    vectors = odds[:, None] * weights + rng.normal(0, 0.01, (1 << BITS, size))
+    weights = 2.0 * weights
+    bias, past_v, past_w, past_b = -2.0, None, 1e-4, 1e-4
+    score = word_means(vectors @ weights)
     for _ in range(rounds):
         bags = []
         for d in docs:
             means, a, b = windows(score[d], window)
             best = int(np.argmax(means))
             bags.append(d[a[best] : b[best]])
-        # documents x n-grams, by row
         words = np.concatenate(bags)
-        reach = counts[words]
-        sub = buckets[np.repeat(starts[words], reach) + np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)]
+        sub = buckets[spread(words)]
         lengths = np.array([len(b) for b in bags])
-        row = np.repeat(np.repeat(np.arange(len(bags)), lengths), reach)
-        share = 1 / (np.repeat(reach, reach) * lengths[row])
+        row = np.repeat(np.repeat(np.arange(len(bags)), lengths), counts[words])
+        part = 1 / (np.repeat(counts[words], counts[words]) * lengths[row])
         used, inverse = np.unique(sub, return_inverse=True)
         row_starts = np.searchsorted(row, np.arange(len(bags)))
-        balance = np.where(toxic, 0.5 / toxic.mean(), 0.5 / (~toxic).mean()) / len(bags)
+        balance = np.where(toxic, 0.5 / share, 0.5 / (1 - share)) / len(bags)
         for _ in range(epochs):
-            means = np.add.reduceat(vectors[sub] * share[:, None], row_starts, axis=0)
+            means = np.add.reduceat(vectors[sub] * part[:, None], row_starts, axis=0)
             error = (1 / (1 + np.exp(-np.clip(means @ weights + bias, -30, 30))) - toxic) * balance
-            pull = error[row] * share
-            slope = np.bincount(inverse, pull, len(used))[:, None] * weights
+            slope = np.bincount(inverse, error[row] * part, len(used))[:, None] * weights
             push, base = means.T @ error, error.sum()
+            if past_v is None:
+                past_v = np.full((1 << BITS, size), np.quantile(np.abs(slope).max(1), 0.999) ** 2)
             past_v[used] += slope**2
-            vectors[used] -= 0.3 * slope / np.sqrt(past_v[used])
-            past_w += push**2
-            weights -= 0.3 * push / np.sqrt(past_w)
+            vectors[used] -= 0.2 * slope / np.sqrt(past_v[used])
+            past_w += (push**2).sum()
+            weights -= 0.5 * push / np.sqrt(past_w)
             past_b += base**2
-            bias -= 0.3 * base / np.sqrt(past_b)
+            bias -= 0.5 * base / np.sqrt(past_b)
         score = word_means(vectors @ weights)
     return (vectors @ weights).astype(np.float32), float(bias)
 
@@ -148,7 +155,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> tuple[np.nd
     return train(texts, np.array(marks, dtype=np.int64))
 
 
-def score(docs: DataFrame, model: tuple[np.ndarray, float], window: int = 16) -> DataFrame:
+def score(docs: DataFrame, model: tuple[np.ndarray, float], window: int = WINDOW) -> DataFrame:
     """doc_id, score."""
     logits, bias = model
     schema = StructType([docs.select("doc_id").schema["doc_id"], StructField("score", DoubleType())])
