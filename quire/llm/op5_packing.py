@@ -17,6 +17,8 @@ from __future__ import annotations
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
@@ -135,12 +137,16 @@ def pack(pieces: DataFrame, group_rows: int = 25_000, window: int = WINDOW) -> D
     dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
     schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
-    def run(key, rows):
-        rows = rows.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
-        sequence, offset = best_fit(rows["length"].to_numpy(), window)
-        return rows.drop(columns="__group").assign(sequence_id=(int(key[0]) << 32) + sequence, offset=offset)
+    names = [f.name for f in schema]
 
-    return dealt.groupBy("__group").applyInPandas(run, schema)
+    def run(rows: pa.Table) -> pa.Table:
+        group = rows.column("__group")[0].as_py()
+        rows = rows.select(names[:-2])
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), *[(n, "ascending") for n in ("doc_id", "start", "ids_crc32")]]))
+        sequence, offset = best_fit(rows.column("length").to_numpy(), window)
+        return rows.append_column(names[-2], pa.array((group << 32) + sequence)).append_column(names[-1], pa.array(offset))
+
+    return dealt.groupBy("__group").applyInArrow(run, schema)
 
 
 def query(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -60,10 +60,10 @@ def repeated(words: list[bytes]) -> int:
     return int(inside.sum())
 
 
-# Each rule says whether it rejects. Bounds are loose: only what is plainly no prose, list or table goes.
+# Each rule says whether it rejects. Bounds are loose: only what is plainly no running text goes.
 def mostly_symbols(t: Text) -> bool:
-    """Symbols other than the bars of a table are over 0.3 a word."""
-    return 10 * (t.n_symbols - t.text.count("|")) > 3 * t.n_words
+    """Symbols are over 0.3 a word."""
+    return 10 * t.n_symbols > 3 * t.n_words
 
 
 def odd_word_length(t: Text) -> bool:
