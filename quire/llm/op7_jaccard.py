@@ -24,6 +24,7 @@ doc_id count apart.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -245,29 +246,31 @@ def small_edges(rows: DataFrame, similarity: float) -> DataFrame:
 def candidate_groups(nodes: DataFrame, similarity: float, runs: int, levels: int = 8) -> DataFrame:
     """node, least: groups that hold together whatever may be similar; nodes alone are not in it.
 
-    After each level, groups are the components of what was found so far; a bucket with members of one group only is
-    settled, since groups are compared exactly later. leader is a node's group."""
-    rows, groups = first_paths(nodes, similarity, runs), None
+    Groups are the components of what was found; a bucket with members of one group only is settled, since groups are
+    compared exactly later. They are formed once after the first buckets, where copies of one text meet, and once at
+    the end. leader is a node's group, at first the node itself."""
+    rows, groups, found = first_paths(nodes, similarity, runs), None, []
     for level in range(2, levels + 1):
         rows = written(rows, f"paths-{level}")
         buckets = rows.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("lead"), F.min("leader").alias("least"), F.max("leader").alias("most")).where("n > 1 and least != most")
         live = written(rows.join(buckets, "path").drop("least", "most"), f"buckets-{level}")
-        edges = small_edges(live.where(F.col("n") <= SMALL), similarity)
+        found.append(written(small_edges(live.where(F.col("n") <= SMALL), similarity), f"edges-{level}"))
         large = live.where(F.col("n") > SMALL)
-        done = large.isEmpty()
-        if not done:
-            spokes = large.where("node != lead.node")
-            edges = edges.unionByName(spokes.select(F.col("lead.node").alias("a"), F.col("node").alias("b")) if level == levels else led_edges(spokes, similarity))
-        if groups is not None:
-            edges = edges.unionByName(groups.select(F.col("node").alias("a"), F.col("least").alias("b")))
-        groups = written(components(edges), f"groups-{level}")
-        if done or level == levels:
+        if large.isEmpty():
             break
-        named = large.drop("leader").join(groups, "node", "left").withColumn("leader", F.coalesce("least", "node")).select("path", "node", "leader", "sketch")
-        named = written(named, f"named-{level}")
+        spokes = large.where("node != lead.node")
+        if level == levels:
+            found.append(spokes.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
+            break
+        found.append(written(led_edges(spokes, similarity), f"led-{level}"))
+        if groups is None:
+            groups = written(components(reduce(DataFrame.unionByName, found)), "groups")
+            found = [groups.select(F.col("node").alias("a"), F.col("least").alias("b"))]
+            large = large.drop("leader").join(groups, "node", "left").withColumn("leader", F.coalesce("least", "node"))
+        named = written(large.select("path", "node", "leader", "sketch"), f"named-{level}")
         open_ = named.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most").select("path")
         rows = next_paths(named.join(open_, "path"), nodes, similarity)
-    return groups
+    return written(components(reduce(DataFrame.unionByName, found)), "groups")
 
 
 def led_edges(spokes: DataFrame, similarity: float) -> DataFrame:
