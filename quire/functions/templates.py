@@ -75,3 +75,13 @@ def line_col(text: Column, index: Column) -> Column:
     """struct(line, col), from 1, of a character index."""
     before = F.substr(text, F.lit(1), index)
     return F.struct((F.regexp_count(before, F.lit("\n")) + 1).cast("long").alias("line"), (F.length(F.substring_index(before, "\n", -1)) + 1).cast("long").alias("col"))
+
+
+def find_in_source(source: Column, heading: Column) -> Column:
+    """Where a heading's text first stands in the source, from 1; 0 if it doesn't."""
+    return F.instr(source, heading)
+
+
+def declared_slots(templates, template: str = "html"):
+    """The slots that any of the templates uses, each once."""
+    return templates.select(F.explode(slots_used(F.col(template))).alias("slot")).distinct().orderBy("slot")

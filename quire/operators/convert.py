@@ -22,19 +22,27 @@ def load_rules(options: ConvertOptions, dictionaries: Iterable[str] = ()) -> lis
     return links.load_rules(dictionaries, policy, options.lower_case_tags)[0]
 
 
-def document(text: str, options: ConvertOptions, rules: list[links.Rule], template: str = "", whole: bool = False) -> dict[str, str | None]:
+def side_texts(options: ConvertOptions) -> dict[str, str]:
+    """The files that go around every document, read once on the driver."""
+    from quire.sources.files import side_text
+
+    return {name: side_text(path, options.encoding) for name in ("append_head", "prepend_file", "append_file") if (path := getattr(options, name))}
+
+
+def document(text: str, options: ConvertOptions, rules: list[links.Rule], template: str = "", whole: bool = False, sides: dict[str, str] | None = None) -> dict[str, str | None]:
     """html, title and error of one document, with all passes that the options ask for."""
     if options.section_chars:
         writer = machine.Writer(options, rules)
-        start, parts = writer.start(text), []
+        around = sides or {}
+        start, parts = writer.start(text, around.get("append_head", ""), around.get("prepend_file", "")), []
         chunks = split_chars(text, options.section_chars)
         for i, c in enumerate(chunks):
             part = "".join(writer.record(r) for r in machine.records(c))
-            parts.append(part + (writer.finish() if i + 1 == len(chunks) else ""))
+            parts.append(part + (writer.finish() + around.get("append_file", "") if i + 1 == len(chunks) else ""))
         got = {"start": start, "title": writer.title, "head": writer.head, "tail": writer.tail()}
         toc, body = sections.wrap_parts([sections.number(p) if options.number_headings else p for p in parts], options.toc)
     else:
-        got = machine.to_html(text, options, rules, whole)
+        got = machine.to_html(text, options, rules, whole, sides)
         body, toc = got["body"], ""
         if options.number_headings:
             body = sections.number(body)
@@ -73,7 +81,7 @@ def to_html(docs: DataFrame, options: ConvertOptions | None = None, dictionaries
     """key, html, title, error. A document that fails or is refused has its reason in error and no html; the others go on."""
     options = settled(options or ConvertOptions())
     check(options)
-    rules = load_rules(options, dictionaries)
+    rules, sides = load_rules(options, dictionaries), side_texts(options)
     schema = StructType([docs.schema[key], StructField("html", StringType()), StructField("title", StringType()), StructField("error", StringType())])
 
     def run(batches):
@@ -82,7 +90,7 @@ def to_html(docs: DataFrame, options: ConvertOptions | None = None, dictionaries
                 part, got = batch.slice(at, 64), []
                 for t in part.column(1).to_pylist():
                     try:
-                        got.append(document(t or "", options, rules, template))
+                        got.append(document(t or "", options, rules, template, sides=sides))
                     except Exception as why:  # one document's failure is its own
                         got.append({"html": None, "title": None, "error": f"{type(why).__name__}: {why}"})
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array([g[n] for g in got], pa.string()) for n in ("html", "title", "error"))], names=[f.name for f in schema])

@@ -656,10 +656,12 @@ def records(text: str) -> list[str]:
     return re.findall(r"[^\n][^\n]*+(?:\n(?!\n)[^\n]++)*+(?:\n\n|\n?\Z)", text)
 
 
-def to_html(text: str, options: ConvertOptions | None = None, rules: list[links.Rule] | None = None, whole: bool = False) -> dict[str, str]:
-    """start, body and tail of a document's HTML. whole: the text is one record, as strings given by hand are."""
-    w = Writer(options, rules)
+def to_html(text: str, options: ConvertOptions | None = None, rules: list[links.Rule] | None = None, whole: bool = False, sides: dict[str, str] | None = None) -> dict[str, str]:
+    """start, body and tail of a document's HTML. whole: the text is one record, as strings given by hand are.
+
+    sides: texts that go into the head (append_head), before the body (prepend_file) and after it (append_file)."""
+    w, sides = Writer(options, rules), sides or {}
     parts = [text] if whole else records(text)
-    start = w.start(parts[0] if parts else "") if parts else ""
-    body = "".join(w.record(p) for p in parts) + w.finish()
+    start = w.start(parts[0], sides.get("append_head", ""), sides.get("prepend_file", "")) if parts else ""
+    body = "".join(w.record(p) for p in parts) + w.finish() + sides.get("append_file", "")
     return {"start": start, "body": body, "tail": w.tail() if parts else "", "title": w.title, "head": w.head, "dropped": ",".join(w.dropped)}

@@ -106,6 +106,12 @@ def text_of(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     return nodes.groupBy(key).agg(F.trim(F.regexp_replace(joined, " *\n *", "\n")).alias("text"))
 
 
+def raw_text(nodes: DataFrame, key: str = "page_id") -> DataFrame:
+    """key, text: all text as it stands, for preformatted parts."""
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("node_id", F.coalesce("text", F.lit("")).alias("p")))), lambda x: x["p"]), "")
+    return nodes.groupBy(key).agg(joined.alias("text"))
+
+
 def chunk_counts(nodes: DataFrame, key: str = "page_id") -> DataFrame:
     section = (F.col("tag") == "article") & F.array_contains(F.split(F.coalesce(F.try_element_at("attrs", F.lit("class")), F.lit("")), r"\s+"), "section")
     return nodes.groupBy(key).agg(F.count_if(section).alias("chunks"))

@@ -8,7 +8,6 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
-from pyspark.sql.window import Window
 
 # Possessive repeats: a greedy group would recurse once a line.
 RECORD = r"(?s)[^\n][^\n]*+(?:\n(?!\n)[^\n]++)*+(?:\n\n|\n?\z)"
@@ -56,12 +55,22 @@ def exploded_paragraphs(docs: DataFrame) -> DataFrame:
     return own.select("doc_id", "rec_no", F.posexplode(paragraphs("record")).alias("para_no", "paragraph"))
 
 
+def lines_with_indent(paragraph: Column) -> Column:
+    """array<struct<line, len, indent>> of a paragraph: len with the line feed; a blank line has the indent of the one before."""
+    own = lines(paragraph)
+    blank = lambda x: F.trim(F.translate(x, "\t\n\r\f\x0b", "     ")) == ""
+
+    def one(line: Column, i: Column) -> Column:
+        before = F.filter(F.slice(own, F.lit(1), i + 1), lambda x: ~blank(x))  # only looked up for blank lines
+        return F.struct(line.alias("line"), F.length(line).alias("len"), F.when(~blank(line), indent(line)).when(F.size(before) > 0, indent(F.element_at(before, -1))).otherwise(0).alias("indent"))
+
+    return F.transform(own, one)
+
+
 def exploded_lines(docs: DataFrame) -> DataFrame:
-    """doc_id, rec_no, para_no, line_no, line, len (with the line feed), indent (a blank line has the one before's)."""
-    own = exploded_paragraphs(docs).select("doc_id", "rec_no", "para_no", F.posexplode(lines(without_returns(F.col("paragraph")))).alias("line_no", "line"))
-    order = Window.partitionBy("doc_id", "rec_no", "para_no").orderBy("line_no")
-    seen = F.when(F.trim(F.translate("line", "\t\n\r\f\x0b", "     ")) != "", indent(F.col("line")))
-    return own.select("*", F.length("line").alias("len"), F.coalesce(F.last(seen, True).over(order), F.lit(0)).alias("indent"))
+    """doc_id, rec_no, para_no, line_no, line, len, indent; made inside each paragraph's row."""
+    rows = exploded_paragraphs(docs).select("doc_id", "rec_no", "para_no", F.posexplode(lines_with_indent(without_returns(F.col("paragraph")))).alias("line_no", "l"))
+    return rows.select("doc_id", "rec_no", "para_no", "line_no", "l.line", "l.len", "l.indent")
 
 
 def expand_tabs(line: str, width: int) -> str:

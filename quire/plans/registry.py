@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import pages, structure, text
+from quire.plans import lines, pages, structure, text
 
-ALL = {**text.QUERIES, **pages.QUERIES, **structure.QUERIES}
+ALL = {**text.QUERIES, **pages.QUERIES, **structure.QUERIES, **lines.QUERIES}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

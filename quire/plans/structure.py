@@ -14,7 +14,7 @@ from quire.functions import templates as T
 from quire.operators import catalog, convert, notes, records, sections
 from quire.options import ConvertOptions
 from quire.plans.text import long, table
-from quire.session import shared_dir, written
+from quire.session import shared_dir
 
 
 def bodies(spark, sf_dir):
@@ -339,4 +339,3 @@ QUERIES = {
     "q46_char_chunks": (char_chunks, None),
     "q47_streamed": (streamed, None),
 }
-_ = written

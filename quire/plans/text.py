@@ -4,9 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
-
-from quire.functions import chars, decode, html, predicates, templates, urls
+from quire.functions import chars, decode, html, predicates, templates
 from quire.operators import links, records, scripts
 
 
@@ -18,15 +16,22 @@ def long(c):
     return c.cast("long")
 
 
+def count_lines(test):
+    """How many lines of an array fit; test takes a line, or a line and its place. Counted inside the row, so nothing is shuffled."""
+    return long(F.size(F.filter("lines", test)))
+
+
 def structure_report(spark, sf_dir):
     """Per document: lines, short-line breaks, capitals lines, blank lines, characters, bytes."""
-    own = table(spark, sf_dir, "documents").select("doc_id", "text", F.posexplode(records.lines(F.coalesce("text", F.lit("")))).alias("n", "line"))
-    order = Window.partitionBy("doc_id").orderBy("n")
-    rows = own.select("doc_id", "n", "line", F.lag("line").over(order).alias("before"))
-    short = ~predicates.is_blank(F.col("line")) & ~predicates.is_blank(F.col("before")) & (F.length("before") < 40)
-    return rows.groupBy("doc_id").agg(
-        long(F.count("*")).alias("n_lines"), long(F.count_if(F.coalesce(short, F.lit(False)))).alias("n_breaks"), long(F.count_if(predicates.is_caps(F.col("line")))).alias("n_caps"),
-        long(F.count_if(predicates.is_blank(F.col("line")))).alias("n_blank"), long(F.sum(F.length("line"))).alias("n_chars"), long(F.sum(F.octet_length("line"))).alias("n_bytes"),
+    own = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", records.lines(F.col("text")).alias("lines"))
+
+    def breaks(line, i):
+        before = F.get("lines", i - 1)
+        return F.coalesce((F.length(before) < 40) & ~predicates.is_blank(before) & ~predicates.is_blank(line), F.lit(False))
+
+    return own.select(
+        "doc_id", long(F.size("lines")).alias("n_lines"), count_lines(breaks).alias("n_breaks"), count_lines(lambda x: predicates.is_caps(x)).alias("n_caps"), count_lines(predicates.is_blank).alias("n_blank"),
+        long(F.length("text")).alias("n_chars"), long(F.octet_length("text")).alias("n_bytes"),
     )
 
 
@@ -91,12 +96,9 @@ ESCAPES = (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"))
 
 def line_predicates(spark, sf_dir):
     """How many lines of each document look like a rule, preformatted text, a list item, a mail header, a quote."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.explode(records.lines(F.col("text"))).alias("line"))
-    line = F.col("line")
-    mark = predicates.list_prefix(line)
-    return own.groupBy("doc_id").agg(
-        *[long(F.count_if(c)).alias(n) for n, c in (("n_rules", predicates.is_hrule(line)), ("n_pre", predicates.is_preformatted(line)), ("n_items", mark["prefix"] != ""), ("n_mail", predicates.is_mail_header(line)), ("n_quotes", predicates.is_mail_quote(chars.escape(line))))]
-    )
+    own = table(spark, sf_dir, "documents").select("doc_id", records.lines(F.coalesce("text", F.lit(""))).alias("lines"))
+    tests = {"n_rules": lambda x: predicates.is_hrule(x), "n_pre": lambda x: predicates.is_preformatted(x), "n_items": lambda x: predicates.list_prefix(x)["prefix"] != "", "n_mail": predicates.is_mail_header, "n_quotes": lambda x: predicates.is_mail_quote(chars.escape(x))}
+    return own.select("doc_id", *[count_lines(t).alias(n) for n, t in tests.items()])
 
 
 PREDICATES_SQL = rf"""
@@ -253,4 +255,3 @@ QUERIES = {
     "q49_line_col": (positions, POSITIONS_SQL),
     "q50_fuzzy_slug": (fuzzy, FUZZY_SQL),
 }
-_ = urls

@@ -105,6 +105,10 @@ def test_conversion_on_the_cluster(spark, tmp_path):
     assert (good.count(), bad.count()) == (2, 1)
     files.write_html(convert.to_html(docs, ConvertOptions(citations=True)), str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 2
+    for name, text in (("append_head", "<meta x>\n"), ("prepend_file", "<!-- before -->"), ("append_file", "<!-- after -->")):
+        (tmp_path / name).write_text(text)
+    around = convert.to_html(docs.where("doc_id = 1"), ConvertOptions(**{n: str(tmp_path / n) for n in ("append_head", "prepend_file", "append_file")})).first()["html"]
+    assert around.index("<meta x>") < around.index("<!-- before -->") < around.index("section_1") < around.index("<!-- after -->")
     template = "<html lang='{{quire:lang}}'>{{quire:content}}{{quire:var:k}}</html>"
     html = convert.to_html(docs.where("doc_id = 1"), ConvertOptions(document_template="t", var=("k=v",)), template=template).first()["html"]
     assert html.startswith("<html lang='en'>") and html.endswith("v</html>")
@@ -160,6 +164,7 @@ def test_nodes(spark):
     assert texts[1].startswith("One\ntwo & é")
     assert nodes.chunk_counts(own).where("page_id = 1").first()["chunks"] == 1
     assert {(r["head"], r["align"]) for r in nodes.cells(own).collect()} == {(False, "right"), (True, "")}
+    assert "  " not in nodes.text_of(own).where("page_id = 3").first()["text"] and nodes.raw_text(own).where("page_id = 3").first()["text"] == "bare text"
     got = one(spark, nodes.problem_lines, "error at line 7\n\nx.txt:12: bad\nother")
     assert [(r["line"]) for r in got] == [7, 12, None]
 
@@ -189,6 +194,9 @@ def test_small_functions(spark):
     assert one(spark, templates.is_semver, "1.0.0-a.1+b") and not one(spark, templates.is_semver, "01.0.0")
     assert one(spark, templates.version_parts, "1.2-x") == [1, 2, 0]
     assert one(spark, templates.is_safe_path, "a/../b") is False and one(spark, templates.is_safe_path, "a/b")
+    assert one(spark, lambda c: templates.find_in_source(F.lit("a Title b"), c), "Title") == 3
+    slots = templates.declared_slots(spark.createDataFrame([("{{quire:b}}{{quire:a}}",), ("{{quire:a}}",)], "html string"))
+    assert [r["slot"] for r in slots.collect()] == ["a", "b"]
     assert one(spark, lambda c: predicates.without(c, 5), 7, "int") == 2
     runs = scripts.run_table(spark.createDataFrame([(1, "ab漢字 x")], "doc_id long, text string")).orderBy("run_no").collect()
     assert [(r["kind"], r["text"]) for r in runs] == [("latin", "ab"), ("cjk", "漢字"), ("neutral", " "), ("latin", "x")]
