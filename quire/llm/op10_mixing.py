@@ -168,7 +168,7 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), n.alias("n"))
     many, missing = documents.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.max("k"), F.count_if(F.col("doc_id").isNull())).first()
     if (many or 0) <= 1 and not missing:
-        got = own.join(draws.select(F.col("doc_id").alias("d"), "first", "words"), F.col("id") == F.col("d"))
+        got = own.join(draws.select(F.col("doc_id").alias("d"), "first", "words").hint("merge"), F.col("id") == F.col("d"))
     else:
         own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id", "n").orderBy(F.xxhash64("row.text"))))
         nth = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("rank", "start"))

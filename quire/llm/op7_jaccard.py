@@ -36,6 +36,8 @@ from quire.llm.components import components
 from quire.session import written
 
 COORDINATES = 128
+#: Bytes of text named at once.
+PIECE = 1 << 20
 #: Sets of this many are compared pair by pair; a group's blocks have so many.
 SMALL, BLOCK = 48, 256
 MIX1, MIX2, MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -53,18 +55,14 @@ def runs_for(similarity: float, miss: float = 0.002) -> int:
     return math.ceil(math.log(miss) / math.log(lost))
 
 
-def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
-    """The sorted distinct shingle names of each text."""
-    raw = [t.encode() if t else b"" for t in texts]
-    sizes = np.array([len(r) + 1 for r in raw], np.int64)
-    data = np.frombuffer(b"\n".join(raw) + b"\n", np.uint8)
+def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, name) of each word of some bytes."""
     space = (data == 32) | ((data >= 9) & (data <= 13))
-    start = ~space
+    start, end = ~space, ~space
     start[1:] &= space[:-1]
     first = np.flatnonzero(start)
     if not len(first):
-        return [np.zeros(0, np.uint64)] * len(texts)
-    end = ~space
+        return first, np.zeros(0, np.uint64)
     end[:-1] &= space[1:]
     length = np.flatnonzero(end) + 1 - first
     inside = np.flatnonzero(~space)
@@ -73,27 +71,55 @@ def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
     powers[0] = 1
     powers = np.multiply.accumulate(powers)
     words = np.add.reduceat((data[inside].astype(np.uint64) + np.uint64(1)) * powers[place], np.cumsum(length) - length)
-    words = mixed(words + length.astype(np.uint64) * MIX1)
-    text_ends = np.cumsum(sizes)
-    bounds = np.concatenate(([0], np.searchsorted(first, text_ends)))
-    names = words.copy()
-    names = names[: max(0, len(words) - n + 1)]
+    return first, mixed(words + length.astype(np.uint64) * MIX1)
+
+
+def chained(words: np.ndarray, n: int) -> np.ndarray:
+    """The name of each n neighbouring words."""
+    names = words[: max(0, len(words) - n + 1)].copy()
     for k in range(1, n):
         names = mixed(names * MIX1 + words[k : k + len(names)])
-    out = []
-    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
-        if b - a >= n:
-            out.append(np.unique(names[a : b - n + 1]))
-        elif b > a:
-            short = words[a : a + 1].copy()
-            for k in range(1, b - a):
-                short = mixed(short * MIX1 + words[a + k : a + k + 1])
-            out.append(short + np.uint64(b - a))
+    return names
+
+
+def shingle_sets(texts: list[str | None], n: int = 5) -> list[np.ndarray]:
+    """The sorted distinct shingle names of each text. Texts share one pass up to PIECE bytes; a longer one goes in pieces."""
+    raw = [t.encode() if t else b"" for t in texts]
+    out: list[np.ndarray] = []
+    at = 0
+    while at < len(raw):
+        end, held = at, 0
+        while end < len(raw) and (end == at or held + len(raw[end]) < PIECE):
+            held += len(raw[end]) + 1
+            end += 1
+        if held > PIECE + 1:
+            out.append(_long_set(raw[at], n))
         else:
-            out.append(np.zeros(0, np.uint64))
+            first, words = word_names(np.frombuffer(b"\n".join(raw[at:end]) + b"\n", np.uint8))
+            bounds = np.concatenate(([0], np.searchsorted(first, np.cumsum([len(r) + 1 for r in raw[at:end]]))))
+            names = chained(words, n)
+            for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist()):
+                out.append(np.unique(names[a : b - n + 1]) if b - a >= n else chained(words[a:b], b - a) + np.uint64(b - a) if b > a else words[:0])
+        at = end
     return out
 
 
+def _long_set(text: bytes, n: int) -> np.ndarray:
+    """The set of one long text: pieces end between words and share n - 1 words."""
+    found, before, at, total = [], np.zeros(0, np.uint64), 0, 0
+    while at < len(text):
+        end = min(len(text), at + PIECE)
+        while end < len(text) and text[end] not in b" \t\n\r\x0b\x0c":
+            end += 1
+        words = np.concatenate((before, word_names(np.frombuffer(text[at:end], np.uint8))[1]))
+        total += len(words) - len(before)
+        found.append(np.unique(chained(words, n)))
+        before, at = words[max(0, len(words) - n + 1) :], end
+    if total < n:
+        return chained(before, total) + np.uint64(total) if total else before
+    return np.unique(np.concatenate(found))
+
+
 def set_key(shingles: np.ndarray) -> bytes:
     """128 bits that name the set; empty for the empty set."""
     if not len(shingles):
@@ -301,7 +327,8 @@ def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 keep = [(n, s) for n, s in zip(part.column(1).to_pylist(), sets) if set_key(s) == n]  # another row of this doc_id may differ
                 yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.binary()), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["node", "shingles"])
 
-    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.select(F.col("doc").alias("__doc"), "node"), F.col("doc").eqNullSafe(F.col("__doc")))
+    # texts are sorted to their ids at any size, so the plan is the same for small and large tables
+    rows = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.select(F.col("doc").alias("__doc"), "node").hint("merge"), F.col("doc").eqNullSafe(F.col("__doc")))
     return rows.select("text", "node").mapInArrow(run, SETS).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
@@ -428,6 +455,6 @@ def stage(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """docs with one document of each class, the least doc_id; rows without an id stay. Columns stay."""
     found = written(join(docs, similarity), "jaccard-found")
     gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
+    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     again = found.where("doc_id = class_id and n_copies > 1").groupBy("doc_id").count().where("count > 1")
     return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
