@@ -29,7 +29,7 @@ from quire.session import written
 WINDOW = 2048
 END = 1
 #: Chunks whose ids a task remembers.
-KNOWN = 500_000
+KNOWN = 200_000
 
 
 class Ids:

@@ -29,7 +29,7 @@ EDGES = "\"'`.,;:!?()[]{}<>|/\\-_*#%&$+=~"
 #: Words a window has.
 WINDOW = 2
 #: Words known by their bare form at once; then forgotten.
-KNOWN = 400_000
+KNOWN = 200_000
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
