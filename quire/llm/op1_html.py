@@ -264,20 +264,33 @@ def templates(pages: DataFrame, share: float = 0.2) -> DataFrame:
     return written(map_rows(by_host, ["host", "pages", "rows"], deduce, TEMPLATE), "html-templates")
 
 
+def element(step: str) -> str:
+    """The tag of a path's step."""
+    return re.match(r"!?([^.#@]*)", step).group(1)
+
+
+def own_slot(paths: list[str], tags: tuple[str, ...]) -> str:
+    """The path of the first element of the first of these tags that any of the paths goes through, marked ones last."""
+    for wanted in tags:
+        found = [path for path in paths if any(element(s) == wanted for s in steps(path))]
+        for path in sorted(found, key=lambda p: "/!" in p)[:1]:
+            at = next(i for i, s in enumerate(steps(path)) if element(s) == wanted)
+            return "/" + "/".join(steps(path)[: at + 1])
+    return ""
+
+
 def main_text(page: str | None, slot: str, fixed: frozenset[str]) -> str:
-    """The blocks of the main slot, in page order. Without the slot on the page: its article, main or body."""
+    """The blocks of the main slot, in page order. A slot that is no article or main gives way to the page's own one; a page without the slot has its own article, main or body."""
     blocks = [(path, text) for path, text in events(page or "") if text is not None]
-    if not slot or not any(path == slot or path.startswith(slot + "/") for path, _ in blocks):
-        slot = ""
-        for wanted in (*MAIN, "body"):
-            paths = [path for path, _ in blocks if any(s.lstrip("!").split(".")[0].split("#")[0].split("@")[0] == wanted for s in steps(path))]
-            if paths:
-                at = next(i for i, s in enumerate(steps(paths[0])) if s.lstrip("!").split(".")[0].split("#")[0].split("@")[0] == wanted)
-                slot = "/" + "/".join(steps(paths[0])[: at + 1])
-                break
+    paths = [path for path, _ in blocks]
+    within = lambda path: path == slot or path.startswith(slot + "/")
+    if not slot or not any(map(within, paths)):
+        slot = own_slot(paths, (*MAIN, "body"))
+    elif element(steps(slot)[-1]) not in MAIN and "@main" not in slot:
+        slot = own_slot(list(filter(within, paths)), MAIN) or slot
     out = []
     for path, text in blocks:
-        if (not slot or path == slot or path.startswith(slot + "/")) and "/!" not in path[len(slot) :] and (not fixed or f"{path}\t{text[:400]}\t{len(text)}" not in fixed):
+        if (not slot or within(path)) and "/!" not in path[len(slot) :] and (not fixed or f"{path}\t{text[:400]}\t{len(text)}" not in fixed):
             out.append(text)
     return "\n\n".join(out)
 

@@ -167,8 +167,8 @@ def query(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", (crc_of_id() % 5 == 0).alias("held_out"), "lang_pred", "score")
 
 
-def stage(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those of no language or of a score under `least`; columns stay."""
+def stage(docs: DataFrame, least: float = 0.0) -> DataFrame:
+    """docs without those of no language, or of a score under `least`; columns stay. A low score alone, as in a text of two languages, is no reason to drop it by default."""
     found = classify(docs, learn(docs), docs.columns)
     good = found.where((F.col("lang_pred") != "und") & (F.col("score") >= least))
     return good.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])

@@ -97,6 +97,14 @@ def test_html_slot_without_an_article_element(spark):
     assert got == {i: f"{words_of(30, i)}\n\n{words_of(40, i + 100)}" for i in range(8)}
 
 
+def test_html_hosts_of_mixed_layouts(spark):
+    one = "<body><nav>n</nav><article><p>{0}</p></article><p>note outside</p></body>"
+    two = "<body><div class='menu'>m</div><div class='t'><p>{0}</p></div></body>"
+    pages = [(i, f"http://m.example/{i}", (one if i % 2 else two).format(words_of(20, i))) for i in range(10)]
+    got = {r["page_id"]: r["text"] for r in op1_html.query(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == {i: words_of(20, i) for i in range(10)}
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
@@ -344,6 +352,16 @@ def brute_jaccard(rows):
     return sorted((d, least[root(i)], links[i]) for i, (d, _) in enumerate(rows))
 
 
+def test_shingle_sets_do_not_depend_on_pieces(monkeypatch):
+    rng = random.Random(6)
+    texts = [None, "", " ", "one", "one two\tthree four", words_of(5, 1), *["".join(rng.choice("ab \n\t") for _ in range(rng.randrange(400))) for _ in range(60)]]
+    whole = op7_jaccard.shingle_sets(texts)
+    assert [len(s) for s in whole] == [len(shingles(t)) for t in texts]
+    for piece in (1, 7, 50):
+        monkeypatch.setattr(op7_jaccard, "PIECE", piece)
+        assert all((a == b).all() for a, b in zip(whole, op7_jaccard.shingle_sets(texts)))
+
+
 def near(text, edits, rng):
     words = text.split()
     for _ in range(edits):
