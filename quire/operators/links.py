@@ -194,13 +194,14 @@ def expand(template: str, match: re.Match) -> str:
     return re.sub(r"\\\$|\$(&|\d)", lambda m: "$" if m.group(1) is None else match.group() if m.group(1) == "&" else (match.group(int(m.group(1))) or "") if int(m.group(1)) <= match.re.groups else "", template)
 
 
-def inside_markup(matched: str, before: str, lower_case: bool = True) -> bool:
-    """Whether a match stands in a link or in a tag, by the text before it."""
+def inside_markup(matched: str, before: str, lower_case: bool = True, end: int | None = None) -> bool:
+    """Whether a match stands in a link or in a tag, by the text before it, up to end."""
     folded = matched.lower()
     if "</a>" in folded or "<a>" in folded:
         return True
     opened, closed = ("<a ", "</a>") if lower_case else ("<A ", "</A>")
-    return before.rfind(opened) > before.rfind(closed) or before.rfind("<") > before.rfind(">")
+    last = lambda sign: before.rfind(sign, 0, end)
+    return last(opened) > last(closed) or last("<") > last(">")
 
 
 def apply_rules(text: str, rules: list[Rule], used: set[int], used_here: set[int], lower_case: bool = True) -> str:

@@ -607,7 +607,7 @@ WORD = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 PUNCT = r"!-/:-@\[-`{-~"
 
 
-def replaced(text: str, regex: re.Pattern, accept: Callable[[str, int, int], bool], tag: str, in_link: Callable[[str, str], bool] | None = None) -> tuple[str, bool]:
+def replaced(text: str, regex: re.Pattern, accept: Callable[[str, int, int], bool], tag: str, in_link: Callable[[str, str, int], bool] | None = None) -> tuple[str, bool]:
     """(text with each accepted match's first group in an element, whether there was one). After a match that isn't accepted the search goes on one character later; one in a link or tag stays as it is."""
     out, at, kept, any_ = [], 0, 0, False
     while m := regex.search(text, at):
@@ -615,7 +615,7 @@ def replaced(text: str, regex: re.Pattern, accept: Callable[[str, int, int], boo
             at = m.start() + 1
             continue
         out.append(text[kept : m.start()])
-        if in_link and in_link(m.group(), "".join(out)):
+        if in_link and in_link(m.group(), text, m.start()):
             out.append(m.group())
         else:
             out.append(f"<{tag}>{m.group(1)}</{tag}>")
@@ -630,7 +630,7 @@ def delimited(text: str, mark: str, tag: str, lower_case: bool = True) -> str:
     flanked = lambda s, a, b: (char(s, a - 1) in WORD and char(s, a - 1) != "") == (mark in WORD) == (char(s, b) in WORD and char(s, b) != "")
     no_block = lambda s, a, b: not re.search("<li>|<LI>|<p>|<P>", s[a + 2 : b - 1])
     anything = lambda s, a, b: True
-    in_link = lambda matched, before: links.inside_markup(matched, before, lower_case)
+    in_link = lambda matched, whole, end: links.inside_markup(matched, whole, lower_case, end)
     if mark == "#":
         text, _ = replaced(text, pattern("#([A-Za-z])#"), flanked, tag)
         linked = "<a" in text or "<A" in text
