@@ -66,5 +66,39 @@ FROM placed
 """
 
 
+OP2_SQL = r"""
+WITH h AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT doc_id, x, CAST(length(x) // 2 AS BIGINT) AS n_bytes FROM h),
+w AS (SELECT doc_id, unnest(range(0, greatest(n_bytes - 99, 0))) AS p, x FROM n),
+s AS (SELECT doc_id, p, md5(substr(x, 2 * p + 1, 200)) AS v FROM w),
+c AS (SELECT doc_id, p, row_number() OVER (PARTITION BY v ORDER BY doc_id, p) > 1 AS again FROM s),
+g AS (SELECT doc_id, p, p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1) AS new FROM c WHERE again),
+i AS (SELECT doc_id, p, count(*) FILTER (new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM g),
+r AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM i GROUP BY doc_id, k),
+e AS (SELECT doc_id, a, b, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS from_, lead(a) OVER (PARTITION BY doc_id ORDER BY a) IS NULL AS last FROM r),
+k AS (SELECT e.doc_id, sum(b - a) AS n_removed, count(*) AS n_spans, string_agg(substr(x, 2 * from_ + 1, 2 * (a - from_)) || CASE WHEN last THEN substr(x, 2 * b + 1) ELSE '' END, '' ORDER BY a) AS kept FROM e JOIN n ON e.doc_id = n.doc_id GROUP BY e.doc_id)
+SELECT n.doc_id, n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM n LEFT JOIN k ON n.doc_id = k.doc_id
+"""
+
+OP9_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM t),
+v AS (SELECT doc_id, i, w || chr(10) || lead(w) OVER p || chr(10) || lead(w, 2) OVER p AS three FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
+d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) > 1 AS twice FROM v WHERE three IS NOT NULL),
+r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, (SELECT unnest([0, 1, 2]) AS k) WHERE twice GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+b AS (SELECT t.doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{L}')) AS letters
+  FROM t LEFT JOIN l ON t.doc_id = l.doc_id LEFT JOIN r ON t.doc_id = r.doc_id),
+f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (n_dup_lines >= 4 AND 2 * n_dup_lines > n_lines) OR 5 * letters < 2 * word_chars
+    OR (3 * (length(text) - length(replace(text, '!', ''))) > n_words AND 10 * len(regexp_extract_all(text, '\p{Lu}')) > 9 * letters)) AS kept
+FROM f
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op10_mixing": OP10_SQL}
+    """What SQL can say; the other operators are tested against brute force, a round trip or held-out labels."""
+    return {"op2_suffix": OP2_SQL, "op9_quality": OP9_SQL, "op10_mixing": OP10_SQL}
