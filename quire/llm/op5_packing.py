@@ -32,7 +32,7 @@ from quire.session import written
 WINDOW = 2048
 END = 1
 #: Chunks whose ids a task remembers.
-KNOWN = 400_000
+KNOWN = 700_000
 
 
 #: Latin-1 letters, then marks: the tokenizer makes one word of the letters and one of the marks.
@@ -47,19 +47,38 @@ class Numbered(dict):
         return n
 
 
+def word_ends(path: str) -> np.ndarray:
+    """Which ids end a word; none where the vocabulary doesn't mark them."""
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    suffix, words = model.get("end_of_word_suffix") or "", model["vocab"]
+    ends = np.zeros(max(words.values()) + 1, bool)
+    ends[[i for w, i in words.items() if suffix and w.endswith(suffix)]] = True
+    return ends
+
+
+def chunks_of(text: str | None) -> list[str]:
+    """What stands between spaces and line ends. Latin-1 is lower-cased first, as the tokenizer does, so fewer are distinct;
+    strings like those of special tokens are left as they stand."""
+    text = text or ""
+    if "<|" not in text:
+        try:
+            text.encode("latin-1")
+            text = text.lower()
+        except UnicodeEncodeError:
+            pass
+    return text.replace("\n", " ").split(" ")
+
+
 class Ids:
     """Texts to ids. Each distinct chunk between spaces and line ends is given to the tokenizer once in a while.
 
     Plain chunks go joined by spaces, which costs half as much; ids that end a word tell where each chunk ends."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ends: np.ndarray):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        suffix = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix") or ""
-        words = self.tokenizer.get_vocab(with_added_tokens=False)
-        self.ends = np.zeros(max(words.values()) + 1, bool)
-        self.ends[[i for w, i in words.items() if suffix and w.endswith(suffix)]] = True
+        self.tokenizer, self.ends = Tokenizer.from_file(path), ends
         self.forget()
 
     def forget(self) -> None:
@@ -100,7 +119,7 @@ class Ids:
         """The ids of each text and the end id."""
         if len(self.chunks) > KNOWN:
             self.forget()
-        split = [(t or "").replace("\n", " ").split(" ") for t in texts]
+        split = [chunks_of(t) for t in texts]
         numbers = [np.fromiter(map(self.chunks.__getitem__, w), np.int64, len(w)) for w in split]
         self.learn()
         out = []
@@ -117,10 +136,11 @@ def cut(docs: DataFrame, path: str, keep_ids: bool = False, window: int = WINDOW
     own = docs.select("doc_id").schema["doc_id"]
     schema = StructType([own, *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")], *([StructField("ids", ArrayType(IntegerType()))] if keep_ids else [])])
     made: dict = {}
+    ends = word_ends(path)
 
     def run(doc_ids, texts):
         if "ids" not in made:
-            made["ids"] = Ids(path)
+            made["ids"] = Ids(path, ends)
         out = {f.name: [] for f in schema}
         for doc, ids in zip(doc_ids, made["ids"](texts)):
             for start in range(0, len(ids), window):
