@@ -204,6 +204,13 @@ def inside_markup(matched: str, before: str, lower_case: bool = True, end: int |
     return last(opened) > last(closed) or last("<") > last(">")
 
 
+def clue_of(rules: list[Rule]) -> re.Pattern | None:
+    """Finds a literal of any rule; None if some rule has none. What it doesn't find in a lower-case text no rule matches."""
+    if not all(r.literals for r in rules):
+        return None
+    return re.compile("|".join(sorted({re.escape(x) for r in rules for x in r.literals})) or r"(?!)")
+
+
 def apply_rules(text: str, rules: list[Rule], used: set[int], used_here: set[int], lower_case: bool = True) -> str:
     """All rules in order over a paragraph, each from left to right, never inside earlier links.
 

@@ -33,7 +33,7 @@ def pattern(text: str, no_case: bool = False) -> re.Pattern:
 
 
 def escape(text: str) -> str:
-    return text.translate(ESCAPES)
+    return text.translate(ESCAPES) if "&" in text or "<" in text or ">" in text else text
 
 
 def escape_attr(text: str) -> str:
@@ -131,6 +131,7 @@ class Writer:
         self.before: set[str] = set()  # what the last paragraph's last line did
         self.policy = tuple(sorted({s.strip().lower() for s in (o.allowed_url_schemes or "").split(",") if s.strip()}))
         self.rules = rules if rules is not None else links.load_rules(policy=self.policy, lower_case=o.lower_case_tags)[0] if o.make_links else []
+        self.clue = links.clue_of(self.rules)
         self.used, self.used_here = set(), set()
         self.dropped: list[str] = []
         self.bullet = f"[{class_body(o.bullets)}]"
@@ -499,7 +500,7 @@ class Writer:
 
     def paragraph(self, text: str, close: bool = False, fragment: bool = False) -> str:
         o, self.special, does = self.opts, "", set()
-        if o.demoronize:
+        if o.demoronize and not text.isascii():
             text = text.translate(SMART_TABLE)
         if not o.link_only:
             text = re.sub(r"[ \t]*\r(?=\n?\Z)", "", text) if text.removesuffix("\n").endswith("\r") else text
@@ -522,7 +523,7 @@ class Writer:
             text += self.close_lists(len(self.lists))
             while self.tags.closes and self.tags.open:
                 text += self.tags.close()
-        if not o.eight_bit_clean:
+        if not o.eight_bit_clean and not text.isascii():
             text = (text.translate(CODE_TABLE) if o.demoronize else text).translate(ENTITY_TABLE)
         self.before = does | {"LINK"}
         return text
@@ -531,7 +532,8 @@ class Writer:
 
     def inline(self, text: str) -> str:
         if self.rules:
-            text = links.apply_rules(text, self.rules, self.used, self.used_here, self.opts.lower_case_tags)
+            if self.clue is None or self.clue.search(text.lower()):
+                text = links.apply_rules(text, self.rules, self.used, self.used_here, self.opts.lower_case_tags)
             text, dropped = links.scrub(text, self.policy)
             self.dropped += [s for s in dropped if s not in self.dropped]
             if self.opts.no_referrer:
