@@ -4,7 +4,9 @@ A text is the set of its five-word shingles (64-bit names); texts with equal set
 Sets are embedded as min-hash coordinates. In each of `runs` runs, a tree splits the nodes: at a tree node every
 coordinate is chosen with probability 1 / (similarity * coordinates), the same ones for all sets there, and a set
 goes on to the child of each chosen coordinate with its value. Similar sets share a path with a probability that
-grows with their similarity; runs are repeated until the chance to miss a pair at the bound is under the target.
+grows with their similarity; runs are repeated until the chance to miss a pair at the bound is under the target. A
+shared path of all levels is rarer than one of two, so sets in large buckets that go on down the tree get more runs,
+until the target holds for them too.
 
 The first two levels are walked where the set is read. Buckets are counted before rows are dealt: single
 ones go, small ones are compared pair by pair on a sketch of two bits a coordinate, with a margin of four standard
@@ -49,10 +51,38 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def apart(similarity: float, level: int) -> tuple[np.ndarray, np.ndarray]:
+    """(weight, chance) by how many coordinates of a pair at the bound agree: it shares no path of so many levels in a run."""
+    agree, chosen = np.arange(COORDINATES + 1), 1 / (similarity * COORDINATES)
+    weight = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree.tolist()])
+    chance = np.zeros(COORDINATES + 1)
+    for _ in range(level):
+        chance = (1 - chosen * (1 - chance)) ** agree
+    return weight, chance
+
+
+def missed(similarity: float, runs: int, more: int = 0, levels: int = 2) -> float:
+    """The chance to miss a pair at the bound if its sets get `more` runs once a path they share is in a large bucket, down to `levels`."""
+    weight, two = apart(similarity, 2)
+    deep = apart(similarity, levels)[1]
+    return float(weight @ (two**runs + (deep**runs - two**runs) * deep**more))
+
+
 def runs_for(similarity: float, miss: float = 0.002) -> int:
-    """Runs until a pair at the bound is missed with at most this chance: children are Poisson, of mean 1 at the bound."""
-    lost = math.exp(-(1 - math.exp(-1.0)))  # no shared path of two levels
-    return math.ceil(math.log(miss) / math.log(lost))
+    """Runs until a pair at the bound shares no path of two levels with less than this chance."""
+    weight, two = apart(similarity, 2)
+    runs = 1
+    while weight @ two**runs >= miss:
+        runs += 1
+    return runs
+
+
+def more_runs_for(similarity: float, runs: int, levels: int, miss: float = 0.002) -> int:
+    """Runs beyond these for sets in large buckets until a pair at the bound is missed with less than this chance, even if it is found at the last level only."""
+    more = 0
+    while missed(similarity, runs, more, levels) >= miss:
+        more += 1
+    return more
 
 
 def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -188,14 +218,15 @@ def read_sets(docs: DataFrame) -> DataFrame:
 PATHS = StructType([StructField("path", LongType()), StructField("node", BinaryType()), StructField("leader", BinaryType()), StructField("sketch", BinaryType())])
 
 
-def first_paths(nodes: DataFrame, similarity: float, runs: int) -> DataFrame:
-    """Each node's paths of two levels in every run. leader: the least member it was found alike with, at first itself."""
+def first_paths(nodes: DataFrame, similarity: float, runs: int, done: int = 0) -> DataFrame:
+    """Each node's paths of two levels in so many runs after those done. leader: the least member it was found alike with, at first itself."""
 
     def run(batches):
-        roots = mixed(np.arange(1, runs + 1, dtype=np.uint64) * MIX3)
+        roots = mixed(np.arange(done + 1, done + runs + 1, dtype=np.uint64) * MIX3)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            step = max(1, 5120 // runs)
+            for at in range(0, batch.num_rows, step):
+                part = batch.slice(at, step)
                 values = np.frombuffer(b"".join(part.column(1).to_pylist()), np.uint32).reshape(-1, COORDINATES)
                 n = len(values)
                 own = np.tile(np.arange(n), runs)
@@ -205,9 +236,9 @@ def first_paths(nodes: DataFrame, similarity: float, runs: int) -> DataFrame:
                 own = own[row]
                 take = pa.array(own)
                 marks = _binary(sketch(values))
-                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(take), part.column(0).take(take), marks.take(take)], names=[f.name for f in PATHS])
+                yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(take), part.column(2).take(take), marks.take(take)], names=[f.name for f in PATHS])
 
-    return nodes.select("node", "hashes").mapInArrow(run, PATHS)
+    return nodes.select("node", "hashes", "leader").mapInArrow(run, PATHS)
 
 
 def next_paths(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -274,15 +305,16 @@ def candidate_groups(nodes: DataFrame, similarity: float, runs: int, levels: int
 
     Groups are the components of what was found; a bucket with members of one group only is settled, since groups are
     compared exactly later. They are formed once after the first buckets, where copies of one text meet, and once at
-    the end. leader is a node's group, at first the node itself."""
-    rows, groups, found = first_paths(nodes, similarity, runs), None, []
-    for level in range(2, levels + 1):
+    the end. leader is a node's group, at first the node itself. Nodes of large buckets that aren't settled by then get
+    more runs, which join the walk at its first level."""
+    rows, groups, found = first_paths(nodes.withColumn("leader", F.col("node")), similarity, runs), None, []
+    for turn, level in enumerate((2, *range(2, levels + 1))):
         rows = written(rows, f"paths-{level}")
         buckets = rows.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("lead"), F.min("leader").alias("least"), F.max("leader").alias("most")).where("n > 1 and least != most")
         live = written(rows.join(buckets, "path").drop("least", "most"), f"buckets-{level}")
         found.append(written(small_edges(live.where(F.col("n") <= SMALL), similarity), f"edges-{level}"))
         large = live.where(F.col("n") > SMALL)
-        if large.isEmpty():
+        if turn != 1 and large.isEmpty():
             break
         spokes = large.where("node != lead.node")
         if level == levels:
@@ -295,7 +327,15 @@ def candidate_groups(nodes: DataFrame, similarity: float, runs: int, levels: int
             large = large.drop("leader").join(groups, "node", "left").withColumn("leader", F.coalesce("least", "node"))
         named = written(large.select("path", "node", "leader", "sketch"), f"named-{level}")
         open_ = named.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most").select("path")
-        rows = next_paths(named.join(open_, "path"), nodes, similarity)
+        going = named.join(open_, "path")
+        if turn == 0:
+            waiting = written(going, "open")
+            if waiting.isEmpty():
+                break
+            crowded = waiting.select("node", "leader").distinct().join(nodes.select("node", "hashes"), "node")
+            rows = first_paths(crowded, similarity, more_runs_for(similarity, runs, levels), runs)
+        else:
+            rows = next_paths(going.unionByName(waiting) if turn == 1 else going, nodes, similarity)
     return written(components(reduce(DataFrame.unionByName, found)), "groups")
 
 

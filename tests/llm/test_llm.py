@@ -395,6 +395,27 @@ def test_unsettled_large_buckets_are_joined_whole(spark, monkeypatch):
     assert got == brute_jaccard(rows)
 
 
+def test_pairs_that_share_a_frequent_passage_are_found(spark, monkeypatch):
+    # leaders alone would join the crowds
+    monkeypatch.setattr(op7_jaccard, "SMALL", 20)
+    monkeypatch.setattr(op7_jaccard, "led_edges", lambda spokes, s: spokes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
+    rows = []
+    for crowd in range(5):
+        passage = words_of(156, -1 - crowd, 5000)
+        for pair in range(40):
+            own = words_of(8, 10_000 + len(rows), 5000)
+            rows += [(len(rows) + k, f"{passage} {own} {words_of(20, 20_000 + len(rows) + k, 5000)}") for k in range(2)]
+    assert {d: n for d, _, n in brute_jaccard(rows[:6])} == dict.fromkeys(range(6), 1)
+    got = {r["doc_id"]: r["n_links"] for r in op7_jaccard.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(not n for n in got.values()) / len(rows) < 0.01
+
+
+def test_runs_hold_the_target_at_the_last_level():
+    runs = op7_jaccard.runs_for(0.8)
+    assert op7_jaccard.missed(0.8, runs) < 0.002 < op7_jaccard.missed(0.8, runs, 0, 8)
+    assert op7_jaccard.missed(0.8, runs, op7_jaccard.more_runs_for(0.8, runs, 8), 8) < 0.002
+
+
 def test_near_duplicate_stage_keeps_one_of_each_class(odd):
     kept = [r["doc_id"] for r in op7_jaccard.stage(odd).collect()]
     assert sorted(k for k in kept if k is not None) == [1, 4, 5, 6, 7, 9, 10, 11] and kept.count(None) == 1
