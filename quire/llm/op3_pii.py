@@ -15,7 +15,8 @@ posteriors as soft targets; a candidate becomes a span at probability `cut` or a
 (3 ** labelers at most), whatever the corpus.
 
 Defined cases: null text is empty and has no spans; repeated rows each get a row; a base match inside another
-kind stays (kinds are found apart); an added span that meets a base span or an earlier one is left out.
+kind stays (kinds are found apart); of an added span that meets base spans, the parts of four characters or more beside
+them stay; one that meets an earlier added one is left out. Values have no greatest length.
 """
 
 from __future__ import annotations
@@ -45,8 +46,8 @@ NO_VALUE = ("true", "false", "none", "null", "yes", "no", "required", "optional"
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "glpat-")
 
 #: Anything that might be added: a keyed value, a prefixed key, a long hex or mixed token, an IBAN shape, an address written apart.
-KEYED = re.compile(r"(?i)\b(password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth|bearer|ssn|iban|pin|passport)\b[\"']?\s{0,2}(?:[:=]|is\b)\s{0,2}[\"']?([^\s\"'<>,;]{4,200})")
-SHAPED = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp_|gho_|github_pat_|sk-|sk_live_|pk_live_|xox[bp]-|AIza|glpat-)[A-Za-z0-9_-]{12,200}|\b[0-9a-f]{20,200}\b|\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b|\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
+KEYED = re.compile(r"(?i)\b(password|passwd|pwd|passphrase|token|secret|api[_-]?key|access[_-]?key|auth|bearer|ssn|iban|pin|passport)\b[\"']?\s{0,2}(?:[:=]|is\b)\s{0,2}[\"']?([^\s\"'<>,;]{4,}+)")
+SHAPED = re.compile(r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\b(?:ghp_|gho_|github_pat_|sk-|sk_live_|pk_live_|xox[bp]-|AIza|glpat-)[A-Za-z0-9_-]{12,}+|\b[0-9a-f]{20,}+\b|\b[A-Z]{2}[0-9]{2}(?: ?[0-9A-Z]{4}){3,7}(?: ?[0-9A-Z]{1,3})?\b|\b[0-9]{3}-[0-9]{2}-[0-9]{4}\b")
 APART = re.compile(r"(?i)\b[a-z0-9._%+-]{1,64} ?(?:\(at\)|\[at\]) ?[a-z0-9-]{1,63}(?: ?(?:\.|\(dot\)|\[dot\]) ?[a-z0-9-]{1,63}){1,4}")
 CLUES = ("pass", "token", "secret", "pwd", "key", "auth", "bearer", "ssn", "iban", "pin")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -187,7 +188,7 @@ def learn(scanned: DataFrame) -> np.ndarray:
 
 
 def added(found: list[tuple[int, int, str]], base: list[tuple[str, int, int]], weights: np.ndarray, cut: float) -> list[tuple[str, int, int]]:
-    """The method's own spans, kind secret or ident; none meets a base span."""
+    """The method's own spans, kind secret or ident; none meets a base span, what stands beside one stays."""
     if not found:
         return []
     sure = 1 / (1 + np.exp(-np.clip(_features([v for _, _, v in found]) @ weights, -30, 30)))
@@ -196,8 +197,11 @@ def added(found: list[tuple[int, int, str]], base: list[tuple[str, int, int]], w
     for (a, b, votes), p in zip(found, sure):
         if p >= cut:
             i = bisect_left(taken, (b, -1))  # base spans that start before b; the longest is short beside a text
-            if not any(y > a for _, y in taken[:i]):
-                out.append(("ident" if votes[LABELERS.index("grouped")] == "y" else "secret", a, b))
+            kind, at = "ident" if votes[LABELERS.index("grouped")] == "y" else "secret", a
+            for x, y in [*(t for t in taken[:i] if t[1] > a), (b, b)]:
+                if x - at >= 4:
+                    out.append((kind, at, x))
+                at = max(at, y)
     return out
 
 

@@ -181,6 +181,21 @@ def test_pii_adds_secrets_and_leaves_plain_text(spark):
     assert not any(got[i] for i in range(len(secrets), len(got)))
 
 
+def test_pii_takes_long_values_whole(spark):
+    rng = random.Random(4)
+    token = "eyJ" + "".join(rng.choice("abcdefghijkXYZ") + rng.choice("23456789") + "-" for _ in range(150))
+    parted = "x7" * 120 + "/10.20.30.40/" + "y8" * 120
+    hexed = "".join(rng.choice("abcdef") + rng.choice("0123456789") for _ in range(150))
+    prefixed = "ghp_" + "".join(rng.choice("abcdefXYZ") + rng.choice("0123456789") for _ in range(150))
+    short = ['token = "%s" then' % hashlib.sha1(b"%d" % i).hexdigest() for i in range(30)] + ["key %s end" % hashlib.sha1(b"%d" % i).hexdigest() for i in range(30)]
+    texts = [f"token: {token} end", f"see {hexed} end", f"use {prefixed} end", f"token: {parted} end", *short, *["the token is lost and the password was forgotten by 12 people in 1999"] * 60]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in op3_pii.query(docs).collect()}
+    assert [got[0], got[1], got[2]] == [f"secret:7:{7 + len(token)}", "secret:4:304", f"secret:4:{4 + len(prefixed)}"]
+    new = {r["doc_id"]: r["text"] for r in op3_pii.stage(docs).collect()}
+    assert [new[i] for i in range(4)] == ["token: <SECRET> end", "see <SECRET> end", "use <SECRET> end", "token: <SECRET><IP><SECRET> end"]
+
+
 # 4 and 8 ---------------------------------------------------------------------------------------------------------
 
 
