@@ -469,7 +469,7 @@ def exact_links(groups: DataFrame, similarity: float) -> DataFrame:
 
 
 def join(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """doc_id, class_id, n_links (other documents at least as similar), n_copies (documents with its set), node."""
+    """doc_id, class_id, n_links (other documents at least as similar), n_copies (documents with its set), node, class (null without shingles)."""
     keys = written(read_sets(docs), "jaccard-sets")
     nodes = written(keys.where("hashes is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")), "jaccard-nodes")
     groups = candidate_groups(nodes, similarity, runs_for(similarity)).select("node", F.col("least").alias("group"))
@@ -480,21 +480,46 @@ def join(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     small = nodes.select("node", "doc", "copies").join(classes, "node", "left").join(counted, "node", "left").withColumn("class", F.coalesce("least", "node"))
     least = small.groupBy("class").agg(F.min("doc").alias("class_id"))
-    small = written(small.join(least, "class").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "jaccard-classes")
+    small = written(small.join(least, "class").select("node", "class", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "jaccard-classes")
     found = keys.select("doc_id", "node").join(small.withColumnRenamed("node", "its"), F.col("node") == F.col("its"), "left")
     return found.select(
-        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"),
+        "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), keys["node"], "class",
     )
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return join(docs)
+    return join(docs).drop("node", "class")
+
+
+def with_nodes(docs: DataFrame) -> DataFrame:
+    """docs as k0, k1, ... and node, the key of each row's own set."""
+    names = docs.columns
+    at = names.index("text")
+    schema = StructType([*[StructField(f"k{i}", f.dataType) for i, f in enumerate(docs.schema)], StructField("node", BinaryType())])
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                keys = pa.array([set_key(s) for s in shingle_sets(part.column(at).to_pylist())], pa.binary())
+                yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[f.name for f in schema])
+
+    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]).mapInArrow(run, schema)
 
 
 def stage(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """docs with one document of each class, the least doc_id; rows without an id stay. Columns stay."""
+    """docs with one row of each class, of the least doc_id; rows without an id stay. Columns stay.
+
+    An id of one row says what happens to it; rows that share an id are told apart by their sets."""
     found = written(join(docs, similarity), "jaccard-found")
-    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__gone")).distinct()
-    kept = docs.join(gone.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    again = found.where("doc_id = class_id and n_copies > 1").groupBy("doc_id").count().where("count > 1")
-    return kept if again.isEmpty() else kept.dropDuplicates(["doc_id"])
+    gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__gone"))
+    shared = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone")), "jaccard-shared")
+    kept = docs.join(gone.unionByName(shared).distinct().hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
+    if shared.isEmpty():
+        return kept
+    at = f"k{docs.columns.index('doc_id')}"
+    least = found.where("doc_id = class_id").join(shared, F.col("doc_id") == F.col("__gone")).select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node"), "class").distinct()
+    rows = with_nodes(docs.join(shared.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_semi"))
+    rows = rows.join(least.hint("merge"), (F.col(at) == F.col("__doc")) & (F.col("node") == F.col("__node")))
+    rows = rows.where("class is not null").dropDuplicates(["class"]).unionByName(rows.where("class is null"))
+    return kept.unionByName(rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)]))

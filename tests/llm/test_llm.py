@@ -437,6 +437,15 @@ def test_near_duplicate_stage_keeps_one_of_each_class(odd):
     assert op7_jaccard.stage(odd).columns == odd.columns
 
 
+def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
+    one, two, three, four, five, six = (words_of(80, 40 + i, 5000) for i in range(6))
+    # 1: a repeated row; 2: two texts, one of them a copy of 1; 3: two texts, one of them repeated and copied by 5; no ids; no shingles
+    rows = [(1, one), (1, one), (2, one), (2, two), (3, three), (3, three), (3, four), (5, three + " end"), (None, five), (None, six), (4, ""), (4, None)]
+    got = op7_jaccard.stage(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    want = [(1, one), (2, two), (3, three), (3, four), (None, five), (None, six), (4, ""), (4, None)]
+    assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
