@@ -23,20 +23,26 @@ def crc_of_id(column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")))
 
 
+def parts(batch: pa.RecordBatch, size: int, most_bytes: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most size rows and about most_bytes; only a single row may be larger."""
+    at = 0
+    while at < batch.num_rows:
+        n = min(size, batch.num_rows - at)
+        while n > 1 and batch.slice(at, n).nbytes > most_bytes:
+            n //= 2
+        yield batch.slice(at, n)
+        at += n
+
+
 def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: StructType, size: int = 256, text_bytes: int = 4 << 20) -> DataFrame:
     """fn(**lists of the named columns) -> dict of lists, over slices of at most size rows and about text_bytes of data.
 
     A slice never holds more than one row beyond text_bytes, so memory follows the longest row."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
         for batch in batches:
-            at = 0
-            while at < batch.num_rows:
-                n = min(size, batch.num_rows - at)
-                while n > 1 and batch.slice(at, n).nbytes > text_bytes:
-                    n //= 2
-                part = batch.slice(at, n)
-                at += n
+            for part in parts(batch, size, text_bytes):
                 got = fn(*(part.column(i).to_pylist() for i in range(part.num_columns)))
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)

@@ -1,32 +1,38 @@
 """N-gram Jaccard join by chosen paths.
 
 A text is the set of its five-word shingles (64-bit names); texts with equal sets are one node from the start.
-Sets are embedded as min-hash coordinates. In each of `runs` runs, a tree splits the nodes: at a tree node every
+Sets are embedded as min-hash coordinates. In each run, a tree splits the nodes: at a tree node every
 coordinate is chosen with probability 1 / (similarity * coordinates), the same ones for all sets there, and a set
 goes on to the child of each chosen coordinate with its value. Similar sets share a path with a probability that
-grows with their similarity; runs are repeated until the chance to miss a pair at the bound is under the target. A
-shared path of all levels is rarer than one of two, so sets in large buckets that go on down the tree get more runs,
-until the target holds for them too.
-
-The first two levels are walked where the set is read. Buckets are counted before rows are dealt: single
-ones go, small ones are compared pair by pair on a sketch of two bits a coordinate, with a margin of four standard
-errors, and large ones are compared with their least member only and then split further. A large bucket is
-settled once all its members are in one candidate group; one that isn't after `levels` levels is joined whole.
-
-That gives candidate groups (connected components, in DataFrames). Inside a group every pair is then compared by
-exact Jaccard similarity on whole sets, in blocks of bounded size that are dealt out apart, so nothing the sketch
-or the leaders left out within a group is lost, and the number of links is exact. Final classes are the components of
-the exact links.
+grows with their similarity. Runs are repeated until the target recall: pairs at the bound are drawn, walked down the
+very trees that the join uses, and runs are added until hardly any pair (`miss`) shares no path.
+
+The first two levels are walked where the set is read. Buckets are counted before rows are dealt: single ones go, and
+buckets of at most SMALL are compared pair by pair on a sketch of two bits a coordinate, with a margin of four
+standard errors. Larger ones are compared with their least member, the leader, and split further. Differences of
+sketches obey the triangle inequality, so if the nearest member that isn't like the leader is `lo` apart from it, a
+member that is like it and less than `lo` - bound apart can be like none of the others, and has no need to go on. A bucket
+whose members are all in one candidate group is settled. A shared path of all levels is rarer than one of two, so sets
+that do go on get more runs, until the target holds for them too. A bucket that isn't settled after `levels`
+levels is joined whole.
+
+That gives candidate groups (connected components, in DataFrames; a bucket sends a spanning forest of what it found).
+Inside a group every pair is then compared by exact Jaccard similarity on whole sets, in blocks of bounded size that
+are dealt out apart, so nothing the sketch or the leaders left out within a group is lost, and the number of links is
+exact. Final classes are the components of the exact links.
 
 Defined cases: null or wordless texts have no shingles and are classes of their own; texts of under five words have
-one shingle, all their words; copies are links of similarity 1; class_id is the least doc_id of the class, rows of one
-doc_id count apart.
+one shingle, all their words; very long texts go in pieces; copies are links of similarity 1, however many; class_id is
+the least doc_id of the class, rows of one doc_id count apart, and a row without an id that is like another takes the least
+id there is in its class; a similarity equal to the bound counts; an empty table gives an empty result; further columns
+are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
+from functools import cache, reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -34,14 +40,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
+from quire.llm.common import map_rows, parts
 from quire.llm.components import components
 from quire.session import written
 
 COORDINATES = 128
 #: Bytes of text named at once.
 PIECE = 1 << 20
-#: Sets of this many are compared pair by pair; a group's blocks have so many.
-SMALL, BLOCK = 48, 256
+#: Buckets of up to so many sets are compared pair by pair: at most 4096 comparisons of 32 bytes a row.
+SMALL = 4096
+#: Buckets of up to so many are compared all at once.
+FEW = 32
+#: A group's blocks have about so many sets, and about so many shingles.
+BLOCK, BLOCK_SHINGLES = 512, 1_000_000
 MIX1, MIX2, MIX3 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
@@ -51,38 +62,27 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def apart(similarity: float, level: int) -> tuple[np.ndarray, np.ndarray]:
-    """(weight, chance) by how many coordinates of a pair at the bound agree: it shares no path of so many levels in a run."""
-    agree, chosen = np.arange(COORDINATES + 1), 1 / (similarity * COORDINATES)
-    weight = np.array([math.comb(COORDINATES, k) * similarity**k * (1 - similarity) ** (COORDINATES - k) for k in agree.tolist()])
-    chance = np.zeros(COORDINATES + 1)
-    for _ in range(level):
-        chance = (1 - chosen * (1 - chance)) ** agree
-    return weight, chance
-
-
-def missed(similarity: float, runs: int, more: int = 0, levels: int = 2) -> float:
-    """The chance to miss a pair at the bound if its sets get `more` runs once a path they share is in a large bucket, down to `levels`."""
-    weight, two = apart(similarity, 2)
-    deep = apart(similarity, levels)[1]
-    return float(weight @ (two**runs + (deep**runs - two**runs) * deep**more))
-
+def misses(similarity: float, level: int, pairs: int):
+    """After each run, the share of pairs drawn at the bound that share no path of so many levels yet."""
+    rng = np.random.default_rng(11)
+    one = rng.integers(0, 1 << 32, (pairs, COORDINATES), dtype=np.uint32)
+    two = np.where(rng.random(one.shape) < similarity, one, rng.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    left = np.arange(pairs)
+    for run in count():
+        own, paths = left, np.full(len(left), roots_of(run, 1)[0])
+        for _ in range(level):
+            # only paths that both sets go down
+            (row, path), (row2, path2) = (children(paths, x[own], similarity) for x in (one, two))
+            both = np.isin(mixed(path) + row.astype(np.uint64), mixed(path2) + row2.astype(np.uint64))
+            own, paths = own[row[both]], path[both]
+        left = left[~np.isin(left, own)]
+        yield len(left) / pairs
 
-def runs_for(similarity: float, miss: float = 0.002) -> int:
-    """Runs until a pair at the bound shares no path of two levels with less than this chance."""
-    weight, two = apart(similarity, 2)
-    runs = 1
-    while weight @ two**runs >= miss:
-        runs += 1
-    return runs
 
-
-def more_runs_for(similarity: float, runs: int, levels: int, miss: float = 0.002) -> int:
-    """Runs beyond these for sets in large buckets until a pair at the bound is missed with less than this chance, even if it is found at the last level only."""
-    more = 0
-    while missed(similarity, runs, more, levels) >= miss:
-        more += 1
-    return more
+@cache
+def runs_for(similarity: float, level: int = 2, miss: float = 0.002, pairs: int = 10_000) -> int:
+    """Runs until pairs at the bound that share no path of so many levels are at most this share."""
+    return next(i for i, share in enumerate(misses(similarity, level, pairs), 1) if share <= miss)
 
 
 def word_names(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,15 +178,26 @@ def sketch(values: np.ndarray) -> np.ndarray:
     return bits[:, :, 0] | bits[:, :, 1] << 2 | bits[:, :, 2] << 4 | bits[:, :, 3] << 6
 
 
-#: For each byte of two sketches' difference, how many of its four coordinates agree.
-AGREE = np.array([sum((b >> s) & 3 == 0 for s in (0, 2, 4, 6)) for b in range(256)], np.uint8)
+def unlike(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many coordinates of sketches (rows of 64-bit words) differ; obeys the triangle inequality."""
+    x = a ^ b
+    return np.bitwise_count((x | x >> np.uint64(1)) & np.uint64(0x5555555555555555)).sum(-1, dtype=np.int64)
 
 
-def likely(a: np.ndarray, b: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether sketches (rows) may be as similar as the bound, within four standard errors."""
-    agree = AGREE[a ^ b].sum(-1) / COORDINATES
+def limit(similarity: float) -> int:
+    """The most coordinates in which the sketches of a pair at the bound differ, within four standard errors."""
     p = similarity + (1 - similarity) / 4
-    return agree >= p - 4 * math.sqrt(p * (1 - p) / COORDINATES)
+    return int(COORDINATES * (1 - p + 4 * math.sqrt(p * (1 - p) / COORDINATES)))
+
+
+def led_limit(similarity: float) -> int:
+    """The same, for members of a large bucket and its leader."""
+    return limit(similarity)
+
+
+def roots_of(done: int, runs: int) -> np.ndarray:
+    """The roots of the trees of so many runs after those done."""
+    return mixed(np.arange(done + 1, done + runs + 1, dtype=np.uint64) * MIX3)
 
 
 def children(paths: np.ndarray, values: np.ndarray, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -201,28 +212,25 @@ def _binary(rows: np.ndarray) -> pa.Array:
 
 
 def read_sets(docs: DataFrame) -> DataFrame:
-    """doc_id, node (the set's key), hashes (its coordinates) of each row of docs."""
+    """doc_id, node (the set's key), size (of the set), hashes (its coordinates) of each row of docs."""
     own = docs.select("doc_id").schema["doc_id"]
-    schema = StructType([own, StructField("node", BinaryType()), StructField("hashes", BinaryType())])
+    schema = StructType([own, StructField("node", BinaryType()), StructField("size", LongType()), StructField("hashes", BinaryType())])
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingle_sets(part.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([set_key(s) for s in sets], pa.binary()), pa.array([min_hashes(s).tobytes() if len(s) else None for s in sets], pa.binary())], names=[own.name, "node", "hashes"])
+    def run(ids, texts):
+        sets = shingle_sets(texts)
+        return {own.name: ids, "node": [set_key(s) for s in sets], "size": [len(s) for s in sets], "hashes": [min_hashes(s).tobytes() if len(s) else None for s in sets]}
 
-    return docs.select("doc_id", "text").mapInArrow(run, schema)
+    return map_rows(docs, ["doc_id", "text"], run, schema)
 
 
 PATHS = StructType([StructField("path", LongType()), StructField("node", BinaryType()), StructField("leader", BinaryType()), StructField("sketch", BinaryType())])
 
 
 def first_paths(nodes: DataFrame, similarity: float, runs: int, done: int = 0) -> DataFrame:
-    """Each node's paths of two levels in so many runs after those done. leader: the least member it was found alike with, at first itself."""
+    """Each node's paths of two levels in so many runs after those done. leader: the candidate group it is known to be in."""
 
     def run(batches):
-        roots = mixed(np.arange(done + 1, done + runs + 1, dtype=np.uint64) * MIX3)
+        roots = roots_of(done, runs)
         for batch in batches:
             step = max(1, 5120 // runs)
             for at in range(0, batch.num_rows, step):
@@ -259,8 +267,29 @@ def next_paths(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
 EDGES = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
 
 
+def _edges(pairs) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+
+
+def forest(marks: np.ndarray, most: int) -> tuple[list[int], list[int]]:
+    """Pairs of rows that hold together whatever differs in at most so many coordinates: one pair less than a component's rows."""
+    left, right, todo = [], [], np.arange(len(marks))
+    while len(todo):
+        stack, todo = [int(todo[0])], todo[1:]
+        while stack and len(todo):
+            i = stack.pop()
+            near = unlike(marks[todo], marks[i]) <= most
+            hit = todo[near].tolist()
+            left += [i] * len(hit)
+            right += hit
+            stack += hit
+            todo = todo[~near]
+    return left, right
+
+
 def small_edges(rows: DataFrame, similarity: float) -> DataFrame:
-    """Likely pairs within buckets of at most SMALL; rows are (path, node, sketch), dealt by path."""
+    """Edges that hold together the likely pairs of each bucket; rows are (path, node, sketch) of buckets of at most SMALL, dealt by path."""
+    most, small, few = limit(similarity), SMALL, FEW
 
     def run(batches):
         rest = None
@@ -280,96 +309,104 @@ def small_edges(rows: DataFrame, similarity: float) -> DataFrame:
             return
         table = table.combine_chunks()
         paths, nodes = table.column(0).to_numpy(), table.column(1).to_pylist()
-        marks = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint8).reshape(len(paths), -1)
+        marks = np.frombuffer(b"".join(table.column(2).to_pylist()), np.uint64).reshape(len(paths), -1)
         starts = np.flatnonzero(np.concatenate(([True], paths[1:] != paths[:-1])))
         sizes = np.diff(np.append(starts, len(paths)))
         left, right = [], []
-        for size in np.unique(sizes[sizes > 1]).tolist():
+        for size in np.unique(sizes[(sizes > 1) & (sizes <= min(small, few))]).tolist():
             x, y = np.triu_indices(size, 1)
             of = starts[sizes == size]
             step = max(1, 200_000 // len(x))
             for k in range(0, len(of), step):
                 a, b = (of[k : k + step, None] + x).reshape(-1), (of[k : k + step, None] + y).reshape(-1)
-                good = likely(marks[a], marks[b], similarity)
+                good = unlike(marks[a], marks[b]) <= most
                 left += a[good].tolist()
                 right += b[good].tolist()
-        pairs = {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in zip(left, right) if nodes[i] != nodes[j]}
-        if pairs:
-            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.binary()) for k in (0, 1)], names=["a", "b"])
+        for at, size in zip(starts[sizes > few].tolist(), sizes[sizes > few].tolist()):
+            a, b = forest(marks[at : at + size], most)
+            left += [at + i for i in a]
+            right += [at + i for i in b]
+        if pairs := {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in zip(left, right) if nodes[i] != nodes[j]}:
+            yield _edges(pairs)
 
     return rows.repartition("path").sortWithinPartitions("path").select("path", "node", "sketch").mapInArrow(run, EDGES)
 
 
+LED = StructType([*PATHS, StructField("lead", BinaryType()), StructField("apart", LongType())])
+
+
+def led(large: DataFrame) -> DataFrame:
+    """Rows of large buckets with the bucket's least member, and in how many coordinates the sketches differ."""
+    least = large.groupBy("path").agg(F.min(F.struct("node", "sketch")).alias("least"))
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                own, first = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 5))
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(unlike(own, first))], names=[f.name for f in LED])
+
+    return large.join(least, "path").select("path", "node", "leader", "sketch", F.col("least.node").alias("lead"), F.col("least.sketch").alias("first")).mapInArrow(run, LED)
+
+
+def open_rows(found: DataFrame, most: int) -> DataFrame:
+    """Rows that may be like a member of their bucket that isn't like the leader; none where all are like it."""
+    others = found.where(F.col("apart") > most).groupBy("path").agg(F.min("apart").alias("lo"))
+    return found.join(others, "path").where((F.col("apart") > most) | (F.col("apart") >= F.col("lo") - most)).select("path", "node", "leader", "sketch")
+
+
 def candidate_groups(nodes: DataFrame, similarity: float, runs: int, levels: int = 8) -> DataFrame:
     """node, least: groups that hold together whatever may be similar; nodes alone are not in it.
 
-    Groups are the components of what was found; a bucket with members of one group only is settled, since groups are
-    compared exactly later. They are formed once after the first buckets, where copies of one text meet, and once at
-    the end. leader is a node's group, at first the node itself. Nodes of large buckets that aren't settled by then get
-    more runs, which join the walk at its first level."""
-    rows, groups, found = first_paths(nodes.withColumn("leader", F.col("node")), similarity, runs), None, []
+    Groups are the components of what was found. They are formed once after the first buckets, where copies of one text
+    meet, if large buckets are left, and once at the end. leader is a node's group then, and buckets of one group
+    are settled. Nodes of the others get more runs, which join the walk at its first level."""
+    rows, found, most = first_paths(nodes.withColumn("leader", F.col("node")), similarity, runs), [], led_limit(similarity)
     for turn, level in enumerate((2, *range(2, levels + 1))):
         rows = written(rows, f"paths-{level}")
-        buckets = rows.groupBy("path").agg(F.count("*").alias("n"), F.min(F.struct("node", "sketch")).alias("lead"), F.min("leader").alias("least"), F.max("leader").alias("most")).where("n > 1 and least != most")
-        live = written(rows.join(buckets, "path").drop("least", "most"), f"buckets-{level}")
+        buckets = rows.groupBy("path").agg(F.count("*").alias("n")).where("n > 1")
+        if turn:
+            mixed_ = rows.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most")
+            buckets = buckets.join(mixed_.select("path"), "path")
+        live = written(rows.join(buckets, "path"), f"buckets-{level}")
         found.append(written(small_edges(live.where(F.col("n") <= SMALL), similarity), f"edges-{level}"))
-        large = live.where(F.col("n") > SMALL)
+        large = live.where(F.col("n") > SMALL).drop("n")
         if turn != 1 and large.isEmpty():
             break
-        spokes = large.where("node != lead.node")
+        measured = written(led(large), f"led-{level}")
+        spokes = measured.where("node != lead")
         if level == levels:
-            found.append(spokes.select(F.col("lead.node").alias("a"), F.col("node").alias("b")))
+            found.append(spokes.select(F.col("lead").alias("a"), F.col("node").alias("b")))
             break
-        found.append(written(led_edges(spokes, similarity), f"led-{level}"))
-        if groups is None:
+        found.append(spokes.where(F.col("apart") <= most).select(F.col("lead").alias("a"), F.col("node").alias("b")))
+        going = open_rows(measured, most)
+        if turn == 0:
             groups = written(components(reduce(DataFrame.unionByName, found)), "groups")
             found = [groups.select(F.col("node").alias("a"), F.col("least").alias("b"))]
-            large = large.drop("leader").join(groups, "node", "left").withColumn("leader", F.coalesce("least", "node"))
-        named = written(large.select("path", "node", "leader", "sketch"), f"named-{level}")
-        open_ = named.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most").select("path")
-        going = named.join(open_, "path")
-        if turn == 0:
-            waiting = written(going, "open")
+            named = written(going.drop("leader").join(groups, "node", "left").withColumn("leader", F.coalesce("least", "node")).select("path", "node", "leader", "sketch"), "named")
+            open_ = named.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most").select("path")
+            waiting = written(named.join(open_, "path"), "open")
             if waiting.isEmpty():
                 break
             crowded = waiting.select("node", "leader").distinct().join(nodes.select("node", "hashes"), "node")
-            rows = first_paths(crowded, similarity, more_runs_for(similarity, runs, levels), runs)
+            rows = first_paths(crowded, similarity, max(1, runs_for(similarity, levels) - runs), runs)
         else:
             rows = next_paths(going.unionByName(waiting) if turn == 1 else going, nodes, similarity)
     return written(components(reduce(DataFrame.unionByName, found)), "groups")
 
 
-def led_edges(spokes: DataFrame, similarity: float) -> DataFrame:
-    """Edges from a large bucket's least member to those that are likely similar to it."""
-
-    def run(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            mark, lead = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for i in (2, 3))
-            keep = pa.array(np.flatnonzero(likely(mark, lead, similarity)))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(keep), batch.column(1).take(keep)], names=["a", "b"])
-
-    return spokes.select("lead.node", F.col("node").alias("b"), "sketch", F.col("lead.sketch").alias("s")).mapInArrow(run, EDGES)
-
-
 SETS = StructType([StructField("node", BinaryType()), StructField("shingles", BinaryType())])
 
 
 def whole_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """node, shingles of the wanted nodes; wanted has node and doc, one document that has the set."""
 
-    def run(batches):
-        for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                sets = shingle_sets(part.column(0).to_pylist())
-                keep = [(n, s) for n, s in zip(part.column(1).to_pylist(), sets) if set_key(s) == n]  # another row of this doc_id may differ
-                yield pa.RecordBatch.from_arrays([pa.array([n for n, _ in keep], pa.binary()), pa.array([s.tobytes() for _, s in keep], pa.binary())], names=["node", "shingles"])
+    def run(texts, nodes):
+        found = [(n, s.tobytes()) for n, s in zip(nodes, shingle_sets(texts)) if set_key(s) == n]  # another row of this doc_id may differ
+        return {"node": [n for n, _ in found], "shingles": [s for _, s in found]}
 
     # texts are sorted to their ids at any size, so the plan is the same for small and large tables
     rows = docs.select(F.col("doc_id").alias("doc"), "text").join(wanted.select(F.col("doc").alias("__doc"), "node").hint("merge"), F.col("doc").eqNullSafe(F.col("__doc")))
-    return rows.select("text", "node").mapInArrow(run, SETS).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    return map_rows(rows, ["text", "node"], run, SETS).groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarray:
@@ -387,7 +424,7 @@ def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None) -> np.ndarr
         return np.zeros((len(left), len(left if right is None else right)), np.float32)
     column = np.concatenate(([0], np.cumsum(column[1:] != column[:-1])))
     out = np.zeros((len(left), len(left if right is None else right)), np.float32)
-    wide = min(4096, int(column[-1]) + 1)
+    wide = min(max(1, 2_000_000 // len(both)), int(column[-1]) + 1)
     for at in range(0, int(column[-1]) + 1, wide):
         a, b = np.searchsorted(column, (at, at + wide))
         dense = np.zeros((len(both), wide), np.float32)
@@ -402,10 +439,10 @@ LINKS = StructType([StructField("node", BinaryType()), StructField("links", Long
 def exact_links(groups: DataFrame, similarity: float) -> DataFrame:
     """node, links (documents it is similar to in this block pair), to (nodes that connect it).
 
-    groups: group, node, copies, shingles. Each group is cut into blocks of about BLOCK nodes by a hash; every pair of
-    blocks is one task's work, and holds two blocks."""
-    sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    groups: group, node, size, copies, shingles. Each group is cut by a hash into blocks of about BLOCK nodes and
+    BLOCK_SHINGLES shingles; every pair of blocks is one piece of work, and holds two blocks."""
+    sizes = groups.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("whole"))
+    blocks = F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("whole") / BLOCK_SHINGLES)).cast("int")
     dealt = groups.join(sizes, "group").withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     dealt = dealt.withColumn("other", other).select("group", F.least("block", "other").alias("one"), F.greatest("block", "other").alias("two"), "block", "node", "copies", "shingles")
@@ -413,11 +450,12 @@ def exact_links(groups: DataFrame, similarity: float) -> DataFrame:
     def run(batches):
         held: list[tuple] = []
         for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(7))):
-                if held and held[0][:3] != row[:3]:
-                    yield from compare(held)
-                    held = []
-                held.append(row)
+            for part in parts(batch, 256):
+                for row in zip(*(part.column(i).to_pylist() for i in range(7))):
+                    if held and held[0][:3] != row[:3]:
+                        yield from compare(held)
+                        held = []
+                    held.append(row)
         if held:
             yield from compare(held)
 
@@ -471,11 +509,11 @@ def exact_links(groups: DataFrame, similarity: float) -> DataFrame:
 def join(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     """doc_id, class_id, n_links (other documents at least as similar), n_copies (documents with its set), node, class (null without shingles)."""
     keys = written(read_sets(docs), "jaccard-sets")
-    nodes = written(keys.where("hashes is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("hashes").alias("hashes")), "jaccard-nodes")
+    nodes = written(keys.where("hashes is not null").groupBy("node").agg(F.min("doc_id").alias("doc"), F.count("*").alias("copies"), F.first("size").alias("size"), F.first("hashes").alias("hashes")), "jaccard-nodes")
     groups = candidate_groups(nodes, similarity, runs_for(similarity)).select("node", F.col("least").alias("group"))
-    wanted = nodes.select("node", "doc", "copies").join(groups, "node")
+    wanted = nodes.select("node", "doc", "copies", "size").join(groups, "node")
     sets = whole_sets(docs, wanted)
-    links = written(exact_links(wanted.select("group", "node", "copies").join(sets, "node").select("group", "node", "copies", "shingles"), similarity), "jaccard-links")
+    links = written(exact_links(wanted.drop("doc").join(sets, "node").select("group", "node", "size", "copies", "shingles"), similarity), "jaccard-links")
     classes = components(links.select(F.col("node").alias("a"), F.explode("to").alias("b")))
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     small = nodes.select("node", "doc", "copies").join(classes, "node", "left").join(counted, "node", "left").withColumn("class", F.coalesce("least", "node"))
@@ -499,8 +537,7 @@ def with_nodes(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for start in range(0, batch.num_rows, 256):
-                part = batch.slice(start, 256)
+            for part in parts(batch, 256):
                 keys = pa.array([set_key(s) for s in shingle_sets(part.column(at).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[f.name for f in schema])
 

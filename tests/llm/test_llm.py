@@ -402,7 +402,7 @@ def test_jaccard_join_against_brute_force(spark, monkeypatch):
 
 def test_unsettled_large_buckets_are_joined_whole(spark, monkeypatch):
     monkeypatch.setattr(op7_jaccard, "SMALL", 2)
-    monkeypatch.setattr(op7_jaccard, "led_edges", lambda spokes, s: spokes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
+    monkeypatch.setattr(op7_jaccard, "led_limit", lambda s: -1)
     rng = random.Random(1)
     hub = words_of(120, 3, 5000)
     rows = [(i, near(hub, 1, rng)) for i in range(25)]
@@ -413,7 +413,7 @@ def test_unsettled_large_buckets_are_joined_whole(spark, monkeypatch):
 def test_pairs_that_share_a_frequent_passage_are_found(spark, monkeypatch):
     # leaders alone would join the crowds
     monkeypatch.setattr(op7_jaccard, "SMALL", 20)
-    monkeypatch.setattr(op7_jaccard, "led_edges", lambda spokes, s: spokes.where("false").select(F.col("node").alias("a"), F.col("node").alias("b")))
+    monkeypatch.setattr(op7_jaccard, "led_limit", lambda s: -1)
     rows = []
     for crowd in range(5):
         passage = words_of(156, -1 - crowd, 5000)
@@ -425,10 +425,54 @@ def test_pairs_that_share_a_frequent_passage_are_found(spark, monkeypatch):
     assert sum(not n for n in got.values()) / len(rows) < 0.01
 
 
-def test_runs_hold_the_target_at_the_last_level():
-    runs = op7_jaccard.runs_for(0.8)
-    assert op7_jaccard.missed(0.8, runs) < 0.002 < op7_jaccard.missed(0.8, runs, 0, 8)
-    assert op7_jaccard.missed(0.8, runs, op7_jaccard.more_runs_for(0.8, runs, 8), 8) < 0.002
+def test_runs_hold_the_target_on_pairs_drawn_anew():
+    from itertools import islice
+
+    for level in (2, 8):
+        runs = op7_jaccard.runs_for(0.8, level)
+        assert runs > 1 and list(islice(op7_jaccard.misses(0.8, level, 4000), runs))[-1] < 0.005
+    rng = np.random.default_rng(99)
+    one = rng.integers(0, 1 << 32, (2000, op7_jaccard.COORDINATES), dtype=np.uint32)
+    two = np.where(rng.random(one.shape) < 0.8, one, rng.integers(0, 1 << 32, one.shape, dtype=np.uint32))
+    met = np.zeros(2000, bool)
+    for root in op7_jaccard.roots_of(0, op7_jaccard.runs_for(0.8)):
+        ends = []
+        for values in (one, two):
+            row, paths = op7_jaccard.children(np.full(2000, root), values, 0.8)
+            again, paths = op7_jaccard.children(paths, values[row], 0.8)
+            ends.append(set(zip(row[again].tolist(), paths.tolist())))
+        met[[r for r, _ in ends[0] & ends[1]]] = True
+    assert met.mean() > 0.99
+
+
+def test_crowds_beside_a_cloud_of_near_copies(spark, monkeypatch):
+    # leaders, the triangle inequality and settled buckets at work: some sets are near the leader, some only near those
+    monkeypatch.setattr(op7_jaccard, "SMALL", 8)
+    monkeypatch.setattr(op7_jaccard, "FEW", 4)
+    monkeypatch.setattr(op7_jaccard, "BLOCK", 16)
+    rng = random.Random(12)
+    cloud = [words_of(110, 71, 5000)]
+    for i in range(70):
+        cloud.append(near(cloud[max(0, i - rng.randrange(1, 6))], 1, rng))
+    passage = " ".join(cloud[0].split()[:70])
+    crowd = [f"{passage} {words_of(rng.randrange(5, 60), 400 + i // 2, 5000)}" for i in range(60)]
+    rows = list(enumerate(cloud + crowd))
+    got = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in op7_jaccard.query(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    want = {d: (c, n) for d, c, n in brute_jaccard(rows)}
+    assert sum(got[d] != want[d] for d in want) <= 0.01 * len(want)
+
+
+def test_forest_holds_what_is_alike_together():
+    rng = np.random.default_rng(3)
+    centres = rng.integers(0, 1 << 32, (4, op7_jaccard.COORDINATES), dtype=np.uint32)
+    which = rng.integers(0, 4, 200)
+    values = np.where(rng.random((200, op7_jaccard.COORDINATES)) < 0.93, centres[which], rng.integers(0, 1 << 32, (200, op7_jaccard.COORDINATES), dtype=np.uint32))
+    marks = op7_jaccard.sketch(values).view(np.uint64)
+    left, right = op7_jaccard.forest(marks, op7_jaccard.limit(0.8))
+    assert len(left) == 200 - 4 and (which[left] == which[right]).all()
+    a, b, c = marks[:60], marks[60:120], marks[120:180]
+    assert (op7_jaccard.unlike(a, c) <= op7_jaccard.unlike(a, b) + op7_jaccard.unlike(b, c)).all()
+    assert (op7_jaccard.unlike(a, b) == [(((x ^ y) >> np.arange(0, 64, 2, dtype=np.uint64)[:, None]) & np.uint64(3) != 0).sum() for x, y in zip(a, b)]).all()
 
 
 def test_near_duplicate_stage_keeps_one_of_each_class(odd):
