@@ -1,57 +1,67 @@
 """Exact substring removal by distributed prefix doubling over sampled suffixes.
 
-A byte goes if a 100-byte string that covers it also starts earlier. Prefix doubling ranks suffixes by their
-first h bytes, then by rank pairs at offset h, until a rank is unique or h passes the threshold. Here
+A byte goes if a 100-byte string that covers it also starts earlier. Prefix doubling ranks strings by a first few
+bytes, then by rank pairs at growing offsets, until a rank is unique or the threshold is passed. Here
 
-* ranks are names by content (64-bit mixes of the two halves' names), so doubling from 1 to 32 bytes, and to 50 with
-  overlapping halves, needs no shuffle;
-* only suffixes that any 100-byte string must agree on are ranked by Spark: in each 100-byte window the leftmost
+* names stand for ranks (64-bit mixes of the two halves' names), so doubling up to 64 bytes needs no shuffle;
+* only strings that any 100-byte string must agree on are ranked by Spark: in each 100-byte window the leftmost
   smallest 50-byte name is its anchor. Equal windows have equal anchors at equal places, and about one position in
   26 is an anchor. The windows that share an anchor are a run of neighbours;
 * Spark sorts (rank at 50, rank of the run's bytes, document, place). Unique ranks are done. Equal runs are copies from
-  the second on. Where one rank at 50 has several different runs, the runs' first copies go to the next round;
-* that round makes rank pairs at offset 36 (two 64-byte names overlap to 100 bytes) for each window of such runs, sorts
-  again, and whatever isn't first is a copy. Past 100 bytes nothing more is asked.
+  the second on. Where one rank has several different runs, the runs' first copies go to the next round, with their bytes;
+* each round cuts the runs that came to it into cells, the same ones as seen from the anchor: the windows of a cell share
+  88, 97, then 100 bytes, which are ranked by pairs of names at offsets 24, 33 and 36 and sorted again. So ranks grow from
+  50 to 100 bytes, and a round has only what the one before left undecided. Past 100 bytes nothing more is asked.
 
-Before each sort a slice of rows keeps the earliest of equal ranks only; the others are copies already and travel as
-such, so a hot string brings one row a slice. Rows of one rank are read as a stream, never gathered.
+Before each sort a slice of rows keeps the earliest of equal ranks only. The others are copies already; neighbours
+are merged into one span that goes past the sort, so a hot string brings one row a slice. Rows of one rank are read as a
+stream, never gathered.
 
-Names are 64 bits wide and a run needs two of them to agree, a window two: 128 bits.
+Names are 64 bits wide and a run needs two of them to agree: 128 bits.
 
-Defined cases: null text is empty; texts under 100 bytes lose nothing; where doc_id repeats or is null, rows of one
-doc_id are told apart and put in an arbitrary but fixed order, null before all others.
+Defined cases: null text is empty; texts under 100 bytes lose nothing; very long texts go in slices; an empty table gives
+an empty result; where doc_id repeats, is null or is no whole number, rows are numbered by doc_id, null before all others,
+and rows of one doc_id are told apart and put in an arbitrary but fixed order; further columns are not read, whatever
+their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, IntegerType, IntegralType, LongType, StringType, StructField, StructType
 
+from quire.llm.common import parts
 from quire.session import written
 
 LEAST = 100
 GRAM = 50
 REACH = LEAST - GRAM + 1
+#: Windows of a cell in each round after the first; the last round has single windows.
+CELLS = (13, 4, 1)
 #: Bytes ranked at once; longer texts go in slices that overlap by LEAST.
 SLICE = 1 << 19
 
+# more: of a run its anchor's place << 8 | its windows less one; of a copy that needs no sort -1 - its windows less one
 RANKS = StructType([StructField("rank", LongType()), StructField("next", LongType()), StructField("uid", LongType()), StructField("at", IntegerType()), StructField("more", IntegerType())])
+# more: of a copy (copy 1) its windows less one, of a run that is undecided (copy 0) as in RANKS
 FOUND = StructType([StructField("uid", LongType()), StructField("at", IntegerType()), StructField("more", IntegerType()), StructField("copy", IntegerType())])
+RUNS = StructType([StructField("uid", LongType()), StructField("at", IntegerType()), StructField("more", IntegerType()), StructField("anchor", IntegerType()), StructField("bytes", BinaryType())])
 RANK_FIELDS = pa.schema([("rank", pa.int64()), ("next", pa.int64()), ("uid", pa.int64()), ("at", pa.int32()), ("more", pa.int32())])
 FOUND_FIELDS = pa.schema([("uid", pa.int64()), ("at", pa.int32()), ("more", pa.int32()), ("copy", pa.int32())])
 
 
-def pair(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+def pair(a: np.ndarray, b: np.ndarray, n: int | np.ndarray) -> np.ndarray:
     """The name of two neighbouring names, for the n-th step."""
     x = a * np.uint64(0x9E3779B97F4A7C15)
     x ^= x >> np.uint64(29)
     x += b
-    x *= np.uint64(0xBF58476D1CE4E5B9) + np.uint64(2 * n)
+    x *= np.uint64(0xBF58476D1CE4E5B9) + np.uint64(2) * np.asarray(n, np.uint64)
     x ^= x >> np.uint64(32)
     return x
 
@@ -118,20 +128,49 @@ def runs(data, uids, shifts, begins, own, valid):
     last = np.append(first[1:], len(valid)) - 1
     p0, p1, a = valid[first], valid[last], anchor[first]
     # the two 64-byte names and the anchor's 50 bytes cover the run's bytes
-    shape = ((a - p0) << 8 | (p1 - p0)).astype(np.uint64)
-    rest = pair(pair(h64[p0], h64[p1 + 36], 64), shape, 65)
+    shape = (a - p0) << 8 | (p1 - p0)
+    rest = pair(pair(h64[p0], h64[p1 + 36], 64), shape.astype(np.uint64), 65)
     part = own[first]
-    return gram[a].view(np.int64), rest.view(np.int64), uids[part], (shifts[part] + p0 - begins[part]).astype(np.int32), (p1 - p0).astype(np.int32)
+    return gram[a].view(np.int64), rest.view(np.int64), uids[part], (shifts[part] + p0 - begins[part]).astype(np.int32), shape.astype(np.int32)
+
+
+def cells(data, uid, base, at, more, wide: int):
+    """The runs' cells of so many windows: arrays of RANKS. base is the place in data of a run's first byte."""
+    h64 = doubled(data, 64)[64]
+    ahead, least_ahead = more >> 8, (more >> 8) - (more & 255)
+    first = least_ahead // wide
+    n = ahead // wide - first + 1
+    own = np.repeat(np.arange(len(n)), n)
+    cell = first[own] + np.arange(len(own)) - np.repeat(np.cumsum(n) - n, n)
+    # the anchor is `low` to `high` bytes after the start of a cell's windows, and from `here` to `there` in this run's
+    low = cell * wide
+    high = np.minimum(low + wide - 1, REACH - 1)
+    here, there = np.maximum(low, least_ahead[own]), np.minimum(high, ahead[own])
+    anchor = base[own] + ahead[own]
+    size = LEAST - (high - low)
+    rank = pair(h64[anchor - low], h64[anchor - low + size - 64], size)
+    shape = there << 8 | (there - here)
+    rest = pair(pair(h64[anchor - there], h64[anchor - here + 36], 64), shape.astype(np.uint64), 65)
+    return rank.view(np.int64), rest.view(np.int64), uid[own], (at[own] + ahead[own] - there).astype(np.int32), shape.astype(np.int32)
 
 
 def collapse(rank, rest, uid, at, more):
-    """The earliest of equal ranks stay; the others keep their place but get the mark -1 - more, being copies."""
+    """The earliest of equal ranks stay; the others, being copies, become spans, marked by more = -1 - windows less one."""
     order = np.lexsort((at, uid, rest, rank))
     same = np.zeros(len(order), bool)
     same[1:] = (rank[order][1:] == rank[order][:-1]) & (rest[order][1:] == rest[order][:-1])
-    more = more.copy()
-    more[order[same]] = -1 - more[order[same]]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in (rank, rest, uid, at, more)], schema=RANK_FIELDS)
+    copy = np.zeros(len(order), bool)
+    copy[order[same]] = True
+    own, starts, last = uid[copy], at[copy], at[copy] + (more[copy] & 255)
+    order = np.lexsort((starts, own))
+    own, starts, last = own[order], starts[order], last[order]
+    new = np.ones(len(own), bool)
+    new[1:] = (own[1:] != own[:-1]) | (starts[1:] != last[:-1] + 1)
+    first = np.flatnonzero(new)
+    ends = last[np.append(first[1:], len(own)) - 1] if len(own) else last
+    zeros = np.zeros(len(first), np.int64)
+    columns = [(rank[~copy], zeros), (rest[~copy], zeros), (uid[~copy], own[first]), (at[~copy], starts[first]), (more[~copy], starts[first] - ends - 1)]
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(x.dtype)) for c, x in zip(columns, (rank, rest, uid, at, more))], schema=RANK_FIELDS)
 
 
 def _texts(column) -> list[bytes]:
@@ -143,8 +182,7 @@ def first_ranks(docs: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
+            for part in parts(batch, 1024):
                 for s in slices(part.column(0).to_pylist(), _texts(part.column(1))):
                     yield collapse(*runs(*s))
 
@@ -175,7 +213,7 @@ def sorted_ranks(ranks: DataFrame, several: bool) -> DataFrame:
                 first[1:] = (rank[1:] != rank[:-1]) | (rest[1:] != rest[:-1])
                 first[0] = last != (rank[0], rest[0])
                 last = rank[-1], rest[-1]
-                out.append((uid[~first], at[~first], more[~first], 1))
+                out.append((uid[~first], at[~first], more[~first] & 255, 1))
                 if several and first.any():
                     heads = [x[first] for x in (rank, uid, at, more)]
                     before = np.zeros(len(heads[0]), bool)
@@ -195,62 +233,78 @@ def sorted_ranks(ranks: DataFrame, several: bool) -> DataFrame:
     return dealt.mapInArrow(run, FOUND)
 
 
-def _lists(found: DataFrame) -> DataFrame:
-    """uid, at and more of each row as two binary columns, one row a text."""
-    return found.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("at", "more"))).alias("own"))
+def _lists(found: DataFrame, *keys: str) -> DataFrame:
+    """The keys, and own: at and more of each of their rows, by at."""
+    return found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("at", "more"))).alias("own"))
+
+
+def run_bytes(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """RUNS: the wanted runs with the place of their anchor and their bytes, 150 at most."""
+    rows = docs.select("uid", "text").join(_lists(wanted, "uid"), "uid")
+
+    def run(batches):
+        for batch in batches:
+            for part in parts(batch, 64):
+                for i, (uid, text) in enumerate(zip(part.column(0).to_pylist(), _texts(part.column(1)))):
+                    struct = part.column(2)[i].values
+                    at, more = struct.field(0).to_numpy(), struct.field(1).to_numpy()
+                    spans = [text[a:b] for a, b in zip(at.tolist(), (at + (more & 255) + LEAST).tolist())]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), uid)), pa.array(at), pa.array(more), pa.array(at + (more >> 8)), pa.array(spans, pa.binary())], names=[f.name for f in RUNS])
+
+    return rows.mapInArrow(run, RUNS)
+
 
+def next_ranks(runs_: DataFrame, wanted: DataFrame | None, wide: int) -> DataFrame:
+    """RANKS of the cells of so many windows of the runs, or of the wanted parts of the runs.
 
-def last_ranks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """RANKS of each window of the wanted runs: the names of its first and last 64 bytes."""
-    rows = docs.select("uid", "text").join(_lists(wanted), "uid")
+    A part has its run's document and anchor; a run that a slice of its text cut in two shares both, and takes what
+    lies in it."""
+    own = F.array(F.struct("at", "more"))
+    if wanted is not None:
+        parts_ = _lists(wanted.withColumn("anchor", F.col("at") + F.shiftright("more", 8)), "uid", "anchor")
+        runs_, own = runs_.join(parts_, ["uid", "anchor"]), F.col("own")
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                uids, texts = part.column(0).to_pylist(), _texts(part.column(1))
-                own = part.column(2)
-                windows = {}
-                for i, uid in enumerate(uids):
-                    struct = own[i].values
-                    a, m = struct.field(0).to_numpy(), struct.field(1).to_numpy()
-                    flag = np.zeros(len(texts[i]) + 1, np.int32)
-                    np.add.at(flag, a, 1)
-                    np.add.at(flag, a + m + 1, -1)
-                    windows[uid] = np.cumsum(flag[:-1]) > 0
-                for data, ids, shifts, begins, of, valid in slices(uids, texts):
-                    place = shifts[of] + valid - begins[of]
-                    pick = np.zeros(len(valid), bool)
-                    bounds = np.searchsorted(of, np.arange(len(ids) + 1))
-                    for j, uid in enumerate(ids.tolist()):
-                        pick[bounds[j] : bounds[j + 1]] = windows[uid][place[bounds[j] : bounds[j + 1]]]
-                    if not pick.any():
-                        continue
-                    h64 = doubled(data, 64)[64]
-                    v = valid[pick]
-                    one, two = h64[v], h64[v + 36]
-                    yield collapse(pair(one, two, 100).view(np.int64), pair(two, one, 101).view(np.int64), ids[of[pick]], place[pick].astype(np.int32), np.zeros(len(v), np.int32))
-
-    return rows.mapInArrow(run, RANKS)
+            for part in parts(batch, 4096):
+                uid, at, more, lists = part.column(0).to_numpy(), part.column(1).to_numpy(), part.column(2).to_numpy(), part.column(4)
+                spans = part.column(3).to_pylist()
+                data = np.frombuffer(b"".join(spans), np.uint8)
+                begins = np.cumsum([0, *map(len, spans)])[:-1]
+                n = lists.value_lengths().to_numpy()
+                of = np.repeat(np.arange(len(n)), n)
+                inner = lists.flatten()
+                a, m = inner.field(0).to_numpy(), inner.field(1).to_numpy()
+                here = (a >= at[of]) & (a <= at[of] + (more[of] & 255))
+                of, a, m = of[here], a[here], m[here].astype(np.int64)
+                if len(of):
+                    yield collapse(*cells(data, uid[of], begins[of] + a - at[of], a, m, wide))
+
+    return runs_.select("uid", "at", "more", "bytes", own.alias("own")).mapInArrow(run, RANKS)
 
 
 def numbered(docs: DataFrame) -> DataFrame:
     """uid, doc_id, text: uid is doc_id where that tells rows apart, else a number that rises with doc_id."""
-    ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
     kept = docs.select("doc_id", "text")
-    if (ids[0] or 0) <= 1 and not ids[1]:
-        return kept.select(F.col("doc_id").cast("long").alias("uid"), "doc_id", "text")
-    parts = max(1, docs.rdd.getNumPartitions())
-    ordered = kept.repartitionByRange(parts, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+    if isinstance(docs.schema["doc_id"].dataType, IntegralType):
+        ids = docs.groupBy("doc_id").agg(F.count("*").alias("n")).agg(F.max("n"), F.count_if(F.col("doc_id").isNull())).first()
+        if (ids[0] or 0) <= 1 and not ids[1]:
+            return kept.select(F.col("doc_id").cast("long").alias("uid"), "doc_id", "text")
+    tasks = max(1, docs.rdd.getNumPartitions())
+    ordered = kept.repartitionByRange(tasks, F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
     return written(ordered.select(F.monotonically_increasing_id().alias("uid"), "doc_id", "text"), "suffix-docs")
 
 
 def copies(rows: DataFrame) -> DataFrame:
     """uid, at, more: windows at .. at + more of the text also start earlier. Overlaps are left."""
     found = written(sorted_ranks(first_ranks(rows), True), "suffix-found")
-    wanted = found.where("copy = 0").drop("copy")
-    second = written(sorted_ranks(last_ranks(rows, wanted), False), "suffix-windows")
-    return found.where("copy = 1").unionByName(second.where("copy = 1")).drop("copy")
+    done, open_ = [found.where("copy = 1")], found.where("copy = 0")
+    runs_ = written(run_bytes(rows, open_), "suffix-runs")
+    for i, wide in enumerate(CELLS):
+        found = written(sorted_ranks(next_ranks(runs_, open_ if i else None, wide), wide > 1), f"suffix-{wide}")
+        done.append(found.where("copy = 1"))
+        open_ = found.where("copy = 0")
+    return reduce(DataFrame.unionByName, done).drop("copy")
 
 
 def cut(rows: DataFrame, gone: DataFrame) -> DataFrame:
@@ -270,7 +324,7 @@ def cut(rows: DataFrame, gone: DataFrame) -> DataFrame:
                 merged.append(np.stack((a[first], b[np.append(first[1:], len(a)) - 1]), 1).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(merged, pa.binary())], names=["uid", "spans"])
 
-    return rows.join(_lists(gone).mapInArrow(merge, schema), "uid", "left")
+    return rows.join(_lists(gone, "uid").mapInArrow(merge, schema), "uid", "left")
 
 
 def query(docs: DataFrame) -> DataFrame:
