@@ -5,18 +5,21 @@ into groups of bounded size; in each, from the longest piece down, a segment tre
 finds the open window with the least room that still fits. Groups pack alone, so no task holds more than
 one group, and the windows left open at the end of each are few beside the group.
 
-Tokens: the vocabulary file's path is a parameter. White space separates all its tokens, so each distinct chunk
-between spaces and line ends is tokenised once in a while and its ids are put together again.
-
-Defined cases: a null or empty text is its end id alone; repeated rows are separate documents; an empty table gives
-no sequences; strings of special tokens in a text are what the tokenizer makes of them.
+Tokens: the vocabulary file's path is a parameter. White space separates all its tokens, so texts are split and
+dictionary-encoded in Arrow, each distinct chunk between spaces and line ends is tokenised once in a while, and
+ids are gathered in numpy.
+
+Defined cases: a null or empty text is its end id alone; repeated rows, and rows without an id, are separate documents,
+dealt out by a number of their own; pieces of equal length are taken by id and start; very long texts are tokenised in
+parts; an empty table gives no sequences; strings of special tokens in a text are what the tokenizer makes of them; further
+columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
 import json
-import re
 import zlib
+from functools import cache
 from itertools import chain, islice
 
 import numpy as np
@@ -31,12 +34,13 @@ from quire.session import written
 
 WINDOW = 2048
 END = 1
-#: Chunks whose ids a task remembers.
-KNOWN = 700_000
-
-
-#: Latin-1 letters, then marks: the tokenizer makes one word of the letters and one of the marks.
-PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+([.,;:!?]*)")
+#: Chunks whose ids a worker remembers, from one task to the next.
+KNOWN = 900_000
+#: Marks that are taken off a chunk's end if a letter or digit stands before them: the tokenizer makes a word of their run.
+MARKS = ".,;:!?"
+#: What is one word to the tokenizer, and may be told from its neighbours by word ends.
+PLAIN = "^[a-zà-öø-ÿ]+$"
+BEFORE_MARKS = "[a-zA-Z0-9à-öø-ÿ]$"
 
 
 class Numbered(dict):
@@ -57,9 +61,13 @@ def word_ends(path: str) -> np.ndarray:
     return ends
 
 
-def chunks_of(text: str | None) -> list[str]:
-    """What stands between spaces and line ends. Latin-1 is lower-cased first, as the tokenizer does, so fewer are distinct;
-    strings like those of special tokens are left as they stand."""
+#: Characters tokenised at once.
+PART = 4 << 20
+
+
+def plain_spaces(text: str | None) -> str:
+    """Line ends as spaces. Latin-1 is lower-cased first, as the tokenizer does, so fewer chunks are distinct; strings like
+    those of special tokens are left as they stand."""
     text = text or ""
     if "<|" not in text:
         try:
@@ -67,7 +75,22 @@ def chunks_of(text: str | None) -> list[str]:
             text = text.lower()
         except UnicodeEncodeError:
             pass
-    return text.replace("\n", " ").split(" ")
+    return text.replace("\n", " ")
+
+
+def parts_of(text: str) -> list[str]:
+    """The text, cut at spaces after PART characters; a cut's space has no id."""
+    found, at = [], 0
+    while len(text) - at > PART and (end := text.find(" ", at + PART)) >= 0:
+        found.append(text[at:end])
+        at = end + 1
+    return [*found, text[at:]]
+
+
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """first, first + 1, ... of each, so many as size says."""
+    ends = np.cumsum(size)
+    return np.repeat(first - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)
 
 
 class Ids:
@@ -75,74 +98,108 @@ class Ids:
 
     Plain chunks go joined by spaces, which costs half as much; ids that end a word tell where each chunk ends."""
 
-    def __init__(self, path: str, ends: np.ndarray):
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ends = Tokenizer.from_file(path), ends
+        self.tokenizer, self.ends = Tokenizer.from_file(path), word_ends(path)
         self.forget()
 
     def forget(self) -> None:
         self.chunks = Numbered()
-        self.flat, self.starts = np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def each(self, chunks: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+    def each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all, how many each has)."""
+        got = [e.ids for e in self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got))
 
-    def plain(self, chunks: list[str], words: list[int]) -> list[list[int]]:
-        """The ids of chunks that have so many words each."""
+    def plain(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The same for chunks that are one word each."""
         if not self.ends.any():
             return self.each(chunks)
-        out: list[list[int]] = []
+        found = []
         for at in range(0, len(chunks), 2000):
-            own, due = chunks[at : at + 2000], np.cumsum(words[at : at + 2000])
-            ids = self.each([" ".join(own)])[0]
-            last = np.flatnonzero(self.ends[np.array(ids, np.int64)]) + 1
-            if len(last) != due[-1]:  # not as plain as they look
-                out += self.each(own)
-                continue
-            stops = last[due - 1].tolist()
-            out += [ids[a:b] for a, b in zip([0, *stops], stops)]
-        return out
+            own = chunks[at : at + 2000]
+            ids = np.array(self.tokenizer.encode(" ".join(own), add_special_tokens=False).ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
+            found.append((ids, np.diff(stops, prepend=0)) if len(stops) == len(own) else self.each(own))  # else not as plain as they look
+        return tuple(np.concatenate(x) for x in zip(*found))
 
     def learn(self) -> None:
-        fresh = list(islice(self.chunks, len(self.starts) - 1, None))
+        """Gives ids to the chunks that have a number but no ids yet."""
+        fresh = list(islice(self.chunks, len(self.first), None))
         if not fresh:
             return
-        words = [1 + bool(m.group(1)) if (m := PLAIN.fullmatch(c)) else 0 for c in fresh]
-        simple = iter(self.plain([c for c, n in zip(fresh, words) if n], [n for n in words if n]))
-        other = iter(self.each([c for c, n in zip(fresh, words) if not n]))
-        got = [next(simple) if n else next(other) for n in words]
-        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum([len(g) for g in got])))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(got), np.uint32)))
-
-    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
-        """The ids of each text and the end id."""
+        simple = pc.match_substring_regex(pa.array(fresh, pa.large_string()), PLAIN).to_numpy(zero_copy_only=False)
+        size, first, at = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), len(self.flat)
+        for which, tokenise in ((np.flatnonzero(simple), self.plain), (np.flatnonzero(~simple), self.each)):
+            if len(which):
+                ids, size[which] = tokenise([fresh[i] for i in which.tolist()])
+                first[which] = at + np.cumsum(size[which]) - size[which]
+                self.flat = np.concatenate((self.flat, ids))
+                at += len(ids)
+        self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
+
+    def numbers(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The number of each chunk without its marks, and of its marks; -1 for none."""
+        bare = pc.utf8_rtrim(chunks, characters=MARKS)
+        cut = pc.and_(pc.not_equal(pc.binary_length(bare), pc.binary_length(chunks)), pc.match_substring_regex(bare, BEFORE_MARKS))
+        stems, marks, at = pc.if_else(cut, bare, chunks), np.full(len(chunks), -1), np.flatnonzero(cut.to_numpy(zero_copy_only=False))
+        whole, short = (x.take(pa.array(at)).to_numpy(zero_copy_only=False).tolist() for x in (chunks, bare))
+        tails = [w[len(b) :] for w, b in zip(whole, short)]
+        marks[at] = np.fromiter(map(self.chunks.__getitem__, tails), np.int64, len(tails))
+        return np.fromiter(map(self.chunks.__getitem__, stems.to_numpy(zero_copy_only=False)), np.int64, len(chunks)), marks
+
+    def together(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts whose only white space between tokens is the space."""
         if len(self.chunks) > KNOWN:
             self.forget()
-        split = [chunks_of(t) for t in texts]
-        numbers = [np.fromiter(map(self.chunks.__getitem__, w), np.int64, len(w)) for w in split]
+        split = pc.split_pattern(pa.array(texts, pa.large_string()), " ")
+        chunks = split.flatten().dictionary_encode()
+        stems, marks = self.numbers(chunks.dictionary)
         self.learn()
-        out = []
-        for own in numbers:
-            first = self.starts[own]
-            sizes = self.starts[own + 1] - first
-            at = np.repeat(first - np.cumsum(sizes) + sizes, sizes) + np.arange(int(sizes.sum()))
-            out.append(np.append(self.flat[at], np.uint32(END)).astype("<u4"))
-        return out
+        # the ids of each distinct chunk, then of all
+        size = np.stack((self.size[stems], np.where(marks < 0, 0, self.size[marks])), 1)
+        flat = self.flat[spread(np.stack((self.first[stems], self.first[marks]), 1).reshape(-1), size.reshape(-1))]
+        size = size.sum(1)
+        own = chunks.indices.to_numpy()
+        ends = np.cumsum(size[own])
+        ids = flat[spread((np.cumsum(size) - size)[own], size[own])]
+        stops = np.concatenate(([0], ends))[split.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(stops[:-1].tolist(), stops[1:].tolist())]
+
+    def __call__(self, texts: list[str | None]) -> list[np.ndarray]:
+        """The ids of each text and the end id."""
+        out: list[np.ndarray] = []
+        held, size = [], 0
+        for text in map(plain_spaces, texts):
+            if len(text) > PART:
+                out += [*self.together(held), np.concatenate([self.together([p])[0] for p in parts_of(text)])]
+                held, size = [], 0
+                continue
+            held.append(text)
+            size += len(text)
+            if size > PART:
+                out += self.together(held)
+                held, size = [], 0
+        out += self.together(held)
+        return [np.append(ids, np.uint32(END)).astype("<u4") for ids in out]
+
+
+@cache
+def ids_of(path: str) -> Ids:
+    """The worker's own Ids of a vocabulary."""
+    return Ids(path)
 
 
 def cut(docs: DataFrame, path: str, keep_ids: bool = False, window: int = WINDOW) -> DataFrame:
     """doc_id, start, length, ids_crc32, doc_tokens and, if asked for, the ids of each piece."""
     own = docs.select("doc_id").schema["doc_id"]
     schema = StructType([own, *[StructField(n, LongType()) for n in ("start", "length", "ids_crc32", "doc_tokens")], *([StructField("ids", ArrayType(IntegerType()))] if keep_ids else [])])
-    made: dict = {}
-    ends = word_ends(path)
 
     def run(doc_ids, texts):
-        if "ids" not in made:
-            made["ids"] = Ids(path, ends)
         out = {f.name: [] for f in schema}
-        for doc, ids in zip(doc_ids, made["ids"](texts)):
+        for doc, ids in zip(doc_ids, ids_of(path)(texts)):
             for start in range(0, len(ids), window):
                 piece = ids[start : start + window]
                 out[own.name].append(doc)
@@ -154,7 +211,7 @@ def cut(docs: DataFrame, path: str, keep_ids: bool = False, window: int = WINDOW
                     out["ids"].append(piece.tolist())
         return out
 
-    return map_rows(docs, ["doc_id", "text"], run, schema, size=1024)
+    return map_rows(docs, ["doc_id", "text"], run, schema, size=8192, text_bytes=8 << 20)
 
 
 def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:
@@ -202,9 +259,11 @@ def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.
 
 
 def pack(pieces: DataFrame, group_rows: int = 25_000, window: int = WINDOW) -> DataFrame:
-    """pieces with sequence_id and offset. Groups are dealt by a hash of id and start, about group_rows each."""
+    """pieces with sequence_id and offset. Groups hold about group_rows each: pieces is a written table, and the number of a
+    row in it has a part in its hash, so repeated rows and rows without an id spread like others."""
     groups = max(1, -(-pieces.count() // group_rows))
-    dealt = pieces.withColumn("__group", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups)).cast("long"))
+    place = F.xxhash64("doc_id", "start", "ids_crc32", F.monotonically_increasing_id())
+    dealt = pieces.withColumn("__group", F.pmod(place, F.lit(groups)).cast("long"))
     schema = StructType([*pieces.schema, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     names = [f.name for f in schema]

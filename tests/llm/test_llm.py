@@ -242,6 +242,28 @@ def test_packing_round_trip(spark, odd):
     assert got["length"].sum() / (2048 * got["sequence_id"].nunique()) > 0.97
 
 
+def test_chunks_are_tokenised_like_whole_texts(monkeypatch):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    whole, rng = Tokenizer.from_file(path), random.Random(7)
+    monkeypatch.setattr(op5_packing, "PART", 200)
+    monkeypatch.setattr(op5_packing, "KNOWN", 50)
+    made = op5_packing.Ids(path)
+    pieces = ["word", "Word.", "word,,", "...", "a.b", "3.5", "12!", "é?", "ÉÀ;", '"q".', "x's", "don't.", "<|endoftext|>", "<|startoftext|>.", "\t", " ", "\n", "\r\n", "日本.", "ß:", "İ", "e\u0301.", "_", "-.", ".-", "\u00a0", "x\u00a0.", "²."]
+    for _ in range(300):
+        texts = [rng.choice([None, "", "".join(rng.choice(pieces) + rng.choice(["", " "]) for _ in range(rng.randrange(80)))]) for _ in range(4)]
+        for text, ids in zip(texts, made(texts)):
+            assert ids.tolist() == [*whole.encode(text or "", add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_repeated_rows_and_rows_without_an_id_spread_over_groups(spark):
+    rows = spark.createDataFrame([(None, 0, 5, 9, 5)] * 400, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long").repartition(3)
+    got = op5_packing.pack(written(rows, "same-pieces"), 50).toPandas()
+    assert (got["sequence_id"] // (1 << 32)).value_counts().max() < 120 and len(got) == 400
+
+
 def test_best_fit_against_a_plain_search():
     rng = np.random.default_rng(2)
     lengths = np.sort(rng.integers(1, 2049, 3000))[::-1]
