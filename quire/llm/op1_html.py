@@ -8,19 +8,26 @@ hangs below the class of its members' nearest ancestor. The class that occurs on
 
 The nested classes are the host's template; what lies between its tokens are slots. The main slot is the
 skeleton's article or main element, else the deepest element that holds most of the text that no mark (a navigation,
-footer, aside, form, advert, comments, ...) sets apart. Extraction takes the blocks in the main slot, leaves out marked
-parts inside it. Where the slot was found by its text alone, blocks that are themselves tokens of the skeleton (the
-same words once on every page) are left out too; an article or main element is taken as it stands.
-
-Vectors cover all pages of a host, the template is a few rows a host, and pages are read twice.
-
-Defined cases: null html is empty and has empty text; a null or odd url is host ''; a host whose pages share no
-skeleton element falls back on the page's own article, main or body; unclosed and crossed tags are closed as
-browsers would in the plain cases; repeated rows each get a row.
+footer, aside, form, advert, comments, ...) sets apart. A host of several layouts shares little skeleton; elements of one
+layout have one vector, so each class of enough support that leads to a slot of its own gives the template of a layout.
+Extraction takes the blocks in the main slot, leaves out marked parts inside it. Where the slot was found by its text alone,
+blocks that are themselves tokens of the template (the same words, once on each page of the skeleton or layout) are left out
+too, but for pages that would have nothing left; an article or main element is taken as it stands.
+
+Vectors are sums of page hashes over all pages of a host, so repeated pages weigh on all their tokens alike. What is gathered
+for a host is what a fifth of its pages have: a few pages' worth of tokens, however many pages there are. Pages are
+read twice.
+
+Defined cases: null, empty and blank html has empty text and is no page of its host's template; a null or odd url is host '';
+a host whose pages share no skeleton element falls back on the page's own article, main or body; unclosed and crossed
+tags are closed as browsers would in the plain cases; very long pages and blocks are taken whole; texts of blocks are told
+apart by a hash of all their words; repeated rows each get a row; ties go to the longer path; an empty table gives an empty
+result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import re
 from collections.abc import Iterator
@@ -30,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField, StructType
 
-from quire.llm.common import map_rows
+from quire.llm.common import map_rows, parts
 from quire.session import written
 
 # What HTML says of elements.
@@ -160,22 +167,28 @@ def events(page: str) -> Iterator[tuple[str, str | None]]:
 TOKENS = StructType([StructField("host", StringType()), StructField("token", StringType()), StructField("page", LongType()), StructField("times", LongType()), StructField("chars", LongType())])
 
 
+def text_token(path: str, text: str) -> str:
+    """A block's token: its path, a tab, and a hash of the whole text."""
+    return f"{path}\t{hashlib.blake2b(text.encode('utf-8', 'surrogatepass'), digest_size=12).hexdigest()}"
+
+
 def tokens(pages: DataFrame) -> DataFrame:
-    """host, token, page, times, chars of text straight in it: each token of each page once. Text tokens have a tab, then their words."""
+    """host, token, page, times, chars of text straight in it: each token of each page once. A page that has any has the token ''."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 64):
-                part = batch.slice(at, 64)
+            for part in parts(batch, 64):
                 out = []
                 for key, url, page in zip(*(part.column(i).to_pylist() for i in range(3))):
-                    found: dict[str, list[int]] = {"": [1, 0]}
+                    found: dict[str, list[int]] = {}
                     for path, text in events(page or ""):
                         if text is None:
                             found.setdefault(path, [0, 0])[0] += 1
                         else:
                             found.setdefault(path, [0, 0])[1] += len(text)
-                            found.setdefault(f"{path}\t{text[:400]}\t{len(text)}", [0, 0])[0] += 1
+                            found.setdefault(text_token(path, text), [0, 0])[0] += 1
+                    if found:
+                        found[""] = [1, 0]
                     host = host_of(url)
                     out += [(host, token, key, times, chars) for token, (times, chars) in found.items()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], pa.string() if i < 2 else pa.int64()) for i in range(5)], names=[f.name for f in TOKENS])
@@ -184,8 +197,10 @@ def tokens(pages: DataFrame) -> DataFrame:
     return rows.mapInArrow(run, TOKENS)
 
 
-#: A host's template: where its main slot is, and the texts that are tokens of its skeleton.
-TEMPLATE = StructType([StructField("host", StringType()), StructField("slot", StringType()), StructField("fixed", ArrayType(StringType()))])
+#: A host's template: where the main slot of each of its layouts is, and the texts that are tokens of them.
+TEMPLATE = StructType([StructField("host", StringType()), StructField("slots", ArrayType(StringType())), StructField("fixed", ArrayType(StringType()))])
+#: Elements that a slot without a name can be.
+BOXES = frozenset("div section table tbody tr td center span".split())
 
 
 def steps(path: str) -> list[str]:
@@ -210,56 +225,75 @@ def nest(classes: dict[tuple, list[str]]) -> dict[tuple, tuple | None]:
     return found
 
 
-def main_slot(pages: int, rows: list[tuple[str, int, int, int, int]]) -> tuple[str, list[str]]:
-    """(path of the main slot, fixed texts) from a host's tokens: (token, support, total, vector, chars)."""
+def main_slots(pages: int, rows: list[tuple[str, int, int, int, int]], share: float = 0.2) -> tuple[list[str], list[str]]:
+    """(paths of the main slots, fixed texts) from a host's tokens: (token, support, total, vector, chars)."""
     classes: dict[tuple, list[str]] = {}
-    chars: dict[str, int] = {}
+    open_text: dict[str, int] = {}  # text below a path that nothing further down sets apart
     for token, support, total, vector, n in rows:
         if "\t" not in token and token:
             classes.setdefault((support, total, vector), []).append(token)
-            chars[token] = n
+            while n and token:
+                open_text[token] = open_text.get(token, 0) + n
+                token, _, step = token.rpartition("/")
+                if step[0] == "!":
+                    break
+    inside = lambda path: open_text.get(path, 0)
     valid = nest(classes)
-    skeleton = {p for key, members in classes.items() if key in valid and key[0] >= 0.8 * pages and key[1] == key[0] for p in members}
-    skeleton_vectors = {key for key in valid if key[0] == pages and key[1] == pages}
-
-    def inside(path: str, whole: bool = False) -> int:
-        """Text below a path that nothing further down sets apart."""
-        return sum(n for p, n in chars.items() if (p == path or p.startswith(path + "/")) and (whole or "/!" not in p[len(path) :]))
+    once = {key for key in valid if key[0] == key[1] and key[0] >= share * pages}
+    common = {key for key in once if key[0] >= 0.8 * pages}
+    skeleton = {p for key in common for p in classes[key]}
 
-    fixed = [t for t, support, total, vector, _ in rows if "\t" in t and pages >= 5 and (support, total, vector) in skeleton_vectors]
     named = [p for p in skeleton if (last := steps(p)[-1]).lstrip("!").startswith(MAIN) or "@main" in last]
     named = [p for p in named if "/!" not in p] or named
     if named:
         # an article inside main, if it holds most of it
-        best = max(named, key=lambda p: (inside(p), len(p)))
+        best = max(named, key=lambda p: (inside(p), len(p), p))
         for p in sorted(named, key=len):
             if p.startswith(best + "/") and 2 * inside(p) > inside(best):
                 best = p
         if inside(best):
-            return best, []
+            return [best], []
+
+    def narrowed(slot: str, layout: tuple | None = None) -> str:
+        """The deepest element that holds most of the text; with a layout, of the text that isn't in elements of other layouts."""
+        paths = skeleton | set(classes.get(layout, ()))
+        others = [p for key in (once - common if layout else ()) for p in classes[key] if p not in paths and steps(p)[-1][0] != "!"]
+        while True:
+            below = [p for p in paths if p.rpartition("/")[0] == slot and steps(p)[-1][0] != "!" and element(steps(p)[-1]) in BOXES]
+            best = max(below, key=lambda p: (inside(p), len(p), p), default=None)
+            whole = inside(slot) - sum(inside(p) for p in others if p.rpartition("/")[0] == slot)
+            if best is None or not inside(best) or 10 * inside(best) < 7 * whole:
+                return slot
+            slot = best
+
     bodies = sorted((p for p in skeleton if steps(p)[-1].startswith("body")), key=len)
-    if not bodies:
-        return "", fixed
-    slot = bodies[0]
-    while True:
-        below = [p for p in skeleton if p.startswith(slot + "/") and p.count("/") == slot.count("/") + 1 and "/!" not in p[len(slot) :] and steps(p)[-1].lstrip("!").split(".")[0].split("#")[0] in ("div", "section", "table", "tbody", "tr", "td", "center", "span")]
-        best = max(below, key=inside, default=None)
-        if best is None or 10 * inside(best) < 7 * inside(slot) or not inside(best):
-            return slot, fixed
-        slot = best
+    body = bodies[0] if bodies else ""
+    slots, layouts = [narrowed(body)] if body else [], set(common)
+    if body and slots[0] == body:
+        for key in sorted(once - common, key=lambda k: (-k[0], k)):
+            slot = narrowed(body, key)
+            if slot != body and slot not in slots:
+                slots.insert(len(slots) - 1, slot)
+                layouts.add(key)
+    fixed = [t for t, support, total, vector, _ in rows if "\t" in t and pages >= 5 and support == total and (support >= 0.8 * pages or (support, total, vector) in layouts)]
+    return slots, fixed
 
 
 def templates(pages: DataFrame, share: float = 0.2) -> DataFrame:
     """TEMPLATE of each host. Tokens count from two pages and `share` of the host's pages on."""
-    vectors = tokens(pages).groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("times").alias("total"), F.expr("bit_xor(xxhash64(page, times))").alias("vector"), F.sum("chars").alias("chars"))
+    half = F.lit(1 << 31)
+    seen = F.xxhash64("page", "times")
+    # two sums of 31 bits stay far from overflow, whatever the host's size
+    vector = F.xxhash64(F.sum(F.pmod(seen, half)), F.sum(F.pmod(F.shiftright(seen, 32), half)))
+    vectors = tokens(pages).groupBy("host", "token").agg(F.count("*").alias("support"), F.sum("times").alias("total"), vector.alias("vector"), F.sum("chars").alias("chars"))
     vectors = written(vectors.where("support > 1 or instr(token, '\t') = 0"), "html-vectors")
     of_host = vectors.where("token = ''").select(F.col("host").alias("its"), F.col("support").alias("pages"))
     kept = vectors.join(of_host, F.col("host") == F.col("its")).where((F.col("support") >= share * F.col("pages")) & ((F.col("support") > 1) | (F.col("pages") == 1)))
     by_host = kept.groupBy("host").agg(F.max("pages").alias("pages"), F.collect_list(F.struct("token", "support", "total", "vector", "chars")).alias("rows"))
 
     def deduce(hosts, pages_, rows):
-        found = [main_slot(n, [tuple(r[k] for k in ("token", "support", "total", "vector", "chars")) for r in own]) for n, own in zip(pages_, rows)]
-        return {"host": hosts, "slot": [f[0] for f in found], "fixed": [f[1] for f in found]}
+        found = [main_slots(n, [tuple(r[k] for k in ("token", "support", "total", "vector", "chars")) for r in own], share) for n, own in zip(pages_, rows)]
+        return {"host": hosts, "slots": [f[0] for f in found], "fixed": [f[1] for f in found]}
 
     return written(map_rows(by_host, ["host", "pages", "rows"], deduce, TEMPLATE), "html-templates")
 
@@ -279,20 +313,22 @@ def own_slot(paths: list[str], tags: tuple[str, ...]) -> str:
     return ""
 
 
-def main_text(page: str | None, slot: str, fixed: frozenset[str]) -> str:
-    """The blocks of the main slot, in page order. A slot that is no article or main gives way to the page's own one; a page without the slot has its own article, main or body."""
+def main_text(page: str | None, slots: list[str], fixed: frozenset[str]) -> str:
+    """The blocks of the main slot, in page order.
+
+    A page takes the first slot that it has. One that is no article or main gives way to the page's own one; a page without a
+    slot has its own article, main or body."""
     blocks = [(path, text) for path, text in events(page or "") if text is not None]
     paths = [path for path, _ in blocks]
-    within = lambda path: path == slot or path.startswith(slot + "/")
-    if not slot or not any(map(within, paths)):
+    below = lambda path, slot: path == slot or path.startswith(slot + "/")
+    slot = next((s for s in slots if any(below(p, s) for p in paths)), "")
+    if not slot:
         slot = own_slot(paths, (*MAIN, "body"))
     elif element(steps(slot)[-1]) not in MAIN and "@main" not in slot:
-        slot = own_slot(list(filter(within, paths)), MAIN) or slot
-    out = []
-    for path, text in blocks:
-        if (not slot or within(path)) and "/!" not in path[len(slot) :] and (not fixed or f"{path}\t{text[:400]}\t{len(text)}" not in fixed):
-            out.append(text)
-    return "\n\n".join(out)
+        slot = own_slot([p for p in paths if below(p, slot)], MAIN) or slot
+    inner = [(path, text) for path, text in blocks if (not slot or below(path, slot)) and "/!" not in path[len(slot) :]]
+    own = [text for path, text in inner if not fixed or text_token(path, text) not in fixed]
+    return "\n\n".join(own or [text for _, text in inner])
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -306,15 +342,15 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(ids, urls, htmls, hosts, slots, fixed):
         texts = []
-        for page, host_, slot, words in zip(htmls, hosts, slots, fixed):
+        for page, host_, places, words in zip(htmls, hosts, slots, fixed):
             if host_ not in sets:
                 if len(sets) > 1000:
                     sets.clear()
                 sets[host_] = frozenset(words or ())
-            texts.append(main_text(page, slot or "", sets[host_]))
+            texts.append(main_text(page, places or [], sets[host_]))
         return {own[0].name: ids, own[1].name: urls, "text": texts, "n_chars": [len(t) for t in texts]}
 
-    return map_rows(rows, ["page_id", "url", "html", "host", "slot", "fixed"], run, schema)
+    return map_rows(rows, ["page_id", "url", "html", "host", "slots", "fixed"], run, schema)
 
 
 def query(pages: DataFrame) -> DataFrame:

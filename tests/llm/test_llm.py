@@ -105,6 +105,66 @@ def test_html_hosts_of_mixed_layouts(spark):
     assert got == {i: words_of(20, i) for i in range(10)}
 
 
+def html_rows(spark, pages):
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string")
+    frame = frame.withColumns({"host": F.lit("own"), "token": F.lit(1), "slots": F.lit("s"), "text": F.lit("t"), "rows": F.lit(2)})
+    return sorted(((r["page_id"], r["text"]) for r in op1_html.query(frame).collect()), key=repr)
+
+
+BOXED = "<html><body><div class='top'>Menu a b c</div><div class='wrap'><div class='text'><p>{0}</p><p>{1}</p></div></div><div class='foot'>fixed words</div></body></html>"
+
+
+def test_html_long_blocks_that_differ_at_the_end_stay(spark):
+    same = words_of(120, 5)
+    pages = [(i, f"http://l.example/{i}", BOXED.format(f"{same} end{i}", "the same notice")) for i in range(6)]
+    assert html_rows(spark, pages) == [(i, f"{same} end{i}") for i in range(6)]
+
+
+def test_html_repeated_empty_and_null_pages_do_not_hide_the_template(spark):
+    pages = [(i, f"http://r.example/{i}", BOXED.format(words_of(30, i), "the same notice")) for i in range(8)]
+    pages += [pages[3], pages[3], (20, "http://r.example/20", None), (21, "http://r.example/21", ""), (22, "http://r.example/22", " \n")]
+    want = [(i, words_of(30, i)) for i in (0, 1, 2, 3, 3, 3, 4, 5, 6, 7)] + [(20, ""), (21, ""), (22, "")]
+    assert html_rows(spark, pages) == sorted(want, key=repr)
+
+
+def test_html_layouts_without_article_elements(spark):
+    one = "<body><div class='bar'>m1 m2</div><div class='story'><p>{0}</p><p>note a</p></div><div class='end'>x y</div></body>"
+    two = "<body><div class='list'>l1 l2</div><div class='entry'><p>{0}</p><p>note b</p></div><div class='low'>z</div></body>"
+    pages = [(i, f"http://two.example/{i}", (one if i % 5 < 3 else two).format(words_of(25, i))) for i in range(20)]
+    assert html_rows(spark, pages) == sorted(((i, words_of(25, i)) for i in range(20)), key=repr)
+
+
+def test_html_pages_that_are_all_the_same_keep_their_text(spark):
+    pages = [(i, f"http://same.example/{i}", BOXED.format(words_of(30, 1), words_of(30, 2))) for i in range(7)]
+    assert html_rows(spark, pages) == [(i, f"{words_of(30, 1)}\n\n{words_of(30, 2)}") for i in range(7)]
+
+
+def test_html_empty_table_and_very_long_page(spark):
+    assert html_rows(spark, []) == []
+    blocks = [words_of(30, i) for i in range(3000)]
+    page = "<body><nav>n</nav><article>" + "".join(f"<p>{b}" for b in blocks) + "</article></body>"
+    assert html_rows(spark, [(1, "http://long.example/", page)]) == [(1, "\n\n".join(blocks))]
+
+
+def brute_template(pages):
+    """Vectors as tuples over all pages, in plain Python: the texts that every page of a host has once at one path."""
+    seen = [Counter((path, text) for path, text in op1_html.events(p) if text is not None) for p in pages]
+    return {key for key in set().union(*seen) if all(s[key] == 1 for s in seen)}
+
+
+def test_html_fixed_texts_against_brute_force(spark):
+    rng = random.Random(4)
+    pages = []
+    for i in range(9):
+        inner = [f"<p>{words_of(8, 100 * i + k)}</p>" for k in range(rng.randrange(2, 5))] + ["<p>always</p>"] + (["<p>now and then</p>"] if i % 2 else []) + ["<p>twice</p>"] * 2
+        rng.shuffle(inner)
+        pages.append(f"<body><div class='t'>{''.join(inner)}</div></body>")
+    fixed = brute_template(pages)
+    want = [(i, "\n\n".join(text for path, text in op1_html.events(p) if text is not None and (path, text) not in fixed)) for i, p in enumerate(pages)]
+    assert {t for _, t in fixed} == {"always"}
+    assert html_rows(spark, [(i, "http://b.example/", p) for i, p in enumerate(pages)]) == want
+
+
 # 2 ---------------------------------------------------------------------------------------------------------------
 
 
