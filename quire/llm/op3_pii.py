@@ -5,25 +5,30 @@ identifiers: values behind a key word, access-key shapes, long hex or mixed toke
 addresses and numbers written apart. Each candidate gets votes (yes, no, abstain) from
 
 * regex labelers: the shape of the value (known prefix, hex, mixed classes, grouped digits),
-* gazetteer labelers: words that introduce such values, words that never are one, and
+* gazetteer labelers: words that introduce such values, words and placeholders that never are one, and lists of
+  country codes of account numbers and of ends of host names, and
 * context labelers: what stands around it (assignment signs, quotes, digits only beside a unit or a year).
 
-Vote patterns of all candidates in all documents are counted; expectation-maximisation (two classes, labelers
-independent given the class) estimates each labeler's reliability from these counts and gives every pattern a
-posterior. A logistic span classifier over votes and shape features is trained on the patterns with these
-posteriors as soft targets; a candidate becomes a span at probability `cut` or above. Patterns are few
-(3 ** labelers at most), whatever the corpus.
-
-Defined cases: null text is empty and has no spans; repeated rows each get a row; a base match inside another
-kind stays (kinds are found apart); of an added span that meets base spans, the parts of four characters or more beside
-them stay; one that meets an earlier added one is left out. Values have no greatest length.
+Patterns of votes and shape (length, share of digits, entropy, changes of character class, each in a few steps) of all
+candidates in all documents are counted. Expectation-maximisation (two classes, labelers independent given the class)
+estimates each labeler's reliability from the votes and gives every pattern a posterior. A logistic span classifier
+over votes and shape is trained on the patterns with these posteriors as soft targets; a candidate becomes
+a span at probability `cut` or above. Patterns are few (a bound by the number of labelers and steps), whatever the corpus.
+
+Defined cases: null and empty text has no spans; repeated rows each get a row; a base match inside another kind stays (kinds
+are found apart); of an added span that meets base spans, the parts of four characters or more beside them stay; one that
+meets an earlier added one is left out; of candidates with one start the longest counts; values and texts have no greatest
+length; without candidates no span is added; an empty table gives an empty result; further columns are not read by the
+query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import re
-from bisect import bisect_left
+from collections import Counter
+from operator import ne
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -43,6 +48,10 @@ DIGIT = re.compile("[0-9]")
 # Words before a value that is personal or secret, and words that are no value.
 KEYS = ("password", "passwd", "pwd", "passphrase", "token", "secret", "api_key", "apikey", "api-key", "access_key", "auth", "bearer", "ssn", "iban", "pin", "passport", "licence", "license")
 NO_VALUE = ("true", "false", "none", "null", "yes", "no", "required", "optional", "version")
+PLACEHOLDERS = ("example", "changeme", "placeholder", "your_", "your-", "xxxx", "****", "<", "${", "%s")
+# Countries whose account numbers begin with their code, and frequent ends of host names.
+COUNTRIES = frozenset("AD AE AL AT AZ BA BE BG BH BR BY CH CR CY CZ DE DK DO EE EG ES FI FO FR GB GE GI GL GR GT HR HU IE IL IQ IS IT JO KW KZ LB LC LI LT LU LV MC MD ME MK MR MT MU NL NO PK PL PS PT QA RO RS SA SC SE SI SK SM ST SV TL TN TR UA VA VG XK".split())
+HOST_ENDS = frozenset("com org net edu gov mil int info biz name io dev app ai co me tv eu uk us ca au nz ie de at ch fr be nl lu es pt it pl cz sk hu ro bg gr se no dk fi is ru ua tr il in cn jp kr br mx ar za example test invalid".split())
 PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "github_pat_", "sk-", "sk_live_", "pk_live_", "xoxb-", "xoxp-", "AIza", "eyJ", "glpat-")
 
 #: Anything that might be added: a keyed value, a prefixed key, a long hex or mixed token, an IBAN shape, an address written apart.
@@ -53,7 +62,9 @@ CLUES = ("pass", "token", "secret", "pwd", "key", "auth", "bearer", "ssn", "iban
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
-LABELERS = ("keyed", "prefixed", "hex", "mixed", "grouped", "no_value", "assigned", "quoted", "plain_word")
+LABELERS = ("keyed", "prefixed", "hex", "mixed", "grouped", "no_value", "listed", "assigned", "quoted", "plain_word")
+#: How many shape steps follow the votes.
+SHAPE = 4
 
 
 def luhn(digits: str) -> bool:
@@ -98,8 +109,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
+def shape(value: str) -> str:
+    """Steps of length, share of digits, entropy a character and changes of character class."""
+    size, counts = len(value), Counter(value)
+    digits = sum(counts[d] for d in "0123456789")
+    entropy = -sum(n / size * math.log2(n / size) for n in counts.values())
+    classes = [0 if c.isdigit() else 1 if c.islower() else 2 if c.isupper() else 3 for c in value]
+    changes = sum(map(ne, classes, classes[1:])) / max(1, size - 1)
+    return f"{min(4, max(0, size.bit_length() - 3))}{min(3, 4 * digits // size)}{min(4, int(entropy))}{min(3, int(6 * changes))}"
+
+
+def listed(value: str) -> str:
+    """What the gazetteers say of a value."""
+    low = value.lower()
+    if any(p in low for p in PLACEHOLDERS):
+        return "n"
+    if value[:2].isupper() and value[2:4].isdigit():
+        return "y" if value[:2] in COUNTRIES else "-"
+    if "at)" in low or "at]" in low:
+        return "y" if re.split(r"[^a-z0-9-]+", low)[-1] in HOST_ENDS else "-"
+    return "-"
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
-    """(start, end, votes): all candidates beside the base in order; votes has y, n or - for each of LABELERS."""
+    """(start, end, pattern): all candidates beside the base in order; a pattern has y, n or - for each of LABELERS, then the shape."""
     lower, spans = text.lower(), {}
     if any(c in lower for c in CLUES):
         spans |= {m.span(2): True for m in KEYED.finditer(text)}
@@ -125,11 +158,12 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
             "y" if classes >= 2 and digits >= 2 and len(value) >= 8 else "n" if not digits else "-",
             "y" if re.fullmatch(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[0-9A-Z ]{12,}", value) or "at)" in value.lower() or "at]" in value.lower() else "-",
             "n" if value.lower() in NO_VALUE else "-",
+            listed(value),
             "y" if re.search(r"[=:]\s{0,2}[\"']?$", before) else "-",
             "y" if before[-1:] in "\"'" and before else "-",
             "n" if value.isalpha() else "y" if digits else "-",
         )
-        found.append((a, b, "".join(votes)))
+        found.append((a, b, "".join(votes) + shape(value)))
     return found
 
 
@@ -149,17 +183,21 @@ def expectation_maximisation(patterns: list[str], counts: np.ndarray, rounds: in
 
 
 def _features(patterns: list[str]) -> np.ndarray:
-    return np.array([[float(v == "y") for v in p] + [float(v == "n") for v in p] + [1.0] for p in patterns])
+    k = len(LABELERS)
+    return np.array([[float(v == "y") for v in p[:k]] + [float(v == "n") for v in p[:k]] + [int(v) / 4 for v in p[k:]] + [1.0] for p in patterns])
 
 
 def train(patterns: list[str], counts: np.ndarray, rounds: int = 400) -> np.ndarray:
     """Weights of the span classifier: logistic regression on soft targets."""
-    x = _features(patterns)
+    k = len(LABELERS)
     if not len(patterns):
-        return np.zeros(2 * len(LABELERS) + 1)
-    target, right = expectation_maximisation(patterns, counts)
-    # the prior says what the words mean: yes counts for, no against; each by its labeler's reliability
-    prior = np.concatenate((2 * right, -2 * right, [-2.0]))
+        return np.zeros(2 * k + SHAPE + 1)
+    x = _features(patterns)
+    votes, own = np.unique([p[:k] for p in patterns], return_inverse=True)
+    good, right = expectation_maximisation(votes.tolist(), np.bincount(own, counts))
+    target = good[own]
+    # the prior says what the words mean: yes counts for, no against; each by its labeler's reliability. Shape has none
+    prior = np.concatenate((2 * right, -2 * right, np.zeros(SHAPE), [-2.0]))
     w, share = prior.copy(), counts / counts.sum()
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
@@ -168,7 +206,7 @@ def train(patterns: list[str], counts: np.ndarray, rounds: int = 400) -> np.ndar
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id, base (kind:start:end, comma-joined), found (start:end:votes, comma-joined): one pass over the texts."""
+    """doc_id, base (kind:start:end, comma-joined), found (start:end:pattern, comma-joined): one pass over the texts."""
     own = docs.select("doc_id").schema["doc_id"]
     schema = StructType([own, StructField("base", StringType()), StructField("found", StringType())])
 
@@ -181,7 +219,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def learn(scanned: DataFrame) -> np.ndarray:
-    """The classifier, from the vote patterns of every candidate of every document; at most 3 ** labelers rows arrive."""
+    """The classifier, from the patterns of every candidate of every document; a row for each distinct pattern arrives."""
     votes = scanned.where("found != ''").select(F.explode(F.split("found", ",")).alias("one")).select(F.element_at(F.split("one", ":"), -1).alias("votes"))
     rows = votes.groupBy("votes").count().orderBy("votes").collect()
     return train([r["votes"] for r in rows], np.array([r["count"] for r in rows], float))
@@ -193,15 +231,22 @@ def added(found: list[tuple[int, int, str]], base: list[tuple[str, int, int]], w
         return []
     sure = 1 / (1 + np.exp(-np.clip(_features([v for _, _, v in found]) @ weights, -30, 30)))
     taken = sorted((a, b) for _, a, b in base)
-    out = []
+    out, i, reach = [], 0, 0  # reach: the greatest end of the base spans that start at or before here
     for (a, b, votes), p in zip(found, sure):
-        if p >= cut:
-            i = bisect_left(taken, (b, -1))  # base spans that start before b; the longest is short beside a text
-            kind, at = "ident" if votes[LABELERS.index("grouped")] == "y" else "secret", a
-            for x, y in [*(t for t in taken[:i] if t[1] > a), (b, b)]:
-                if x - at >= 4:
-                    out.append((kind, at, x))
-                at = max(at, y)
+        while i < len(taken) and taken[i][0] <= a:
+            reach = max(reach, taken[i][1])
+            i += 1
+        if p < cut:
+            continue
+        kind, at = "ident" if votes[LABELERS.index("grouped")] == "y" else "secret", max(a, reach)
+        j = i
+        while True:
+            x, y = taken[j] if j < len(taken) and taken[j][0] < b else (b, b)
+            if x - at >= 4:
+                out.append((kind, at, x))
+            at, j = max(at, y), j + 1
+            if x == b:
+                break
     return out
 
 

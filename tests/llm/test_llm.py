@@ -256,6 +256,41 @@ def test_pii_takes_long_values_whole(spark):
     assert [new[i] for i in range(4)] == ["token: <SECRET> end", "see <SECRET> end", "use <SECRET> end", "token: <SECRET><IP><SECRET> end"]
 
 
+def test_added_spans_beside_base_spans_against_brute_force():
+    rng = random.Random(5)
+    weights = np.zeros(2 * len(op3_pii.LABELERS) + op3_pii.SHAPE + 1)  # everything is a span
+    for _ in range(500):
+        base = [("x", a, a + rng.randrange(1, 30)) for a in (rng.randrange(300) for _ in range(rng.randrange(12)))]
+        at, found = 0, []
+        while at < 300:
+            a = at + rng.randrange(20)
+            at = a + rng.randrange(4, 60)
+            found.append((a, at, "-" * len(op3_pii.LABELERS) + "0000"))
+        want = []
+        for a, b, _ in found:
+            free = "".join("0" if any(x <= p < y for _, x, y in base) else "1" for p in range(a, b))
+            want += [("secret", a + m.start(), a + m.end()) for m in re.finditer("1{4,}", free)]
+        assert op3_pii.added(found, base, weights, 0.5) == want
+
+
+def test_adding_spans_is_linear_in_base_spans():
+    import time
+
+    took = []
+    for n in (20_000, 80_000):
+        base = [("ip", 20 * i, 20 * i + 8) for i in range(n)]
+        found = [(20 * i + 9, 20 * i + 18, "y" * len(op3_pii.LABELERS) + "0000") for i in range(n)]
+        began = time.perf_counter()
+        op3_pii.added(found, base, np.ones(2 * len(op3_pii.LABELERS) + op3_pii.SHAPE + 1), 0.5)
+        took.append(time.perf_counter() - began)
+    assert took[1] < 12 * took[0]
+
+
+def test_shape_tells_random_values_from_words():
+    assert op3_pii.shape("password") < op3_pii.shape("p4S9w0rDq8") and op3_pii.shape("é")[1] == "0"
+    assert [op3_pii.listed(v) for v in ("DE44500105175407324931", "QQ12 3456 7890", "me (at) host.org", "me (at) host.zzz", "changeme1")] == ["y", "-", "y", "-", "n"]
+
+
 # 4 and 8 ---------------------------------------------------------------------------------------------------------
 
 
