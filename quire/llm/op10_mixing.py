@@ -1,16 +1,20 @@
 """Mixing sources to target weights: a multivariate-hypergeometric splitting tree.
 
-Every source's words form one line: its documents in the order of md5(seed:doc_id). The mix takes the first
-`quota` words of the line repeated, so a document is taken 0 to 3 times and at most one document a source
-is cut. The quotas of all sources are then split exactly down a binary tree; each node draws the left
-child's share of every source from the multivariate hypergeometric law, so a leaf (an output shard) is a
-sample without replacement of the mix. Leaves cut each line into disjoint blocks of an already permuted
-order, and a shard's blocks are put in the order of a hash, which needs no rows from elsewhere.
-
-Only DataFrame and SQL functions run here.
-
-Defined cases: a null text has size 0; a null source is a source of its own, the last; repeated rows are
-separate documents; an empty table gives an empty mix; if no source has words every target is 0.
+Every source's words form one line: its documents in the order of md5(seed:doc_id), a permutation. The mix takes the
+first `quota` words of the line repeated, so a document is taken 0 to 3 times and at most one document a source
+is cut. The quotas, as whole blocks of words (the last one of a source may be short), are then split exactly down a
+binary tree; each node draws the left child's share of every source from the multivariate hypergeometric law, by
+inversion around the mode, so a leaf (an output shard) is a sample without replacement of the mix. Leaves cut each line into
+disjoint runs of permuted blocks; a document goes, whole, with the block that its first word is in. A shard's blocks are put
+in the order of a hash, which needs no rows from elsewhere.
+
+Only DataFrame and SQL functions run here. What one task orders: the documents of a block of tickets (about 4096; a ticket
+that more documents share is split by row), a source's blocks (a row for each 4096 documents), a source's shards, and a shard.
+
+Defined cases: a null or empty text has size 0 and is not taken; very long texts are counted whole and cut like others; a null
+source is a source of its own, the last; repeated rows and rows without an id are separate documents, in an order that holds
+for one reading of a table; ties of tickets go by id, then size; an empty table gives an empty mix; if no source has words
+every target is 0; further columns are not read by the query and kept by the stage, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,15 +28,22 @@ from quire.session import written
 
 #: A document is taken so many times at most.
 MOST = 3
+#: Blocks that a shard has.
+BLOCKS = 1024
 
 
-def sizes(docs: DataFrame, seed: str = "mix", rows_per_block: int = 4096) -> DataFrame:
-    """doc_id, source, size, ticket (order in the source's line), block: a range of tickets."""
+def sizes(docs: DataFrame, key: str, seed: str = "mix", rows_per_block: int = 4096) -> DataFrame:
+    """key, doc_id, source, size, ticket (order in the source's line), block: a range of tickets, part: a share of the rows of one ticket."""
     blocks = max(1, docs.count() // rows_per_block)
     ticket = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(
-        "doc_id", "source", F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long").alias("size"), ticket.alias("ticket")
-    ).withColumn("block", F.floor(F.conv(F.substring("ticket", 1, 8), 16, 10).cast("long") * blocks / F.lit(1 << 32)).cast("long"))
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORD)).cast("long")
+    rows = docs.select(F.col(key).alias("key"), "doc_id", "source", size.alias("size"), ticket.alias("ticket"), F.monotonically_increasing_id().alias("row"))
+    # ids that many rows share, null among them; as a rule there are none
+    many = docs.groupBy("doc_id").agg(F.count("*").alias("rows")).where(F.col("rows") > rows_per_block)
+    rows = rows.join(many.select(F.col("doc_id").alias("its"), "rows"), F.col("doc_id").eqNullSafe(F.col("its")), "left")
+    part = F.coalesce(F.pmod(F.col("row"), F.ceil(F.col("rows") / rows_per_block)), F.lit(0)).cast("long")
+    block = F.floor(F.conv(F.substring("ticket", 1, 8), 16, 10).cast("long") * blocks / F.lit(1 << 32)).cast("long")
+    return rows.select("key", "doc_id", "source", "size", "ticket", block.alias("block"), part.alias("part"))
 
 
 def targets(sized: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
@@ -63,32 +74,33 @@ def _unit(*parts: Column) -> Column:
 def _drawn(colour: Column, drawn: Column, total: Column, *key: Column) -> Column:
     """How many of `drawn` balls out of `total` have a colour of `colour` balls: hypergeometric.
 
-    Up to 64 possible values the law's own quantile, walked from the lowest value with the ratio of
-    neighbouring probabilities; beyond, its normal limit, rounded into the possible values."""
+    The law's own quantile, walked with the ratio of neighbouring probabilities over all values within nine deviations
+    of the mode (and sixteen more): what lies beyond is less than a double can add."""
+    share = colour / F.greatest(total, F.lit(1))
     low, high = F.greatest(F.lit(0).cast("long"), drawn - (total - colour)), F.least(colour, drawn)
-    mean = drawn * (colour / F.greatest(total, F.lit(1)))
-    spread = F.sqrt(F.greatest(mean * (1 - colour / F.greatest(total, F.lit(1))) * (total - drawn) / F.greatest(total - 1, F.lit(1)), F.lit(0.0)))
-    normal = F.sqrt(-2 * F.log(_unit(*key, F.lit(1)))) * F.cos(F.lit(6.283185307179586) * _unit(*key, F.lit(2)))
-    far = F.least(high, F.greatest(low, F.round(mean + normal * spread).cast("long")))
-    steps = F.sequence(low, F.least(high, low + 63))
-    ratio = lambda k: ((colour - k) * (drawn - k)).cast("double") / ((k + 1) * (total - colour - drawn + k + 1)).cast("double")
-    start = lambda: F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"))
-    whole = F.aggregate(steps, start(), lambda a, k: F.struct((a["p"] * F.when(k < high, ratio(k)).otherwise(F.lit(0.0))).alias("p"), (a["sum"] + a["p"]).alias("sum")), lambda a: a["sum"])
-    want = _unit(*key, F.lit(3)) * whole
-    near = F.aggregate(
+    spread = F.sqrt(F.greatest(drawn * share * (1 - share) * (total - drawn) / F.greatest(total - 1, F.lit(1)), F.lit(0.0)))
+    mode = F.floor((drawn + 1).cast("double") * (colour + 1) / (total + 2)).cast("long")
+    reach = F.ceil(9 * spread).cast("long") + 16
+    first, last = F.greatest(low, F.least(high, mode - reach)), F.least(high, F.greatest(low, mode + reach))
+    steps = F.sequence(first, last)
+    ratio = lambda k: ((colour - k).cast("double") * (drawn - k)) / ((k + 1).cast("double") * (total - colour - drawn + k + 1))
+    onward = lambda a, k: (a["p"] * F.when(k < last, ratio(k)).otherwise(F.lit(0.0))).alias("p")
+    whole = F.aggregate(steps, F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum")), lambda a, k: F.struct(onward(a, k), (a["sum"] + a["p"]).alias("sum")), lambda a: a["sum"])
+    want = _unit(*key) * whole
+    # one past the last value whose cumulative weight is below what is wanted
+    return F.aggregate(
         steps,
-        F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), low.alias("k")),
-        lambda a, k: F.struct((a["p"] * F.when(k < high, ratio(k)).otherwise(F.lit(0.0))).alias("p"), (a["sum"] + a["p"]).alias("sum"), F.when(a["sum"] + a["p"] < want, F.least(k + 1, high)).otherwise(a["k"]).alias("k")),
+        F.struct(F.lit(1.0).alias("p"), F.lit(0.0).alias("sum"), first.alias("k"), want.alias("want")),
+        lambda a, k: F.struct(onward(a, k), (a["sum"] + a["p"]).alias("sum"), F.when(a["sum"] + a["p"] < a["want"], F.least(k + 1, last)).otherwise(a["k"]).alias("k"), a["want"].alias("want")),
         lambda a: a["k"],
     )
-    return F.when(high - low < 64, near).otherwise(far)
 
 
 def split(goals: DataFrame, depth: int, seed: str = "mix") -> DataFrame:
-    """rank, shard, low, high: the block of each source's line that each of 2 ** depth shards gets.
+    """rank, shard, low, high: the run of each source's blocks that each of 2 ** depth shards gets; goals: rank, blocks.
 
     Nodes are rows; a level turns each into two without a shuffle, later levels over many tasks."""
-    level = goals.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "quota"))), lambda x: x["quota"]).alias("quotas")).where(F.size("quotas") > 0)
+    level = goals.groupBy().agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "blocks"))), lambda x: x["blocks"]).alias("quotas")).where(F.size("quotas") > 0)
     level = level.select(F.lit(0).cast("long").alias("node"), "quotas")
     for k in range(depth):
         if k in (9, 14):
@@ -112,72 +124,66 @@ def split(goals: DataFrame, depth: int, seed: str = "mix") -> DataFrame:
     return shares.withColumn("high", F.sum("share").over(line)).withColumn("low", F.col("high") - F.col("share")).where("share > 0").select("rank", "shard", "low", "high")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", words_per_shard: int = 8_000_000) -> tuple[DataFrame, DataFrame]:
+def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3), seed: str = "mix", words_per_shard: int = 4_000_000, key: str = "doc_id") -> tuple[DataFrame, DataFrame]:
     """(documents, draws) of the mix.
 
-    documents: doc_id, source, size, ticket, source_size, target, quota and start, the place in the source's line.
-    draws: doc_id, ticket, shard, place (order in the shard), epoch, first, words: words [first, first + words)
-    of the document go to the shard. Sum(words) by source is the target rounded."""
-    sized = written(sizes(docs, seed), "mix-sizes")
+    documents: key, doc_id, source, size, ticket, source_size, target, quota and start, the place in the source's line.
+    draws: key, doc_id, ticket, shard, place (of the block in the shard), epoch, size, words: the first words of the document
+    go to the shard, all but for a source's last. Sum(words) by source is the target rounded."""
+    sized = written(sizes(docs, key, seed), "mix-sizes")
     goals = written(targets(sized, weights), "mix-targets")
     mixed = goals.agg(F.coalesce(F.sum("quota"), F.lit(0))).first()[0]
     depth = max(0, (int(mixed) // words_per_shard).bit_length())
-    shards = 1 << depth
-    blocks = sized.groupBy("source", "block").agg(F.sum("size").alias("words"))
-    before = Window.partitionBy("source").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    wide = max(1, words_per_shard // BLOCKS)
+    blocks = sized.groupBy("source", "block", "part").agg(F.sum("size").alias("words"))
+    before = Window.partitionBy("source").orderBy("block", "part").rowsBetween(Window.unboundedPreceding, -1)
     blocks = blocks.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0))).drop("words")
     goal = goals.select(F.col("source").alias("its"), "source_size", "rank", "target", "quota")
-    blocks = blocks.join(goal, F.col("source").eqNullSafe(F.col("its"))).drop("its").withColumnsRenamed({"source": "its", "block": "at"})
-    inside = Window.partitionBy("source", "block").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = blocks.join(goal, F.col("source").eqNullSafe(F.col("its"))).drop("its").withColumnsRenamed({"source": "its", "block": "at", "part": "of"})
+    inside = Window.partitionBy("source", "block", "part").orderBy("ticket", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = sized.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    placed = placed.join(blocks, F.col("source").eqNullSafe(F.col("its")) & (F.col("block") == F.col("at")))
-    documents = placed.select("doc_id", "source", "size", "ticket", "rank", "source_size", "target", "quota", (F.col("before") + F.col("inside")).alias("start"))
+    placed = placed.join(blocks, F.col("source").eqNullSafe(F.col("its")) & (F.col("block") == F.col("at")) & (F.col("part") == F.col("of")))
+    documents = placed.select("key", "doc_id", "source", "size", "ticket", "rank", "source_size", "target", "quota", (F.col("before") + F.col("inside")).alias("start"))
     documents = written(documents, "mix-documents")
 
-    cell = F.greatest(F.lit(1), F.ceil(F.col("quota") / shards)).cast("long")
-    runs = split(goals, depth, seed).join(goals.select("rank", "quota"), "rank")
-    runs = runs.select("rank", "shard", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / cell), F.floor((F.col("high") - 1) / cell))).alias("cell"))
+    shards = split(goals.select("rank", F.ceil(F.col("quota") / wide).cast("long").alias("blocks")), depth, seed)
+    cell = F.greatest(F.lit(1), F.ceil(F.col("quota") / (wide << depth))).cast("long")
+    runs = shards.join(goals.select("rank", "quota"), "rank").withColumn("cells", cell)
+    runs = runs.select("rank", "shard", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / F.col("cells")), F.floor((F.col("high") - 1) / F.col("cells")))).alias("cell"))
     taken = documents.where("size > 0").select("*", F.explode(F.sequence(F.lit(0), F.lit(MOST - 1))).alias("epoch"))
     taken = taken.withColumn("from", F.col("epoch") * F.col("source_size") + F.col("start")).withColumn("to", F.least(F.col("from") + F.col("size"), F.col("quota"))).where("from < to")
-    taken = taken.withColumn("cell", F.explode(F.sequence(F.floor(F.col("from") / cell), F.floor((F.col("to") - 1) / cell))))
-    cell_of = taken.withColumn("cell_low", F.col("cell") * cell).withColumn("cell_high", F.col("cell_low") + cell)
-    pieces = cell_of.join(runs, ["rank", "cell"])
-    low, high = F.greatest("from", "low", "cell_low"), F.least("to", "high", "cell_high")
-    draws = pieces.where(low < high).select(
-        "doc_id", "ticket", "shard", F.md5(F.concat_ws(":", F.lit(seed), "shard", "rank", low.cast("string")).cast("binary")).alias("place"), "epoch", (low - F.col("from")).alias("first"), (high - low).alias("words"), "rank", "start",
-    )
+    taken = taken.withColumn("at", F.floor(F.col("from") / wide)).withColumn("cell", F.floor(F.col("at") / cell))
+    place = F.md5(F.concat_ws(":", F.lit(seed), "shard", "rank", F.col("at").cast("string")).cast("binary"))
+    pieces = taken.join(runs, ["rank", "cell"]).where("low <= at and at < high")
+    draws = pieces.select("key", "doc_id", "ticket", "shard", place.alias("place"), "epoch", "size", (F.col("to") - F.col("from")).alias("words"), "rank", "start")
     return documents, draws
 
 
 def query(docs: DataFrame) -> DataFrame:
     """One row a document: what the mix takes of it."""
     documents, draws = mix(docs)
-    per = draws.groupBy("rank", "start", "doc_id").agg(F.sum("words").alias("got"), F.countDistinct("shard").alias("n_shards"))
-    per = per.select(F.col("rank").alias("r"), F.col("start").alias("s"), F.col("doc_id").alias("d"), "got", "n_shards")
+    per = draws.groupBy("rank", "start").agg(F.sum("words").alias("got")).select(F.col("rank").alias("r"), F.col("start").alias("s"), "got")
     # a document with words has a place of its own in its line
-    found = documents.join(per, (F.col("size") > 0) & (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s")) & F.col("doc_id").eqNullSafe(F.col("d")), "left")
+    found = documents.join(per, (F.col("size") > 0) & (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s")), "left")
     return found.select("doc_id", "size", "source_size", "target", F.coalesce("got", F.lit(0)).cast("long").alias("taken"))
 
 
-def mixed_documents(docs: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each piece taken, with docs' columns; a cut document keeps its words
-    and the white space before them. Rows that share a doc_id are told apart by size, then by place."""
-    names = docs.columns
-    documents, draws = mix(docs)
-    n = F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(WORD)).cast("long")
-    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col("doc_id").alias("id"), n.alias("n"))
-    many, missing = documents.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.max("k"), F.count_if(F.col("doc_id").isNull())).first()
-    if (many or 0) <= 1 and not missing:
-        got = own.join(draws.select(F.col("doc_id").alias("d"), "first", "words").hint("merge"), F.col("id") == F.col("d"))
-    else:
-        own = own.withColumn("nth", F.row_number().over(Window.partitionBy("id", "n").orderBy(F.xxhash64("row.text"))))
-        nth = F.row_number().over(Window.partitionBy("doc_id", "size").orderBy("rank", "start"))
-        which = documents.select("doc_id", "size", "rank", "start", nth.alias("nth")).where("size > 0")
-        which = which.select(F.col("doc_id").alias("d"), "size", F.col("nth").alias("m"), F.col("rank").alias("r"), F.col("start").alias("s"))
-        pieces = draws.join(which, (F.col("rank") == F.col("r")) & (F.col("start") == F.col("s"))).select("d", "size", "m", "first", "words")
-        got = own.join(pieces, F.col("id").eqNullSafe(F.col("d")) & (F.col("n") == F.col("size")) & (F.col("nth") == F.col("m")))
+def mixed_documents(docs: DataFrame, words_per_shard: int = 4_000_000) -> DataFrame:
+    """The mix as documents: a row for each time a document is taken, with docs' columns; a cut document keeps its words
+    and the white space before them. A partition holds whole shards, each in its own order.
+
+    Rows are known by doc_id where that tells them apart, else by a number that is written along with them."""
+    names, key = docs.columns, "doc_id"
+    many, missing = docs.groupBy("doc_id").agg(F.count("*").alias("k")).agg(F.max("k"), F.count_if(F.col("doc_id").isNull())).first()
+    if (many or 0) > 1 or missing:
+        key = max(names, key=len) + "_row"
+        docs = written(docs.withColumn(key, F.monotonically_increasing_id()), "mix-rows")
+    draws = mix(docs, words_per_shard=words_per_shard, key=key)[1]
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in names]).alias("row"), F.col(f"`{key}`").alias("id"))
+    got = own.join(draws.select("key", "shard", "place", "ticket", "epoch", "size", "words").hint("merge"), F.col("id") == F.col("key"))
+    got = got.repartition("shard").sortWithinPartitions("shard", "place", "ticket", "epoch", "key")
     words = F.regexp_extract_all(F.col("row.text"), F.lit(r"[\x20\x09-\x0D]*+[^\x20\x09-\x0D]++"), F.lit(0))
-    cut = F.array_join(F.slice(words, (F.col("first") + 1).cast("int"), F.col("words").cast("int")), "")
-    whole = (F.col("first") == 0) & (F.col("words") == F.col("n"))
+    cut = F.array_join(F.slice(words, F.lit(1), F.col("words").cast("int")), "")
     new = {"text": cut, "n_chars": F.length(cut).cast(docs.schema["n_chars"].dataType) if "n_chars" in names else None}
+    whole = F.col("words") == F.col("size")
     return got.select(*[(F.when(whole, F.col("row").getField(c)).otherwise(new[c]) if c in new else F.col("row").getField(c)).alias(c) for c in names])

@@ -656,12 +656,53 @@ def test_mixing_tree_is_exact(spark, sf_dir):
     quota = {r["rank"]: r["quota"] for r in documents.select("rank", "quota").distinct().collect()}
     rows = draws.toPandas()
     assert rows.groupby("rank")["words"].sum().to_dict() == {k: v for k, v in quota.items() if v}
-    shards = rows.groupby("shard")["words"].sum()
-    assert len(shards) > 8 and shards.max() - shards.min() <= 1
-    # each source is spread as by chance: near its share in every shard
-    share = rows.groupby(["rank", "shard"])["words"].sum().unstack(fill_value=0)
-    mean = share.sum(1) / share.shape[1]
-    assert ((share.sub(mean, axis=0)).abs().max(1) < 6 * mean**0.5 + 3).all()
+    assert not rows.duplicated(["key", "epoch"]).any() and rows["shard"].nunique() > 8
+    assert (rows["words"] < rows["size"]).sum() <= len(quota)  # a source's last document
+
+
+def test_splitting_tree_partitions_the_quotas(spark):
+    quotas = {1: 4000, 2: 1, 3: 977, 4: 0, 5: 123_456}
+    goals = spark.createDataFrame(list(quotas.items()), "rank long, blocks long")
+    rows = op10_mixing.split(goals, 5).toPandas()
+    per = (rows["high"] - rows["low"]).groupby(rows["shard"]).sum()
+    assert len(per) == 32 and per.max() - per.min() <= 1
+    for rank, own in rows.sort_values("low").groupby("rank"):
+        assert own["low"].tolist() == [0, *own["high"].tolist()[:-1]] and own["high"].max() == quotas[rank]
+        # as by chance: near the share of all
+        assert ((own["high"] - own["low"] - quotas[rank] / 32).abs() < 6 * (quotas[rank] / 32) ** 0.5 + 3).all()
+    assert set(rows["rank"]) == {1, 2, 3, 5}
+
+
+@pytest.mark.parametrize(("colour", "drawn", "total"), [(5, 7, 12), (40, 30, 100), (300, 500, 1000), (3, 20_000, 50_000), (60_000, 100_000, 200_000)])
+def test_draws_follow_the_hypergeometric_law(spark, colour, drawn, total):
+    from math import lgamma
+
+    n = 6000
+    key = F.col("id")
+    got = Counter(r[0] for r in spark.range(n).select(op10_mixing._drawn(F.lit(colour).cast("long"), F.lit(drawn).cast("long"), F.lit(total).cast("long"), F.lit("t"), key)).collect())
+    log = lambda a, b: lgamma(a + 1) - lgamma(b + 1) - lgamma(a - b + 1)
+    low, high = max(0, drawn - (total - colour)), min(colour, drawn)
+    law = np.exp([log(colour, k) + log(total - colour, drawn - k) - log(total, drawn) for k in range(low, high + 1)])
+    assert min(got) >= low and max(got) <= high and abs(law.sum() - 1) < 1e-6
+    # bins of twenty expected draws or more, then chi-square
+    bins, have, want, square = 0, 0.0, 0.0, 0.0
+    for k, p in zip(range(low, high + 1), law):
+        have, want = have + got.get(k, 0), want + n * p
+        if want >= 20:
+            bins, square, have, want = bins + 1, square + (have - want) ** 2 / want, 0.0, 0.0
+    assert square < bins + 5 * (2 * bins) ** 0.5 + 5
+
+
+def test_mixing_splits_ids_that_many_rows_share(spark):
+    rows = [(None, words_of(3 + i % 5, i), "a") for i in range(300)] + [(i, words_of(4, i), "b") for i in range(100)] + [(7, "x y z", "b")] * 120
+    docs = written(spark.createDataFrame(rows, "doc_id long, text string, source string"), "many")
+    sized = op10_mixing.sizes(docs, "doc_id", rows_per_block=20).toPandas()
+    assert sized.groupby(["source", "block", "part"]).size().max() < 60
+    got = op10_mixing.query(docs)
+    again = sorted(map(repr, got.collect()))
+    assert again == sorted(map(repr, op10_mixing.query(docs).collect())) and len(again) == len(rows)
+    per = got.groupBy("source_size", "target").agg(F.sum("taken").alias("n")).collect()
+    assert all(abs(r["n"] - r["target"]) < 1 for r in per)
 
 
 def test_mixed_documents_hold_the_words_taken(spark, sf_dir):
@@ -670,6 +711,14 @@ def test_mixed_documents_hold_the_words_taken(spark, sf_dir):
     count = F.sum(F.regexp_count("text", F.lit(op10_mixing.WORD)))
     want = op10_mixing.query(docs).agg(F.sum("taken")).first()[0]
     assert mixed.agg(count).first()[0] == want and mixed.columns == [*docs.columns, "rank"]
+    # shards lie together, each in its own order
+    draws = op10_mixing.mix(docs, words_per_shard=5000)[1].collect()
+    once = {r["key"]: r["shard"] for r in draws}
+    for r in draws:
+        if r["epoch"]:
+            once.pop(r["key"], None)  # may be in several shards
+    order = [once[r["doc_id"]] for r in op10_mixing.mixed_documents(docs, words_per_shard=5000).collect() if r["doc_id"] in once]
+    assert len(set(order)) > 4 and 1 + sum(a != b for a, b in zip(order, order[1:])) == len(set(order))
     twice = docs.limit(5).unionByName(docs.limit(5))
     assert op10_mixing.mixed_documents(twice).agg(count).first()[0] == op10_mixing.query(twice).agg(F.sum("taken")).first()[0]
 
