@@ -303,6 +303,54 @@ def test_language_held_out_accuracy(spark):
     assert [r["lang_pred"] for r in op4_langid.classify(odd, model, ["doc_id"]).collect()] == ["und"] * 3
 
 
+def test_language_slices_lose_no_n_gram(monkeypatch):
+    is_letter = op4_langid.letters()
+    points = op4_langid.code_points(words_of(60, 3) + " x", is_letter)
+    whole = np.sort(op4_langid.grams(points, 16))
+    for size in (3, 4, 7, 100):
+        monkeypatch.setattr(op4_langid, "SLICE", size)
+        got = np.concatenate([op4_langid.grams(part, 16, again) for part, again in op4_langid.pieces(points)])
+        assert len(whole) == 2 * len(points) - 3 and (np.sort(got) == whole).all()
+
+
+def test_language_scores_against_brute_force(spark):
+    # the same naive Bayes over plain n-grams, in dictionaries
+    rng = random.Random(3)
+    alphabets = {"aa": "abcde", "bb": "cdefg", "cc": "efghi"}
+    say = lambda a, n: " ".join("".join(rng.choice(a) for _ in range(rng.randrange(2, 7))) for _ in range(n))
+    rows = [(i, say(alphabets[lang], 30), lang) for i, lang in enumerate(sorted(alphabets) * 40)]
+    rows += [(1000 + i, say(rng.choice(list(alphabets.values())) + rng.choice(list(alphabets.values())), 3), None) for i in range(60)]
+    got = {r["doc_id"]: r["lang_pred"] for r in op4_langid.query(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    learned = [(t, lang) for d, t, lang in rows if lang and zlib.crc32(str(d).encode()) % 5]
+    counts = {lang: {2: Counter(), 3: Counter()} for lang in alphabets}
+    all_grams = lambda t, n: (f" {t} "[i : i + n] for i in range(len(t) + 3 - n))
+    for t, lang in learned:
+        for n in (2, 3):
+            counts[lang][n].update(all_grams(t, n))
+    known = {n: set().union(*(counts[lang][n] for lang in alphabets)) for n in (2, 3)}
+
+    def score(t, lang):
+        total = np.log(sum(x == lang for _, x in learned))
+        for n in (2, 3):
+            size = sum(counts[lang][n].values()) + 0.5 * len(known[n])
+            total += sum(np.log((counts[lang][n][g] + 0.5) / size) for g in all_grams(t, n) if g in known[n])
+        return total
+
+    want = {d: max(sorted(alphabets), key=lambda lang: score(t, lang)) for d, t, _ in rows}
+    assert sum(got[d] != want[d] for d in want) <= 1  # buckets may collide
+
+
+def test_language_stage_drops_what_is_in_no_learned_language(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(8)
+    strange = ["съешь же ещё этих мягких французских булок " * 5, " ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(60)), None, "12 34"]
+    extra = spark.createDataFrame([(10**7 + i, t) for i, t in enumerate(strange)], "doc_id long, text string")
+    both = docs.select("doc_id", "text", "lang").unionByName(extra.withColumn("lang", F.lit(None).cast("string")))
+    kept = {r["doc_id"] for r in op4_langid.stage(both).select("doc_id").collect()}
+    assert kept == {r["doc_id"] for r in docs.select("doc_id").collect()}
+    assert op4_langid.stage(odd).columns == odd.columns
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = op8_toxicity.query(docs, labels).join(labels, "doc_id").where("held_out").toPandas()
