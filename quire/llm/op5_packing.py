@@ -20,7 +20,7 @@ from __future__ import annotations
 import json
 import zlib
 from functools import cache
-from itertools import chain, islice
+from itertools import chain, compress, islice
 
 import numpy as np
 import pyarrow as pa
@@ -34,8 +34,8 @@ from quire.session import written
 
 WINDOW = 2048
 END = 1
-#: Chunks whose ids a worker remembers, from one task to the next.
-KNOWN = 900_000
+#: Chunks whose ids a worker remembers, from one task to the next; beyond, the half that most batches had stays.
+KNOWN = 400_000
 #: Marks that are taken off a chunk's end if a letter or digit stands before them: the tokenizer makes a word of their run.
 MARKS = ".,;:!?"
 #: What is one word to the tokenizer, and may be told from its neighbours by word ends.
@@ -101,12 +101,17 @@ class Ids:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.ends = Tokenizer.from_file(path), word_ends(path)
-        self.forget()
+        self.tokenizer, self.ends, self.chunks = Tokenizer.from_file(path), word_ends(path), Numbered()
+        self.flat, self.first, self.size, self.used = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def forget(self) -> None:
-        self.chunks = Numbered()
-        self.flat, self.first, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        stay = np.sort(np.argsort(-self.used, kind="stable")[: KNOWN // 2])
+        keep = np.zeros(len(self.used), bool)
+        keep[stay] = True
+        self.chunks = Numbered(zip(compress(self.chunks, keep.tolist()), range(len(stay))))
+        self.flat = self.flat[spread(self.first[stay], self.size[stay])]
+        self.size, self.used = self.size[stay], self.used[stay] // 2
+        self.first = np.cumsum(self.size, dtype=np.int32) - self.size
 
     def each(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all, how many each has)."""
@@ -131,7 +136,7 @@ class Ids:
         if not fresh:
             return
         simple = pc.match_substring_regex(pa.array(fresh, pa.large_string()), PLAIN).to_numpy(zero_copy_only=False)
-        size, first, at = np.zeros(len(fresh), np.int64), np.zeros(len(fresh), np.int64), len(self.flat)
+        size, first, at = np.zeros(len(fresh), np.int32), np.zeros(len(fresh), np.int32), len(self.flat)
         for which, tokenise in ((np.flatnonzero(simple), self.plain), (np.flatnonzero(~simple), self.each)):
             if len(which):
                 ids, size[which] = tokenise([fresh[i] for i in which.tolist()])
@@ -139,6 +144,7 @@ class Ids:
                 self.flat = np.concatenate((self.flat, ids))
                 at += len(ids)
         self.first, self.size = np.concatenate((self.first, first)), np.concatenate((self.size, size))
+        self.used = np.concatenate((self.used, np.zeros(len(fresh), np.int32)))
 
     def numbers(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The number of each chunk without its marks, and of its marks; -1 for none."""
@@ -158,6 +164,7 @@ class Ids:
         chunks = split.flatten().dictionary_encode()
         stems, marks = self.numbers(chunks.dictionary)
         self.learn()
+        self.used[stems] += 1
         # the ids of each distinct chunk, then of all
         size = np.stack((self.size[stems], np.where(marks < 0, 0, self.size[marks])), 1)
         flat = self.flat[spread(np.stack((self.first[stems], self.first[marks]), 1).reshape(-1), size.reshape(-1))]
