@@ -87,14 +87,15 @@ w AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM
 v AS (SELECT doc_id, i, w || chr(10) || lead(w) OVER p || chr(10) || lead(w, 2) OVER p AS three FROM w WINDOW p AS (PARTITION BY doc_id ORDER BY i)),
 d AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, three) > 1 AS twice FROM v WHERE three IS NOT NULL),
 r AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM d, (SELECT unnest([0, 1, 2]) AS k) WHERE twice GROUP BY doc_id),
-l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT line) AS n_dup_lines, count(*) FILTER (regexp_matches(line, '^[\x20\x09-\x0D]*[-*+•‣◦▪·]')) AS n_bullets FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM t) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
 b AS (SELECT t.doc_id, text, CAST(len(words) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
-  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{L}')) AS letters
+  coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_lines, 0) AS n_lines, coalesce(n_bullets, 0) AS n_bullets, coalesce(n_repeat_words, 0) AS n_repeat_words, len(regexp_extract_all(text, '\p{L}')) AS letters
   FROM t LEFT JOIN l ON t.doc_id = l.doc_id LEFT JOIN r ON t.doc_id = r.doc_id),
 f AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
   NOT (base_failed OR 10 * n_symbols > 3 * n_words OR word_chars < 2 * n_words OR word_chars > 20 * n_words OR (n_dup_lines >= 4 AND 2 * n_dup_lines > n_lines) OR 5 * letters < 2 * word_chars
-    OR (3 * (length(text) - length(replace(text, '!', ''))) > n_words AND 10 * len(regexp_extract_all(text, '\p{Lu}')) > 9 * letters)) AS kept
+    OR (3 * (length(text) - length(replace(text, '!', ''))) > n_words AND 10 * len(regexp_extract_all(text, '\p{Lu}')) > 9 * letters)
+    OR (n_lines >= 10 AND 10 * n_bullets > 9 * n_lines)) AS kept
 FROM f
 """
 

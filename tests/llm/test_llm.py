@@ -685,6 +685,30 @@ def test_quality_verdict_does_not_depend_on_order(spark):
     assert a == b and sorted(names) == sorted(op9_quality.RULES)
 
 
+def test_cascade_order_follows_what_reaches_a_rule():
+    names = list(op9_quality.RULES)
+    rejects, work = np.zeros((10, len(names)), bool), np.ones((10, len(names)), int)
+    rejects[:6, 3] = rejects[:5, 0] = rejects[6:8, 1] = True  # rule 0 rejects only what rule 3 does
+    work[:, 3] = 1
+    got = op9_quality.best_order(rejects, work)
+    assert got[:2] == [names[3], names[1]] and sorted(got) == sorted(names)
+    work[:, 3] = 1000
+    assert op9_quality.best_order(rejects, work)[:2] == [names[0], names[1]]
+    assert op9_quality.best_order(rejects[:0], work[:0]) == names
+
+
+def test_quality_against_sql_on_odd_texts(spark, tmp_path):
+    rng = random.Random(3)
+    texts = ["\n".join(rng.choice(["- ", " * ", "• ", ""]) + words_of(6, i) for i in range(n)) for n in (9, 10, 30) for _ in range(6)]
+    texts += ["\n".join("- " + words_of(6, i) for i in range(n)) for n in (9, 10, 12)] + ["STOP NOW! " * 3 + " ".join(f"GO{chr(65 + i % 26)}{chr(65 + i // 26)}!" for i in range(90)), "# " * 60 + words_of(60, 1), words_of(70, 2), "", None, "1 2 3 " * 30]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    docs.write.parquet(str(tmp_path / "documents"))
+    con = duckdb.connect()
+    con.sql(f"create view documents as select * from '{tmp_path}/documents/*.parquet'")
+    assert sorted(con.sql(queries.OP9_SQL).fetchall()) == sorted(tuple(r) for r in op9_quality.query(docs).collect())
+    assert op9_quality.order(docs) == op9_quality.order(docs)
+
+
 # 10 --------------------------------------------------------------------------------------------------------------
 
 
