@@ -482,6 +482,77 @@ def test_general_files_decode(restart):
     assert op6_jpeg.thumbnail(headers, got).shape == (1, 10)
 
 
+def huffman_decoded(file):
+    """Coefficients of a file with one interval a unit, bit by bit, in plain Python: units x 3 x 64."""
+    head = op6_jpeg.parse(file)
+    codes = {}
+    for key, (counts, symbols) in head["huffman"].items():
+        code, at = 0, 0
+        for size in range(1, 17):
+            for _ in range(counts[size - 1]):
+                codes[key, size, code] = symbols[at]
+                code, at = code + 1, at + 1
+            code <<= 1
+        assert code <= (1 << 17) - 2  # all ones is no code word
+    out = []
+    for a, b in zip(head["starts"].tolist(), [*head["starts"].tolist()[1:], len(head["data"])]):
+        bits = "".join(f"{x:08b}" for x in head["data"][a:b].tolist())
+        at, unit = 0, []
+
+        def symbol(table):
+            nonlocal at
+            code = size = 0
+            while (table, size, code) not in codes:
+                code, size, at = code << 1 | int(bits[at]), size + 1, at + 1
+            return codes[table, size, code]
+
+        def extra(n):
+            nonlocal at
+            v = int(bits[at : at + n] or "0", 2)
+            at += n
+            return v if not n or v >> (n - 1) else v - (1 << n) + 1
+
+        for _ in range(3):
+            block = [extra(symbol(0))] + [0] * 63
+            k = 1
+            while k < 64:
+                s = symbol(0x10)
+                if s == 0:
+                    break
+                k += s >> 4
+                if s & 15:
+                    block[k] = extra(s & 15)
+                k += 1
+            unit.append(block)
+        assert len(bits) - at < 8 and set(bits[at:]) <= {"1"}
+        out.append(unit)
+    return np.array(out)
+
+
+def test_files_against_a_plain_decoder():
+    rng = np.random.default_rng(5)
+    texts = [b"", words_of(200, 3).encode(), "é日本 \U0001f600".encode() * 30, b" " * 500 + b"x" + b" " * 300, bytes(rng.integers(0, 256, 3000, dtype=np.uint8)), b"\xff" * 400, bytes(range(256))]
+    payloads = [op6_jpeg.padded(t) for t in texts]
+    files = op6_jpeg.encode_many(payloads)
+    assert files == [op6_jpeg.encode(p) for p in payloads]
+    for payload, file, (head, got) in zip(payloads, files, op6_jpeg.decode_many(files)):
+        want = huffman_decoded(file)
+        assert (got == want).all() and op6_jpeg.payload_of(head, want) == payload == op6_jpeg.payload_of(head, got)
+    sizes = {n for n in range(16) if op6_jpeg.AC_TABLE[0][n]}
+    assert len(sizes) > 6 and len(files[1]) < len(payloads[1]) * 1.2 + 400
+
+
+def test_thumbnail_hash_looks_at_all_cells():
+    rng = np.random.default_rng(1)
+    strip = rng.integers(0, 255, 720)
+    other = strip.copy()
+    other[np.arange(720) % 10 != 0] = rng.integers(0, 255, 648)
+    assert op6_jpeg.thumbnail_hash(strip) != op6_jpeg.thumbnail_hash(other)
+    flat = np.add.reduceat(strip, np.arange(0, 720, 10)).reshape(8, 9)
+    assert op6_jpeg.thumbnail_hash(strip) == np.packbits(flat[:, :-1] < flat[:, 1:]).tobytes().hex()
+    assert op6_jpeg.thumbnail_hash(np.array([[7]])) == "0" * 16
+
+
 def test_media_round_trip(spark, monkeypatch):
     monkeypatch.setattr(op6_jpeg, "LANES", 50)
     texts = ["", None, "a" * 192, "é" * 1000, words_of(2000, 4), "a" * 192]
