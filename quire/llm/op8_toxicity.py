@@ -5,13 +5,16 @@ unseen misspelling shares most of them with the word it comes from. A window's v
 words; the softmax on top gives the window's probability. A text scores as its highest window of a few
 neighbouring words, so a few words in a long text are not averaged away.
 
-Training alternates, on a bounded sample of labelled documents (`sample`, of smallest id hash): pick each
-text's highest window under the present model (at first under each n-gram's log odds), then descend jointly
-on n-gram vectors and softmax weights (Adagrad). With vectors and weights fixed the logit is linear in the
-n-grams, so executors get one number an n-gram.
-
-Defined cases: a null or empty text, or one without words, has score 0 and predicted 0; with no labels of both
-kinds every score is 0; repeated rows each get a row; a document with several labels counts as toxic if any is.
+Training alternates, on a bounded sample of labelled documents (at most about `sample` documents and `most_chars`
+characters, of smallest id hash; none alone has over an eighth of these): pick each text's highest window under the
+present model (at first under each n-gram's log odds), then descend jointly on n-gram vectors and the softmax's weights
+(Adagrad). With vectors and weights fixed the difference of the two classes' logits is linear in the n-grams, so executors
+get one number an n-gram.
+
+Defined cases: a null or empty text, or one without words, has score 0 and predicted 0; very long texts are scored whole; with no
+labels of both kinds every score is 0; repeated rows and rows without an id each get a row, the latter are never learned from;
+a document with several labels counts as toxic if any is; the first of equal windows is learned from; an empty table gives an
+empty result; further columns are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -79,7 +82,7 @@ def windows(values: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray, np
 
 
 def train(texts: list[str], toxic: np.ndarray, window: int = WINDOW, size: int = 8, rounds: int = 3, epochs: int = 15, seed: int = 1) -> tuple[np.ndarray, float]:
-    """(logit of each n-gram's bucket, bias).
+    """(difference of the two classes' logits for each n-gram's bucket, and of their biases).
 
     Vectors start along one direction, by each n-gram's log odds shrunk towards none where it is rare. Their steps are
     damped by the gradients of the common ones, so an n-gram that few texts have hardly moves."""
@@ -108,9 +111,11 @@ def train(texts: list[str], toxic: np.ndarray, window: int = WINDOW, size: int =
     rng = np.random.default_rng(seed)
     weights = rng.choice((-1.0, 1.0), size) / np.sqrt(size)
     vectors = odds[:, None] * weights + rng.normal(0, 0.01, (1 << BITS, size))
-    weights = 2.0 * weights
-    bias, past_v, past_w, past_b = -2.0, None, 1e-4, 1e-4
-    score = word_means(vectors @ weights)
+    # the softmax: a column and a bias for each class
+    softmax, bias = np.stack((-weights, weights), 1), np.array([1.0, -1.0])
+    past_v, past_w, past_b = None, 1e-4, 1e-4
+    marks = np.stack((~toxic, toxic), 1)
+    score = word_means(vectors @ (softmax[:, 1] - softmax[:, 0]))
     for _ in range(rounds):
         bags = []
         for d in docs:
@@ -127,29 +132,36 @@ def train(texts: list[str], toxic: np.ndarray, window: int = WINDOW, size: int =
         balance = np.where(toxic, 0.5 / share, 0.5 / (1 - share)) / len(bags)
         for _ in range(epochs):
             means = np.add.reduceat(vectors[sub] * part[:, None], row_starts, axis=0)
-            error = (1 / (1 + np.exp(-np.clip(means @ weights + bias, -30, 30))) - toxic) * balance
-            slope = np.bincount(inverse, error[row] * part, len(used))[:, None] * weights
-            push, base = means.T @ error, error.sum()
+            logits = np.clip(means @ softmax + bias, -30, 30)
+            chances = np.exp(logits - logits.max(1, keepdims=True))
+            error = (chances / chances.sum(1, keepdims=True) - marks) * balance[:, None]
+            # the two classes' errors are opposite, so one sum an n-gram does for both
+            slope = np.bincount(inverse, error[row, 1] * part, len(used))[:, None] * (softmax[:, 1] - softmax[:, 0])
+            push, base = means.T @ error, error.sum(0)
             if past_v is None:
                 past_v = np.full((1 << BITS, size), np.quantile(np.abs(slope).max(1), 0.999) ** 2)
             past_v[used] += slope**2
             vectors[used] -= 0.2 * slope / np.sqrt(past_v[used])
-            past_w += (push**2).sum()
-            weights -= 0.5 * push / np.sqrt(past_w)
-            past_b += base**2
-            bias -= 0.5 * base / np.sqrt(past_b)
-        score = word_means(vectors @ weights)
-    return (vectors @ weights).astype(np.float32), float(bias)
+            past_w += (push**2).sum() / 2
+            softmax -= 0.25 * push / np.sqrt(past_w)
+            past_b += (base**2).sum() / 2
+            bias -= 0.25 * base / np.sqrt(past_b)
+        score = word_means(vectors @ (softmax[:, 1] - softmax[:, 0]))
+    return (vectors @ (softmax[:, 1] - softmax[:, 0])).astype(np.float32), float(bias[1] - bias[0])
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000) -> tuple[np.ndarray, float]:
-    """Trains on at most about `sample` labelled documents whose id isn't held out."""
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, most_chars: int = 1 << 24) -> tuple[np.ndarray, float]:
+    """Trains on a sample of the labelled documents whose id isn't held out, bounded in documents and in characters."""
     own = labels.where("toxic is not null and doc_id is not null").where(crc_of_id() % 3 != 1).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n = own.count()
-    own = own.where(F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) < min(1.0, sample / max(1, n)) * (1 << 30))
-    rows = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(own), "doc_id").select("doc_id", "text", "toxic")
+    size = F.length("text")
+    rows = docs.select("doc_id", "text").where("text is not null").where(size <= most_chars // 8)
+    n, chars = rows.select("doc_id", size.alias("size")).join(own, "doc_id").agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    share = min(1.0, sample / max(1, n), most_chars / max(1, chars))
+    chosen = F.pmod(F.xxhash64(F.lit("toxic"), "doc_id"), F.lit(1 << 30)) < share * (1 << 30)
+    # one id may have many rows: the sample's bound holds for those too
+    drawn = rows.where(chosen).join(own.where(chosen), "doc_id").select("doc_id", "text", "toxic").limit(2 * sample)
     texts, marks = [], []
-    for r in sorted(rows.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"])):
+    for r in sorted(drawn.toLocalIterator(), key=lambda r: (r["doc_id"], r["text"])):
         texts.append(r["text"])
         marks.append(r["toxic"])
     return train(texts, np.array(marks, dtype=np.int64))
