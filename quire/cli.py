@@ -20,6 +20,10 @@ from quire.options import ConvertOptions, OptionError, check, from_arguments, ki
 from quire.sources import files, packs
 
 
+#: Before a dictionary's path: its rules go after the built-in ones.
+LAST = "last:"
+
+
 def usage() -> str:
     return "usage: quire [options] FILE...\n" + "\n".join(f"  --{n} ({kind(n)})" for n in ConvertOptions.__dataclass_fields__)
 
@@ -78,7 +82,8 @@ def run(arguments: Sequence[str]) -> int:
     texts, missing = read(options)
     for path in missing:
         print(f"Could not open {path}", file=sys.stderr)
-    rules = convert.load_rules(options, [files.side_text(d) for d in options.links_dictionaries])
+    first, last = ([files.side_text(d.removeprefix(LAST)) for d in options.links_dictionaries if d.startswith(LAST) is late] for late in (False, True))
+    rules = convert.load_rules(options, first, last)
     text = "\n\n".join(texts)
     folder, stem = os.path.split(os.path.splitext(options.outfile)[0])
     if options.chunk_chars:

@@ -14,12 +14,12 @@ from quire.operators.records import split_chars
 from quire.options import ConvertOptions, check, settled, variables
 
 
-def load_rules(options: ConvertOptions, dictionaries: Iterable[str] = ()) -> list[links.Rule]:
-    """The options' link rules; none if links are off."""
+def load_rules(options: ConvertOptions, dictionaries: Iterable[str] = (), last: Iterable[str] = ()) -> list[links.Rule]:
+    """The options' link rules; none if links are off. The dictionaries go before the built-in rules, the last ones after them."""
     if not options.make_links:
         return []
     policy = tuple(sorted({s.strip().lower() for s in (options.allowed_url_schemes or "").split(",") if s.strip()}))
-    return links.load_rules(dictionaries, policy, options.lower_case_tags)[0]
+    return links.load_rules(dictionaries, policy, options.lower_case_tags, last=last)[0]
 
 
 def side_texts(options: ConvertOptions) -> dict[str, str]:
@@ -77,11 +77,11 @@ def fill(template: str, slots: dict[str, str], namespace: str = "quire") -> str:
     return re.sub(rf"\{{\{{{namespace}:([^}}]*)\}}\}}", lambda m: slots.get(m.group(1), m.group()), template)
 
 
-def to_html(docs: DataFrame, options: ConvertOptions | None = None, dictionaries: Iterable[str] = (), template: str = "", key: str = "doc_id", text: str = "text") -> DataFrame:
+def to_html(docs: DataFrame, options: ConvertOptions | None = None, dictionaries: Iterable[str] = (), template: str = "", key: str = "doc_id", text: str = "text", last: Iterable[str] = ()) -> DataFrame:
     """key, html, title, error. A document that fails or is refused has its reason in error and no html; the others go on."""
     options = settled(options or ConvertOptions())
     check(options)
-    rules, sides = load_rules(options, dictionaries), side_texts(options)
+    rules, sides = load_rules(options, dictionaries, last), side_texts(options)
     schema = StructType([docs.schema[key], StructField("html", StringType()), StructField("title", StringType()), StructField("error", StringType())])
 
     def run(batches):

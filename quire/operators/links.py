@@ -153,11 +153,12 @@ def allows(url: str, policy: tuple[str, ...] = ()) -> bool:
     return found is None or (found in policy if policy else found not in REFUSED)
 
 
-def load_rules(dictionaries: Iterable[str] = (), policy: tuple[str, ...] = (), lower_case: bool = True, built_in: bool = True) -> tuple[list[Rule], list[str]]:
-    """(rules, problems): entries of the dictionaries, then the built-in ones; the first of a label counts.
+def load_rules(dictionaries: Iterable[str] = (), policy: tuple[str, ...] = (), lower_case: bool = True, built_in: bool = True, last: Iterable[str] = ()) -> tuple[list[Rule], list[str]]:
+    """(rules, problems): entries of the dictionaries, then the built-in ones, then those of the last dictionaries; the first of a label counts.
 
     Patterns that don't compile, or that match nothing at all over and over, and targets of refused schemes are problems."""
-    entries = [e for text in dictionaries for e in parse_dictionary(text)] + ([(p, p, s, t) for p, s, t in DICTIONARY] if built_in else [])
+    own = [(p, p, s, t) for p, s, t in DICTIONARY] if built_in else []
+    entries = [*(e for text in dictionaries for e in parse_dictionary(text)), *own, *(e for text in last for e in parse_dictionary(text))]
     rules, problems, seen = [], [], set()
     for label, pattern, switches, target in entries:
         if label in seen:
@@ -204,6 +205,30 @@ def inside_markup(matched: str, before: str, lower_case: bool = True, end: int |
     return last(opened) > last(closed) or last("<") > last(">")
 
 
+class Emitted:
+    """Text that only grows at its end, and whether that end stands in a link or in a tag; each piece is looked through once."""
+
+    def __init__(self, lower_case: bool = True):
+        self.signs = ("<a ", "</a>", "<", ">") if lower_case else ("<A ", "</A>", "<", ">")
+        self.pieces: list[str] = []
+        self.at, self.tail, self.last = 0, "", dict.fromkeys(self.signs, -1)
+
+    def put(self, piece: str) -> None:
+        self.pieces.append(piece)
+        seen = self.tail + piece  # a sign may begin in the piece before
+        for sign in self.signs:
+            if (found := seen.rfind(sign)) >= 0:
+                self.last[sign] = self.at - len(self.tail) + found
+        self.at += len(piece)
+        self.tail = seen[-3:]
+
+    def inside(self, matched: str) -> bool:
+        """As inside_markup, for what comes next."""
+        opened, closed, left, right = (self.last[sign] for sign in self.signs)
+        folded = matched.lower()
+        return "</a>" in folded or "<a>" in folded or opened > closed or left > right
+
+
 def clue_of(rules: list[Rule]) -> re.Pattern | None:
     """Finds a literal of any rule; None if some rule has none. What it doesn't find in a lower-case text no rule matches."""
     if not all(r.literals for r in rules):
@@ -222,16 +247,16 @@ def apply_rules(text: str, rules: list[Rule], used: set[int], used_here: set[int
         spent = used if "o" in rule.switches else used_here if "s" in rule.switches else None
         if spent is not None and rule.order in spent:
             continue
-        done, rest, changed = "", text, False
+        done, rest = Emitted(lower_case), text
         while (m := rule.regex.search(rest)) and m.end():
-            done += rest[: m.start()]
-            done += m.group() if inside_markup(m.group(), done, lower_case) else expand(rule.replacement, m)
-            rest, changed = rest[m.end() :], True
+            done.put(rest[: m.start()])
+            done.put(m.group() if done.inside(m.group()) else expand(rule.replacement, m))
+            rest = rest[m.end() :]
             if spent is not None:
                 spent.add(rule.order)
                 break
-        if changed:
-            text = done + rest
+        if done.pieces:
+            text = "".join(done.pieces) + rest
             folded = text.lower()
     return text
 
@@ -242,22 +267,24 @@ HREF = re.compile(r"\shref\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 
 def scrub(html: str, policy: tuple[str, ...] = ()) -> tuple[str, list[str]]:
     """(html without anchors whose scheme is refused, their text kept; the schemes in the order met)."""
-    out, dropped, at = [], [], 0
-    while m := OPEN_ANCHOR.search(html, at):
-        out.append(html[at : m.start()])
+    folded, cuts, dropped = html.lower(), {}, []
+    for m in OPEN_ANCHOR.finditer(html):
         href = HREF.search(m.group())
         url = next((g for g in href.groups() if g is not None), "") if href else ""
         if href is None or allows(url, policy):
-            out.append(m.group())
-            at = m.end()
             continue
-        name = scheme(url)
-        if name not in dropped:
+        if (name := scheme(url)) not in dropped:
             dropped.append(name)
-        end = html.lower().find("</a>", m.end())
-        at = m.end()
+        cuts[m.start()] = m.end()
+        end = folded.find("</a>", m.end())
+        while end in cuts:
+            end = folded.find("</a>", end + 4)
         if end >= 0:
-            html = html[:end] + html[end + 4 :]
+            cuts[end] = end + 4
+    out, at = [], 0
+    for start, end in sorted(cuts.items()):
+        out.append(html[at:start])
+        at = end
     return "".join([*out, html[at:]]), dropped
 
 
