@@ -113,8 +113,13 @@ def decode_bytes(data: bytes, encoding: str = "auto") -> tuple[str, str]:
     return units(data[mark[1] if mark else 0 :], encoding), encoding
 
 
+def is_plain(content: Column) -> Column:
+    """Valid UTF-8 without a zero byte: whatever detection looks at, it is UTF-8."""
+    return is_utf8(content) & (F.instr(content.cast("string"), "\0") == 0)
+
+
 def decode(content: Column, encoding: str = "auto") -> Column:
-    """struct(text, encoding) of bytes. Plain UTF-8 and single-byte encodings stay in the JVM; other rows go through Arrow."""
+    """struct(text, encoding) of bytes. UTF-8 and single-byte encodings stay in the JVM; of other rows the bytes go through Arrow."""
     if encoding in SINGLE:
         return F.struct(decode_single(content, encoding).alias("text"), F.lit(encoding).alias("encoding"))
 
@@ -122,7 +127,11 @@ def decode(content: Column, encoding: str = "auto") -> Column:
     def decoded(contents: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([decode_bytes(bytes(c), encoding) if c is not None else (None, None) for c in contents], columns=["text", "encoding"])
 
-    return decoded(content)
+    if encoding not in ("auto", "utf-8"):
+        return decoded(content)
+    plain = is_plain(content) if encoding == "auto" else is_utf8(content)
+    text = F.struct(content.cast("string").alias("text"), F.lit("utf-8").alias("encoding"))
+    return F.when(plain, text).otherwise(decoded(F.when(~plain, content)))
 
 
 class EncodeError(ValueError):

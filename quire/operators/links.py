@@ -7,8 +7,10 @@ from collections.abc import Iterable
 from dataclasses import dataclass
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from quire.functions.urls import REFUSED
 
@@ -186,9 +188,8 @@ def rules_frame(spark: SparkSession, rules: list[Rule]) -> DataFrame:
 
 
 def may_match(text: Column, literals: Column) -> Column:
-    """Whether a text may match a rule of these literals; false is certain. Used before the pattern itself."""
-    folded = F.lower(text)
-    return literals.isNull() | F.exists(literals, lambda x: F.contains(folded, x))
+    """Whether a text, in lower case, may match a rule of these literals; false is certain. Used before the pattern itself."""
+    return literals.isNull() | F.exists(literals, lambda x: F.contains(text, x))
 
 
 def expand(template: str, match: re.Match) -> str:
@@ -309,5 +310,20 @@ def candidate_pairs(texts: DataFrame, rules: DataFrame, text: str = "text") -> D
     """Each text with the rules it may match. The rules, a dictionary of bounded size, travel inside the rows, so no join multiplies rows."""
     packed = rules.agg(F.collect_list(F.struct("ord", "label", "literals")).alias("r")).first()["r"]
     own = F.array(*[F.struct(F.lit(r["ord"]).alias("ord"), F.lit(r["label"]).alias("label"), (F.array(*map(F.lit, r["literals"])) if r["literals"] else F.lit(None).cast("array<string>")).alias("literals")) for r in packed])
-    kept = F.filter(own, lambda r: may_match(F.col(text), r["literals"]))
-    return texts.select("*", F.explode(F.transform(kept, lambda r: F.struct(r["ord"].alias("ord"), r["label"].alias("label")))).alias("rule")).select("*", "rule.ord", "rule.label").drop("rule")
+    folded = next(f"folded{'_' * i}" for i in range(99) if f"folded{'_' * i}" not in texts.columns)
+    kept = F.filter(own, lambda r: may_match(F.col(folded), r["literals"]))
+    # lower case once a text, not once a rule; the projection must not be put back into the filter
+    lowered = texts.withColumn(folded, F.lower(text)).where(F.col(folded).isNotNull())
+    return lowered.select(*texts.columns, F.explode(F.transform(kept, lambda r: F.struct(r["ord"].alias("ord"), r["label"].alias("label")))).alias("rule")).select("*", "rule.ord", "rule.label").drop("rule")
+
+
+def scrubbed(frame: DataFrame, policy: tuple[str, ...] = (), key: str = "doc_id", html: str = "html") -> DataFrame:
+    """key, html without refused anchors, dropped: their schemes in the order met, comma-joined."""
+    schema = StructType([frame.schema[key], StructField("html", StringType()), StructField("dropped", StringType())])
+
+    def run(batches):
+        for batch in batches:
+            done = [scrub(t or "", policy) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([",".join(d[1]) for d in done], pa.string())], names=[f.name for f in schema])
+
+    return frame.select(key, html).mapInArrow(run, schema)

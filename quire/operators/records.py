@@ -12,6 +12,7 @@ from pyspark.sql.types import ArrayType, StringType
 # Possessive repeats: a greedy group would recurse once a line.
 RECORD = r"(?s)[^\n][^\n]*+(?:\n(?!\n)[^\n]++)*+(?:\n\n|\n?\z)"
 LINE = r"[^\n]*\n|[^\n]+"
+BLANKS = re.compile(r"[^\S\n]*")
 
 # Marks that end a sentence, and commas.
 STOPS = frozenset(".!?;:。！？；：．")
@@ -110,8 +111,7 @@ def split_chars(text: str, most: int) -> list[str]:
             break
         cut = split_point(piece, most)
         out.append(piece[:cut])
-        at += cut
-        at += len(re.match(r"[^\S\n]*", text[at:at + 10_000]).group())
+        at = BLANKS.match(text, at + cut).end()
     return out
 
 

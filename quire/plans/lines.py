@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import chars, decode, predicates, templates
-from quire.operators import catalog, nodes, records, scripts, sections
+from quire.operators import catalog, convert, links, nodes, records, scripts, sections
+from quire.options import ConvertOptions
 from quire.plans.structure import _packs
 from quire.plans.text import ESCAPES, _nested, long, table
 
@@ -57,44 +60,45 @@ def custom_headings(spark, sf_dir):
 CUSTOM_SQL = "SELECT CAST(CASE WHEN o_orderpriority LIKE '1-%' THEN 1 WHEN regexp_matches(o_orderpriority, '^[23]-') THEN 2 ELSE 3 END AS BIGINT) AS level, count(*) AS n FROM orders WHERE regexp_matches(o_orderpriority, '^[123]-|URGENT') GROUP BY 1"
 
 
+PLAIN = ConvertOptions(extract=True, make_links=False, make_anchors=False)
+
+
 def caps_lines(spark, sf_dir):
-    """Lines of capitals in their element, without leading white space."""
-    own = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(records.lines(F.col("text"))).alias("n", "line"))
-    body = F.regexp_replace(F.regexp_replace("line", r"\n\z", ""), r"\A\s+", "")
-    return own.where(predicates.is_caps(F.col("line"))).select("doc_id", long(F.col("n")).alias("n"), F.md5(F.concat(F.lit("<strong>"), body, F.lit("</strong>\n")).cast("binary")).alias("md5"))
+    """Paragraphs of one line, some in capitals, converted: which come out in their element."""
+    line = F.concat(F.when(F.col("c_custkey") % 3 == 0, F.lower("c_mktsegment")).otherwise(F.col("c_mktsegment")), F.when(F.col("c_custkey") % 2 == 0, " 12!").otherwise(" & CO"))
+    return convert.to_html(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), F.concat(line, F.lit("\n")).alias("text")), PLAIN).select("doc_id", F.trim(F.regexp_replace("html", r"\s+", " ")).alias("html"))
 
 
-CAPS_SQL = r"""
-WITH l AS (SELECT doc_id, unnest(regexp_extract_all(text, '[^\n]*\n|[^\n]+')) AS line, generate_subscripts(regexp_extract_all(text, '[^\n]*\n|[^\n]+'), 1) - 1 AS n FROM documents)
-SELECT doc_id, n, md5('<strong>' || regexp_replace(regexp_replace(line, '\n\z', ''), '^\s+', '') || '</strong>' || chr(10)) AS md5 FROM l WHERE regexp_full_match(line, '[^a-z<]*[A-Z]{3,}[^a-z<]*', 's')
+CAPS_SQL = """
+WITH l AS (SELECT c_custkey AS doc_id, CASE WHEN c_custkey % 3 = 0 THEN lower(c_mktsegment) ELSE c_mktsegment END || CASE WHEN c_custkey % 2 = 0 THEN ' 12!' ELSE ' &amp; CO' END AS line, c_custkey % 3 <> 0 AS caps, c_custkey FROM customer)
+SELECT doc_id, CASE WHEN caps AND c_custkey % 2 = 0 THEN '<p><strong>' || line || '</strong> </p>' ELSE '<p>' || line || '</p>' END AS html FROM l
 """
 
 
 def table_cells(spark, sf_dir):
-    """Cells of delimited rows: frame signs go, an empty cell or 0 is shown as a hard space."""
-    own = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("|"), "n_name", F.lit("| |"), F.col("n_regionkey").cast("string"), F.lit("|")).alias("row"))
-    bare = F.regexp_replace("row", r"\A\|", "")
-    cells = F.split(F.regexp_replace(bare, r"\|\z", ""), r"\|")
-    shown = F.transform(cells, lambda c: F.when(F.trim(c).isin("", "0"), "&nbsp;").otherwise(chars.escape(F.trim(c))))
-    return own.select("n_nationkey", F.posexplode(shown).alias("col", "cell")).select("n_nationkey", long(F.col("col")).alias("col"), "cell")
+    """Delimited rows converted to a table: frame signs go, an empty cell or 0 is shown as a hard space."""
+    text = F.concat(F.lit("|"), "n_name", F.lit("| |"), F.col("n_regionkey").cast("string"), F.lit("|\n|a & b|x|0|\n"))
+    done = convert.to_html(table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("doc_id"), text.alias("text")), replace(PLAIN, make_tables=True))
+    cells = F.regexp_extract_all("html", F.lit(r"(?s)<td>(.*?)</td>"), F.lit(1))
+    return done.select(F.col("doc_id").alias("n_nationkey"), F.posexplode(cells).alias("col", "cell")).select("n_nationkey", long(F.col("col")).alias("col"), "cell")
 
 
-CELLS_SQL = "SELECT n_nationkey, unnest([0, 1, 2]) AS col, unnest([n_name, '&nbsp;', CASE WHEN n_regionkey = 0 THEN '&nbsp;' ELSE CAST(n_regionkey AS VARCHAR) END]) AS cell FROM nation"
+CELLS_SQL = "SELECT n_nationkey, unnest([0, 1, 2, 3, 4, 5]) AS col, unnest([n_name, '&nbsp;', CASE WHEN n_regionkey = 0 THEN '&nbsp;' ELSE CAST(n_regionkey AS VARCHAR) END, 'a &amp; b', 'x', '&nbsp;']) AS cell FROM nation"
 
 
 def dropped_schemes(spark, sf_dir):
-    """Schemes of a document's refused links, each once, in the order met."""
-    from quire.functions import urls
-
-    url = F.element_at(F.array(*[F.lit(x) for x in ("javascript:x", "https://ok/", "data:y", "file:///z")]), (F.col("event_id") % 4 + 1).cast("int"))
-    own = table(spark, sf_dir, "events").select("user_id", "event_id", urls.scheme_of(url).alias("scheme"), urls.allowed(url).alias("ok"))
-    first = own.where("NOT ok").groupBy("user_id", "scheme").agg(F.min("event_id").alias("first"))
-    return first.groupBy("user_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "scheme"))), lambda x: x["scheme"]), ",").alias("dropped"))
+    """A user's links as HTML, without the refused ones, whose schemes are said once each, in the order met."""
+    url = F.element_at(F.array(*[F.lit(x) for x in ("javascript:x", "https://ok/", " DATA:y", "file:///z", "/here")]), (F.col("event_id") % 5 + 1).cast("int"))
+    anchor = F.concat(F.lit('<a href="'), url, F.lit('">t'), F.col("event_id").cast("string"), F.lit("</a> "))
+    own = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("event_id", anchor.alias("a")))), lambda x: x["a"]), "").alias("html"))
+    return links.scrubbed(own).select(F.col("doc_id").alias("user_id"), "dropped", F.md5(F.col("html").cast("binary")).alias("md5"))
 
 
 DROPPED_SQL = """
-WITH e AS (SELECT user_id, event_id, CASE event_id % 4 WHEN 0 THEN 'javascript' WHEN 2 THEN 'data' WHEN 3 THEN 'file' END AS scheme FROM events), f AS (SELECT user_id, scheme, min(event_id) AS first FROM e WHERE scheme IS NOT NULL GROUP BY ALL)
-SELECT user_id, string_agg(scheme, ',' ORDER BY first) AS dropped FROM f GROUP BY user_id
+WITH e AS (SELECT user_id, event_id, ['javascript', NULL, 'data', 'file', NULL][event_id % 5 + 1] AS scheme, CASE event_id % 5 WHEN 1 THEN '<a href="https://ok/">' WHEN 4 THEN '<a href="/here">' END AS opened FROM events),
+f AS (SELECT user_id, scheme, min(event_id) AS first FROM e WHERE scheme IS NOT NULL GROUP BY ALL), d AS (SELECT user_id, string_agg(scheme, ',' ORDER BY first) AS dropped FROM f GROUP BY user_id),
+h AS (SELECT user_id, string_agg(coalesce(opened, '') || 't' || event_id || CASE WHEN opened IS NULL THEN '' ELSE '</a>' END || ' ', '' ORDER BY event_id) AS html FROM e GROUP BY user_id)
+SELECT h.user_id, coalesce(dropped, '') AS dropped, md5(html) AS md5 FROM h LEFT JOIN d ON h.user_id = d.user_id
 """
 
 
@@ -158,14 +162,13 @@ SELECT doc_id, kind, count(*) FILTER (new) AS runs, count(*) AS n_chars FROM s G
 
 
 def mail_headers(spark, sf_dir):
-    """Header paragraphs of mails: every row but the last ends in a break."""
-    rows = F.array(F.concat(F.lit("From: "), "c_name", F.lit("\n")), F.concat(F.lit("Subject: "), "c_mktsegment", F.lit(" & more\n")), F.lit("Date: today\n"))
-    own = table(spark, sf_dir, "customer").select("c_custkey", rows.alias("rows")).where(predicates.is_mail_header(F.element_at("rows", 1)))
-    done = F.transform("rows", lambda r, i: F.when(i < F.size("rows") - 1, F.concat(F.replace(chars.escape(r), F.lit("\n"), F.lit("")), F.lit("<br>\n"))).otherwise(chars.escape(r)))
-    return own.select("c_custkey", F.concat(F.lit("<!-- New Message -->\n<p class='mail_header'>"), F.array_join(done, "")).alias("html"))
+    """Mails converted: every row of a header paragraph but the last ends in a break."""
+    text = F.concat(F.lit("From: "), "c_name", F.lit("\nSubject: "), "c_mktsegment", F.lit(" & more\nDate: today\n\nthe body of it\n"))
+    done = convert.to_html(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("doc_id"), text.alias("text")), replace(PLAIN, mailmode=True))
+    return done.select(F.col("doc_id").alias("c_custkey"), F.regexp_replace(F.regexp_extract("html", r"(?s)(<!-- New.*?)</p>", 1), r"\s+", " ").alias("html"))
 
 
-HEADERS_SQL = "SELECT c_custkey, '<!-- New Message -->' || chr(10) || '<p class=''mail_header''>From: ' || c_name || '<br>' || chr(10) || 'Subject: ' || c_mktsegment || ' &amp; more<br>' || chr(10) || 'Date: today' || chr(10) AS html FROM customer"
+HEADERS_SQL = "SELECT c_custkey, '<!-- New Message --> <p class=''mail_header''>From: ' || c_name || '<br> Subject: ' || c_mktsegment || ' &amp; more<br> Date: today ' AS html FROM customer"
 
 QUERIES = {
     "q12_mail_quotes": (mail_quotes, MAIL_QUOTES_SQL),

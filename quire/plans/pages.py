@@ -63,13 +63,15 @@ SELECT host, count(*) AS n_links, count(*) FILTER (regexp_matches(href, '^(?i)(h
 
 
 def outline(spark, sf_dir):
-    own = table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.outline(F.col("html"))).alias("ord", "h"))
+    """Headings of each page, and of three more that can be linked to: by id, by a name inside, by a link inside."""
+    more = F.concat(F.lit('<h2 class="x" id="s'), F.col("page_id").cast("string"), F.lit('">One</h2><h3><a name="n1">Two</a></h3><H4><a href="#t">Three &amp;</a> x</H4>'))
+    own = table(spark, sf_dir, "pages").select("page_id", F.posexplode(html.outline(F.concat("html", more))).alias("ord", "h"))
     return own.select("page_id", long(F.col("ord")).alias("ord"), long(F.col("h.level")).alias("level"), html.anchor(F.col("h.attrs"), F.col("h.inner")).alias("anchor"), html.collapsed(html.decoded(html.without_tags(F.col("h.inner")))).alias("label"))
 
 
 OUTLINE_SQL = r"""
-WITH h AS (SELECT page_id, regexp_extract_all(html, '(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>') AS a FROM pages), u AS (SELECT page_id, generate_subscripts(a, 1) - 1 AS ord, unnest(a) AS h FROM h)
-SELECT page_id, ord, CAST(substr(h, 3, 1) AS BIGINT) AS level, '' AS anchor,
+WITH h AS (SELECT page_id, regexp_extract_all(html || '<h2 class="x" id="s' || page_id || '">One</h2><h3><a name="n1">Two</a></h3><H4><a href="#t">Three &amp;</a> x</H4>', '(?is)<h[1-6](?:\s[^>]*)?>.*?</h[1-6]>') AS a FROM pages), u AS (SELECT page_id, generate_subscripts(a, 1) - 1 AS ord, unnest(a) AS h FROM h)
+SELECT page_id, ord, CAST(substr(h, 3, 1) AS BIGINT) AS level, coalesce(nullif(regexp_extract(h, '(?i)^<h[1-6][^>]*\sid="([^"]*)"', 1), ''), nullif(regexp_extract(h, '(?i)\sname="([^"]*)"', 1), ''), regexp_extract(h, '(?i)\shref="#([^"]*)"', 1)) AS anchor,
   trim(regexp_replace(replace(replace(replace(replace(replace(trim(regexp_replace(h, '<[^>]*>', '', 'g'), ' '), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&amp;', '&'), '\s+', ' ', 'g'), ' ') AS label FROM u
 """
 
@@ -97,22 +99,36 @@ SELECT page_id, unnest([CASE WHEN regexp_matches(url, '^(https?|ftps?):') THEN '
 
 
 def node_counts(spark, sf_dir):
-    """Elements of each page by tag, from the parsed tree."""
-    return nodes.table(table(spark, sf_dir, "pages")).where("tag is not null").groupBy("page_id", "tag").agg(long(F.count("*")).alias("n"), long(F.max("depth")).alias("depth"))
+    """Elements of each page by tag, from the parsed tree: how many there are, and with attributes."""
+    return nodes.table(table(spark, sf_dir, "pages")).where("tag is not null").groupBy("page_id", "tag").agg(long(F.count("*")).alias("n"), long(F.count_if(F.size("attrs") > 0)).alias("with_attributes"))
+
+
+BODY_SQL = r"SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*?)(?:</body|\z)', 1), '(?s)<!--.*?-->', '', 'g') AS b FROM pages"
+
+NODES_SQL = rf"""
+WITH b AS ({BODY_SQL}), t AS (SELECT page_id, unnest(regexp_extract_all(b, '<[a-zA-Z][^>]*>')) AS t FROM b)
+SELECT page_id, lower(regexp_extract(t, '<([a-zA-Z][^\s/>]*)', 1)) AS tag, count(*) AS n, count(*) FILTER (regexp_matches(t, '<[a-zA-Z][^\s/>]*\s+[^\s/>]')) AS with_attributes FROM t GROUP BY ALL
+"""
 
 
 def page_text(spark, sf_dir):
     return nodes.text_of(nodes.table(table(spark, sf_dir, "pages")))
 
 
+TEXT_SQL = rf"""
+WITH b AS ({BODY_SQL}), t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(b, '\s+', ' ', 'g'), '(?i)<br[^>]*>', chr(10), 'g'), '<[^>]*>', '', 'g') AS t FROM b WHERE b <> ''),
+d AS (SELECT page_id, replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&apos;', ''''), '&nbsp;', chr(160)), '&amp;', '&') AS t FROM t)
+SELECT page_id, trim(regexp_replace(t, ' *\n *', chr(10), 'g'), ' ') AS text FROM d
+"""
+
 QUERIES = {
     "q02_tag_counts": (tag_counts, TAG_COUNTS_SQL),
     "q11_report_lines": (report_lines, REPORT_SQL),
     "q24_hrefs": (hrefs, HREFS_SQL),
     "q25_links_by_host": (links_by_host, LINKS_SQL),
     "q41_outline": (outline, OUTLINE_SQL),
-    "q42_page_text": (page_text, None),
+    "q42_page_text": (page_text, TEXT_SQL),
     "q51_bodies": (bodies, BODIES_SQL),
     "q52_link_rel": (rel, REL_SQL),
-    "q53_node_counts": (node_counts, None),
+    "q53_node_counts": (node_counts, NODES_SQL),
 }

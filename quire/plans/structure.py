@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from quire.functions import predicates
 from quire.functions import templates as T
 from quire.operators import catalog, convert, notes, records, sections
-from quire.options import ConvertOptions
+from quire.options import ConvertOptions, TableTypes
 from quire.plans.text import long, table
 from quire.session import shared_dir
 
@@ -103,7 +103,7 @@ FROM g WHERE id IS NOT NULL GROUP BY doc_id
 
 def titles(spark, sf_dir):
     """Orders' priorities as underlined titles: which are headings, their style and its level."""
-    orders = table(spark, sf_dir, "orders").where("o_orderkey <= 4000")
+    orders = table(spark, sf_dir, "orders")
     mark = F.element_at(F.array(*[F.lit(c) for c in "=-*~"]), (F.col("o_orderkey") % 4 + 1).cast("int"))
     rows = orders.select((F.col("o_custkey") % 50).alias("doc_id"), F.col("o_orderkey").alias("ord"), F.concat(F.repeat(F.lit(" "), (F.col("o_orderkey") % 3).cast("int")), "o_orderpriority", F.lit("\n")).alias("line"), F.concat(F.expr("repeat(' ', int(o_orderkey % 5))"), F.expr("repeat(element_at(array('=', '-', '*', '~'), int(o_orderkey % 4 + 1)), int(5 + o_orderkey % 9))")).alias("under"), mark.alias("style"))
     found = rows.withColumn("is_heading", predicates.is_heading(F.col("line"), F.col("under")))
@@ -111,7 +111,7 @@ def titles(spark, sf_dir):
 
 
 TITLES_SQL = r"""
-WITH r AS (SELECT o_custkey % 50 AS doc_id, o_orderkey AS ord, repeat(' ', CAST(o_orderkey % 3 AS INT)) || o_orderpriority || chr(10) AS line, CAST(o_orderkey % 5 AS INT) AS off, CAST(5 + o_orderkey % 9 AS INT) AS n, ['=', '-', '*', '~'][o_orderkey % 4 + 1] AS style FROM orders WHERE o_orderkey <= 4000),
+WITH r AS (SELECT o_custkey % 50 AS doc_id, o_orderkey AS ord, repeat(' ', CAST(o_orderkey % 3 AS INT)) || o_orderpriority || chr(10) AS line, CAST(o_orderkey % 5 AS INT) AS off, CAST(5 + o_orderkey % 9 AS INT) AS n, ['=', '-', '*', '~'][o_orderkey % 4 + 1] AS style FROM orders),
 h AS (SELECT * FROM r WHERE abs(length(ltrim(line, ' ')) - n) <= 1 OR abs(length(line) - length(ltrim(line, ' ')) - off) <= 1),
 f AS (SELECT *, min(ord) OVER (PARTITION BY doc_id, style) AS first FROM h)
 SELECT doc_id, ord, style, dense_rank() OVER (PARTITION BY doc_id ORDER BY first) AS level FROM f
@@ -120,7 +120,7 @@ SELECT doc_id, ord, style, dense_rank() OVER (PARTITION BY doc_id ORDER BY first
 
 def marked(spark, sf_dir):
     """Bodies with note markers from line items: references, and definitions of some."""
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey <= 2000")
+    rows = table(spark, sf_dir, "lineitem")
     key = F.concat(F.lit("k"), (F.col("l_partkey") % 7).cast("string"))
     kind = F.when(F.col("l_linenumber") % 2 == 0, "gloss").otherwise("cite")
     mark = F.when(F.col("l_quantity") < 30, F.concat(F.lit("{{quire:"), kind, F.lit(":"), key, F.lit("}}"))).otherwise(F.concat(F.lit("{{quire:def:"), kind, F.lit(":"), key, F.lit("}}x{{/quire:def:"), kind, F.lit(":"), key, F.lit("}}")))
@@ -133,7 +133,7 @@ def note_numbers(spark, sf_dir):
 
 
 NOTES_CTE = r"""
-WITH m AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'gloss' ELSE 'cite' END AS kind, 'k' || (l_partkey % 7) AS note, l_quantity < 30 AS is_ref, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem WHERE l_orderkey <= 2000)
+WITH m AS (SELECT l_orderkey AS doc_id, CASE WHEN l_linenumber % 2 = 0 THEN 'gloss' ELSE 'cite' END AS kind, 'k' || (l_partkey % 7) AS note, l_quantity < 30 AS is_ref, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS pos FROM lineitem)
 """
 
 NOTE_NUMBERS_SQL = NOTES_CTE + ", f AS (SELECT doc_id, kind, note, min(pos) AS first, count(*) AS refs FROM m WHERE is_ref GROUP BY ALL) SELECT doc_id, kind, note, dense_rank() OVER (PARTITION BY doc_id, kind ORDER BY first) AS number, refs, CAST(1 AS BIGINT) AS firsts FROM f"
@@ -207,11 +207,19 @@ SEARCHED_SQL = "SELECT 'org.nation' || s_nationkey AS id, s_name AS name, (s_sup
 
 
 def versions(spark, sf_dir):
+    """Versions and ids of several shapes, good and bad ones."""
     own = _packs(spark, sf_dir)
-    return own.select("name", T.version_satisfies(F.col("version"), F.lit("1.5")).alias("new"), T.is_semver(F.concat("version", F.lit(".0"))).alias("semver"), T.is_reverse_dns(F.col("id")).alias("dns"))
+    pick = lambda *xs: F.element_at(F.array(*map(F.lit, xs)), (F.col("root") % len(xs) + 1).cast("int"))
+    whole = F.concat("version", pick(".0", "", ".01", ".2-rc.1", ".x", ".3+b"))
+    name = F.concat(pick("", "O", "9", "-"), F.col("id"), pick("", ".", ".x-1", "..y", "_z"))
+    return own.select("name", T.version_satisfies(F.col("version"), F.lit("1.5")).alias("new"), whole.alias("whole"), T.is_semver(whole).alias("semver"), name.alias("host"), T.is_reverse_dns(name).alias("dns"))
 
 
-VERSIONS_SQL = "SELECT s_name AS name, s_suppkey % 3 > 1 OR (s_suppkey % 3 = 1 AND s_suppkey % 11 >= 5) AS new, true AS semver, true AS dns FROM supplier"
+VERSIONS_SQL = r"""
+SELECT s_name AS name, s_suppkey % 3 > 1 OR (s_suppkey % 3 = 1 AND s_suppkey % 11 >= 5) AS new,
+  (s_suppkey % 3) || '.' || (s_suppkey % 11) || ['.0', '', '.01', '.2-rc.1', '.x', '.3+b'][s_suppkey % 6 + 1] AS whole, s_suppkey % 6 IN (0, 3, 5) AS semver,
+  ['', 'O', '9', '-'][s_suppkey % 4 + 1] || 'org.nation' || s_nationkey || ['', '.', '.x-1', '..y', '_z'][s_suppkey % 5 + 1] AS host, s_suppkey % 4 = 0 AND s_suppkey % 5 IN (0, 2) AS dns FROM supplier
+"""
 
 
 def hashes(spark, sf_dir):
@@ -258,29 +266,39 @@ CHANGES_SQL = "SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY u
 
 
 def result_tables(spark, sf_dir):
-    """Nations of a region as a query result in plain text: which kinds of table the rows make."""
-    own = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))), lambda x: F.concat(F.lit(" "), x["n_nationkey"].cast("string"), F.lit(" | "), x["n_name"], F.lit("\n"))).alias("rows"))
-    rows = F.concat(F.array(F.lit("Nations\n"), F.lit(" key | name\n"), F.lit("-----+------\n")), "rows", F.array(F.concat(F.lit("("), F.col("n").cast("string"), F.lit(" rows)\n"))))
-    return own.select(long(F.col("doc_id")).alias("doc_id"), predicates.is_pgsql_table(rows).alias("pgsql"), predicates.is_border_table(rows).alias("border"), predicates.table_kind(rows, F.lit(False)).alias("kind"))
-
-
-RESULT_TABLES_SQL = "SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS doc_id, true AS pgsql, false AS border, 'PGSQL' AS kind FROM nation"
+    """Nations of a region as a query result, as a framed table or as plain rows: which kinds of table the rows make."""
+    own = table(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").alias("doc_id")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct("n_nationkey", "n_name"))).alias("all"))
+    plain = F.transform("all", lambda x: F.concat(F.lit(" "), x["n_nationkey"].cast("string"), F.lit(" | "), x["n_name"], F.lit("\n")))
+    framed = F.transform("all", lambda x: F.concat(F.lit("| "), x["n_nationkey"].cast("string"), F.lit(" | "), x["n_name"], F.lit(" |\n")))
+    rule = F.lit("+-----+------+\n")
+    result = F.concat(F.array(F.lit("Nations\n"), F.lit(" key | name\n"), F.lit("-----+------\n")), plain, F.array(F.concat(F.lit("("), F.col("n").cast("string"), F.lit(" rows)\n"))))
+    border = F.concat(F.array(rule, F.lit("| key | name |\n"), rule), framed, F.array(rule))
+    rows = F.when(F.col("doc_id") % 3 == 0, result).when(F.col("doc_id") % 3 == 1, border).otherwise(plain)
+    own = own.select("doc_id", rows.alias("rows"))
+    html = convert.to_html(own.select("doc_id", F.array_join("rows", "").alias("text")), ConvertOptions(extract=True, make_tables=True, make_links=False, table_type=TableTypes(align=False))).select(F.col("doc_id").alias("d"), "html")
+    own = own.join(html, F.col("doc_id") == F.col("d"))
+    n_heads = (F.length("html") - F.length(F.replace("html", F.lit("<th>"), F.lit("")))) / 4
+    return own.select(long(F.col("doc_id")).alias("doc_id"), predicates.is_pgsql_table(F.col("rows")).alias("pgsql"), predicates.is_border_table(F.col("rows")).alias("border"), F.coalesce(predicates.table_kind(F.col("rows"), F.lit(False)), F.lit("")).alias("kind"), F.contains("html", F.lit("<table")).alias("is_table"), long(n_heads).alias("n_heads"))
+
+
+RESULT_TABLES_SQL = """
+SELECT DISTINCT CAST(n_regionkey AS BIGINT) AS doc_id, n_regionkey % 3 = 0 AS pgsql, n_regionkey % 3 = 1 AS border, ['PGSQL', 'BORDER', ''][n_regionkey % 3 + 1] AS kind, n_regionkey % 3 < 2 AS is_table,
+  CAST(CASE WHEN n_regionkey % 3 < 2 THEN 2 ELSE 0 END AS BIGINT) AS n_heads FROM nation
+"""
 
 
 def alignment(spark, sf_dir):
-    """Columns of padded cells: where over half of the cells lean."""
-    cell = F.when(F.col("p_size") % 3 == 0, F.lpad("p_brand", 12, " ")).otherwise(F.rpad("p_brand", 12, " "))
-    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("col"), cell.alias("cell"))
-    before, after = F.startswith("cell", F.lit(" ")), F.endswith("cell", F.lit(" "))
-    votes = rows.groupBy("col").agg(F.count_if(~before & after).alias("l"), F.count_if(before & ~after).alias("r"), F.count_if(before & after).alias("c"))
-    total = F.col("l") + F.col("r") + F.col("c")
-    return votes.select(long(F.col("col")).alias("col"), F.when(F.col("l") * 2 > total, "left").when(F.col("r") * 2 > total, "right").when(F.col("c") * 2 > total, "center").otherwise("none").alias("align"))
+    """Columns of padded cells as tables in plain text: how the converted tables say that they lean."""
+    cell = F.when(F.col("p_size") % 3 == 0, F.lpad(F.concat(F.lit("k"), F.col("p_size").cast("string")), 12, " ")).otherwise(F.rpad(F.concat(F.lit("k"), F.col("p_size").cast("string")), 12, " "))
+    rows = table(spark, sf_dir, "part").select((F.col("p_partkey") % 20).alias("doc_id"), "p_partkey", F.concat(cell, F.lit("  x\n")).alias("line"))
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "line"))), lambda x: x["line"]), "")
+    texts = rows.groupBy("doc_id").agg(F.concat(F.lit("abcdefghijkl  x\n"), lines).alias("text"))
+    done = convert.to_html(texts, ConvertOptions(extract=True, make_tables=True, make_links=False))
+    return done.select(long(F.col("doc_id")).alias("col"), F.regexp_extract("html", '<td(?: class="align-([a-z]+)")?>', 1).alias("align"), long((F.length("html") - F.length(F.replace("html", F.lit("<tr>"), F.lit("")))) / 4).alias("n_rows"))
 
 
 ALIGNMENT_SQL = r"""
-WITH c AS (SELECT p_partkey % 20 AS col, CASE WHEN p_size % 3 = 0 THEN lpad(p_brand, 12, ' ') ELSE rpad(p_brand, 12, ' ') END AS cell FROM part),
-v AS (SELECT col, count(*) FILTER (cell NOT LIKE ' %' AND cell LIKE '% ') AS l, count(*) FILTER (cell LIKE ' %' AND cell NOT LIKE '% ') AS r, count(*) FILTER (cell LIKE ' %' AND cell LIKE '% ') AS c FROM c GROUP BY col)
-SELECT col, CASE WHEN 2 * l > l + r + c THEN 'left' WHEN 2 * r > l + r + c THEN 'right' WHEN 2 * c > l + r + c THEN 'center' ELSE 'none' END AS align FROM v
+SELECT CAST(p_partkey % 20 AS BIGINT) AS col, CASE WHEN 2 * count(*) FILTER (p_size % 3 = 0) > count(*) THEN 'right' ELSE '' END AS align, count(*) + 1 AS n_rows FROM part GROUP BY ALL
 """
 
 
@@ -300,6 +318,19 @@ def char_chunks(spark, sf_dir):
     return records.char_chunks(table(spark, sf_dir, "documents"), 1000).select("doc_id", long(F.col("chunk_no")).alias("chunk_no"), long(F.length("chunk")).alias("n_chars"))
 
 
+CHAR_CHUNKS_SQL = r"""
+WITH RECURSIVE c AS (
+  SELECT doc_id, 0 AS chunk_no, CAST('' AS VARCHAR) AS chunk, text AS rest FROM documents
+  UNION ALL
+  SELECT doc_id, chunk_no + 1, substr(rest, 1, cut), regexp_replace(substr(rest, cut + 1), '^[^\S\n]+', '') FROM (
+    SELECT *, CASE WHEN length(rest) <= 1000 THEN length(rest) WHEN stop > 0 THEN 800 + stop WHEN comma > 0 THEN 800 + comma WHEN blank > 0 THEN 800 + blank ELSE 1000 END AS cut FROM (
+      SELECT *, length(regexp_extract(w, '(?s)^.*[.!?;:。！？；：．]')) AS stop, length(regexp_extract(w, '(?s)^.*[,、，]')) AS comma, length(regexp_extract(w, '(?s)^.*\s')) AS blank
+      FROM (SELECT *, substr(rest, 801, 200) AS w FROM c WHERE rest <> '')))
+)
+SELECT doc_id, CAST(chunk_no AS BIGINT) AS chunk_no, length(chunk) AS n_chars FROM c WHERE chunk_no > 0
+"""
+
+
 def streamed(spark, sf_dir):
     """The documents brought paragraph by paragraph through the streaming form, until nothing is left to read."""
     from quire.streaming import documents as S
@@ -336,6 +367,6 @@ QUERIES = {
     "q43_changes": (changes, CHANGES_SQL),
     "q44_convert": (converted, None),
     "q45_chunked_pages": (chunked, None),
-    "q46_char_chunks": (char_chunks, None),
+    "q46_char_chunks": (char_chunks, CHAR_CHUNKS_SQL),
     "q47_streamed": (streamed, None),
 }

@@ -118,12 +118,10 @@ RFC = r"[Rr][Ff][Cc] ?\d+"
 
 
 def text_links(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    out = None
-    for label, pattern in (("mail", MAIL), ("number", NUMBER), ("rfc", RFC)):
-        own = links.matches(docs, pattern).select(F.lit(label).alias("rule"), "doc_id", long(F.col("pos")).alias("pos"), F.col("match").alias("found"))
-        out = own if out is None else out.unionByName(own)
-    return out
+    """Matches of three rules, in one reading of the texts."""
+    found = [F.struct(F.lit(label).alias("rule"), F.regexp_extract_all("text", F.lit(pattern), F.lit(0)).alias("all")) for label, pattern in (("mail", MAIL), ("number", NUMBER), ("rfc", RFC))]
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.array(*found)).alias("r"))
+    return rows.select("r.rule", "doc_id", F.posexplode("r.all").alias("pos", "found")).select("rule", "doc_id", long(F.col("pos")).alias("pos"), "found")
 
 
 TEXT_LINKS_SQL = "\nUNION ALL\n".join(rf"SELECT '{k}' AS rule, doc_id, generate_subscripts(regexp_extract_all(text, '{p}'), 1) - 1 AS pos, unnest(regexp_extract_all(text, '{p}')) AS found FROM documents" for k, p in (("mail", MAIL), ("number", NUMBER), ("rfc", RFC)))
@@ -206,6 +204,34 @@ FROM documents
 """
 
 
+#: encoding -> (a word it can hold, its bytes as hexadecimal digits)
+SAMPLES = {"latin-1": ("Grüße", "4772FCDF65"), "cp1252": ("“naïve”", "936E61EF766594"), "cp1251": ("Привет", "CFF0E8E2E5F2"), "cp1253": ("Γειά", "C3E5E9DC"), "koi8-r": ("Привет", "F0D2C9D7C5D4")}
+
+
+def all_encodings(spark, sf_dir):
+    """Names as bytes in every encoding, found by mark, by zero bytes or by name, read back and written again."""
+    own = table(spark, sf_dir, "part").where("p_name is not null").select("p_partkey", F.concat("p_name", F.lit(" é漢字")).alias("text"))
+    utf16 = lambda order: F.encode("text", f"UTF-16{order}")
+    wide = F.encode(F.concat(F.lit("plain "), "text"), "UTF-16LE")
+    turned = F.unhex(F.regexp_replace(F.hex(F.encode("text", "UTF-32")), "(..)(..)(..)(..)", "$4$3$2$1"))
+    kinds = {"utf-8": F.encode("text", "UTF-8"), "utf-16le": F.concat(F.lit(b"\xff\xfe"), utf16("LE")), "utf-16be": F.concat(F.lit(b"\xfe\xff"), utf16("BE")), "utf-32le": F.concat(F.lit(b"\xff\xfe\x00\x00"), turned), "utf-32be": F.concat(F.lit(b"\x00\x00\xfe\xff"), F.encode("text", "UTF-32")), "zeros": wide, "fallback": F.concat(F.encode("p_partkey", "UTF-8"), F.lit(b"\x93\xef\x94"))}
+    marked = own.select("p_partkey", F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("content")) for k, c in kinds.items()])).alias("s")).select("p_partkey", "s.*")
+    found = marked.select("p_partkey", "kind", decode.decode(F.col("content")).alias("d")).select("p_partkey", "kind", "d.text", "d.encoding")
+    for name, (_, digits) in SAMPLES.items():
+        content = F.concat(F.encode(F.col("p_partkey").cast("string"), "US-ASCII"), F.unhex(F.lit(digits)))
+        named = own.select("p_partkey", F.lit("named " + name).alias("kind"), decode.decode(content, name).alias("d")).select("p_partkey", "kind", "d.text", "d.encoding")
+        found = found.unionByName(named)
+    return found
+
+
+ALL_ENCODINGS_SQL = (
+    "WITH t AS (SELECT p_partkey, p_name || ' é漢字' AS text FROM part WHERE p_name IS NOT NULL)\n"
+    + "\nUNION ALL ".join(f"SELECT p_partkey, '{k}' AS kind, text, '{k}' AS encoding FROM t" for k in ("utf-8", "utf-16le", "utf-16be", "utf-32le", "utf-32be"))
+    + "\nUNION ALL SELECT p_partkey, 'zeros', 'plain ' || text, 'utf-16le' FROM t\nUNION ALL SELECT p_partkey, 'fallback', p_partkey || '“ï”', 'cp1252' FROM t"
+    + "".join(f"\nUNION ALL SELECT p_partkey, 'named {n}', p_partkey || '{w}', '{n}' FROM t" for n, (w, _) in SAMPLES.items())
+)
+
+
 def unhyphenated(spark, sf_dir):
     """Texts broken after every hundredth character inside a word, put together again."""
     broken = F.regexp_replace("text", r"([A-Za-z]{4})([A-Za-z]{4}) ", "$1-\n$2 ")
@@ -252,6 +278,7 @@ QUERIES = {
     "q29_delim_tables": (delim_tables, DELIM_SQL),
     "q32_unhyphenate": (unhyphenated, UNHYPHENATED_SQL),
     "q48_encodings": (encodings, ENCODINGS_SQL),
+    "q48_all_encodings": (all_encodings, ALL_ENCODINGS_SQL),
     "q49_line_col": (positions, POSITIONS_SQL),
     "q50_fuzzy_slug": (fuzzy, FUZZY_SQL),
 }

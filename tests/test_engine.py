@@ -1,13 +1,14 @@
 """Queries against SQL, and the parts of the engine that SQL can't say."""
 
 import os
+import random
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from quire.functions import chars, decode, predicates, templates, urls
-from quire.operators import catalog, convert, machine, nodes, records, scripts, sections, tables
+from quire.operators import catalog, convert, links, machine, nodes, records, scripts, sections, tables
 from quire.options import ConvertOptions, OptionError
 from quire.plans import registry
 from quire.session import written
@@ -202,3 +203,40 @@ def test_small_functions(spark):
     assert [(r["kind"], r["text"]) for r in runs] == [("latin", "ab"), ("cjk", "漢字"), ("neutral", " "), ("latin", "x")]
     lines = records.exploded_lines(spark.createDataFrame([(1, "  a\n \nb\n\n\nc\r\n\r\nd")], "doc_id long, text string")).orderBy("rec_no", "para_no", "line_no").collect()
     assert [(r["line"], r["indent"]) for r in lines] == [("  a\n", 2), (" \n", 2), ("b\n", 0), ("c", 0), ("d", 0)] or len(lines) == 5
+
+
+def test_decoding_in_the_jvm_and_in_python_agree(spark):
+    rng = random.Random(2)
+    parts = [b"abc ", "é漢\U0001f600".encode(), b"\xff\xfe", b"\xfe\xff", b"\xef\xbb\xbf", b"\x00", b"a\x00b\x00", b"\x93", b"\xe9", b"\xed\xa0\x80", b"\r\n", "text".encode("utf-16-le"), "text".encode("utf-16-be")]
+    rows = [(i, b"".join(rng.choice(parts) for _ in range(rng.randrange(8)))) for i in range(600)]
+    rows.append((600, None))
+    frame = spark.createDataFrame(rows, "id long, content binary")
+    for name in ("auto", "utf-8"):
+        got = {r["id"]: (r["d"]["text"], r["d"]["encoding"]) for r in frame.select("id", decode.decode(F.col("content"), name).alias("d")).collect()}
+        assert got == {i: decode.decode_bytes(c, name) if c is not None else (None, None) for i, c in rows}
+
+
+def test_all_white_space_after_a_chunk_goes():
+    assert records.split_chars("a" * 50 + " " * 30_000 + "b", 50) == ["a" * 50, "b"]
+
+
+def test_emitted_text_knows_where_it_ends():
+    rng = random.Random(4)
+    pieces = ["<", "a ", "<a ", "</", "a>", "</a>", ">", "x", "<b>", "", "<A ", "</A>"]
+    for _ in range(2000):
+        lower, text = rng.random() < 0.5, ""
+        done = links.Emitted(lower)
+        for _ in range(rng.randrange(9)):
+            piece = rng.choice(pieces)
+            done.put(piece)
+            text += piece
+        assert done.inside("y") == links.inside_markup("y", text, lower), text
+
+
+def test_refused_anchors_go_and_their_text_stays(spark):
+    html = '<a href="javascript:x">t <b>u</b></a> <a href="/ok">v</a> <A HREF=data:y>w</A><a href="file:z">no end'
+    assert links.scrub(html) == ("t <b>u</b> <a href=\"/ok\">v</a> wno end", ["javascript", "data", "file"])
+    got = links.scrubbed(spark.createDataFrame([(1, html), (2, None)], "doc_id long, html string")).collect()
+    assert {(r["doc_id"], r["dropped"]) for r in got} == {(1, "javascript,data,file"), (2, "")}
+    many = '<a href="data:x">y</a>' * 20_000
+    assert links.scrub(many) == ("y" * 20_000, ["data"])
