@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from dataclasses import replace
 
 from quire import library
-from quire.functions.decode import decode_bytes, encode_text
+from quire.functions.decode import decode_bytes
 from quire.operators import catalog, convert, machine, sections
 from quire.operators.records import split_chars
 from quire.options import ConvertOptions, OptionError, check, from_arguments, kind, last_preset, layered, option_file, settled
@@ -69,11 +69,10 @@ def write(options: ConvertOptions, name: str, html: str) -> None:
             sys.stdout.write(html)
         except BrokenPipeError:
             return
-    elif os.path.abspath(name) in {os.path.abspath(p) for p in options.infile}:
+    elif any(files.same_target(name, p) for p in options.infile):
         raise OptionError(f"{name} is an input")
     else:
-        with open(name, "wb") as f:
-            f.write(encode_text(html, "utf-8"))
+        files.save_html(html, name)
 
 
 def run(arguments: Sequence[str]) -> int:
@@ -129,6 +128,9 @@ def templates(arguments: Sequence[str]) -> int:
             write(ConvertOptions(), os.path.join(rest[0], name), text)
     elif verb == "install":
         entry = next((e for e in entries if rest[0] in (e["id"], f"{e['id']}@{e['version']}")), None)
+        known = [f"{e['id']}@{e['version']} in {e['catalog']}" for e in entries if e["id"] == rest[0].partition("@")[0]]
+        if not entry and known and not os.path.exists(rest[0]):
+            raise OptionError(f"no {rest[0]}; there are {', '.join(known)}")
         if entry:
             with open(os.path.join(entry["catalog"], entry["archive"]), "rb") as f:
                 print(packs.install_archive(f.read(), roots[0], entry["sha256"]))

@@ -8,6 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.window import Window
 
 from quire.operators import links, machine, notes, scripts, sections
 from quire.operators.records import split_chars
@@ -147,3 +148,14 @@ def latest(jobs: DataFrame, key: str, generation: str) -> DataFrame:
     """The newest row of each key."""
     rest = [c for c in jobs.columns if c != key]
     return jobs.groupBy(key).agg(F.max_by(F.struct(*rest), generation).alias("r")).select(key, "r.*")
+
+
+def recent(seen: DataFrame, key: str, at: str, most: int = 10) -> DataFrame:
+    """key, last: the keys seen last, newest first; each once, so many at most (a list's length is its feature)."""
+    return seen.groupBy(key).agg(F.max(at).alias("last")).orderBy(F.desc("last"), key).limit(most)
+
+
+def with_previous(jobs: DataFrame, key: str, generation: str, *columns: str) -> DataFrame:
+    """jobs with before_NAME for each column: what the key's generation before had."""
+    order = Window.partitionBy(key).orderBy(generation)
+    return jobs.select("*", *[F.lag(c).over(order).alias(f"before_{c}") for c in columns])

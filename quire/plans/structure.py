@@ -247,8 +247,8 @@ LATEST_SQL = "SELECT user_id, max(event_id) AS event_id, arg_max(event_type, eve
 
 
 def recent(spark, sf_dir):
-    """The ten users seen last: a list of most recent ones, without a whole sort."""
-    return table(spark, sf_dir, "events").groupBy("user_id").agg(F.max("event_id").alias("last")).orderBy(F.desc("last")).limit(10)
+    """The ten users seen last."""
+    return convert.recent(table(spark, sf_dir, "events"), "user_id", "event_id")
 
 
 RECENT_SQL = "SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id ORDER BY last DESC LIMIT 10"
@@ -256,10 +256,7 @@ RECENT_SQL = "SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id
 
 def changes(spark, sf_dir):
     """Each event beside the one before of its user."""
-    from pyspark.sql.window import Window
-
-    order = Window.partitionBy("user_id").orderBy("event_id")
-    return table(spark, sf_dir, "events").select("event_id", "event_type", F.lag("event_type").over(order).alias("before"))
+    return convert.with_previous(table(spark, sf_dir, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", "event_type").select("event_id", "event_type", F.col("before_event_type").alias("before"))
 
 
 CHANGES_SQL = "SELECT event_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events"

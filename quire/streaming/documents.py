@@ -77,3 +77,12 @@ def structure(lines: DataFrame) -> DataFrame:
 def read_stream(spark: SparkSession, path: str) -> DataFrame:
     """A folder of Parquet files of (doc_id, para_no, text, last)."""
     return spark.readStream.schema("doc_id long, para_no int, text string, last boolean").parquet(path)
+
+
+def debounced(requests: DataFrame, delay: str = "300 milliseconds", key: str = "doc_id", at: str = "at") -> DataFrame:
+    """key, due, requests and the columns of the newest request: one row for each burst of requests for a document, due once
+    none has come for the delay. The same over a table and over a stream, where a burst comes out when its time is over."""
+    rest = [c for c in requests.columns if c not in (key, at)]
+    bursts = requests.withWatermark(at, delay).groupBy(F.session_window(at, delay).alias("burst"), key)
+    found = bursts.agg(F.count("*").alias("requests"), F.max_by(F.struct(*rest), at).alias("newest"))
+    return found.select(key, F.col("burst.end").alias("due"), "requests", "newest.*")

@@ -183,7 +183,7 @@ def test_catalog(spark):
     assert bytes(made["archive"]) == data
     good, wrong = catalog.manifest(catalog.scaffold("My Pack!")["template.toml"])
     assert not wrong and good["id"] == "local.my-pack"
-    assert len(catalog.manifest('id = "x"\nversion = "01.0.0"\nbogus = 1\n[[template]]\nfile = "/etc/x"\n')[1]) == 4
+    assert len(catalog.manifest('id = "x"\nversion = "01.0.0"\nbogus = 1\n[[template]]\nmodel = "body"\nfile = "/etc/x"\n')[1]) == 4
     index = spark.createDataFrame([("a", "1.0.0", 0), ("a", "2.0.0", 1)], "id string, version string, ord int")
     assert catalog.find_version(index, "a").first()["version"] == "1.0.0" and catalog.find_version(index, "a@2.0.0").count() == 1
 
