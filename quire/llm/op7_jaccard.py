@@ -545,18 +545,25 @@ def with_nodes(docs: DataFrame) -> DataFrame:
 
 
 def stage(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
-    """docs with one row of each class, of the least doc_id; rows without an id stay. Columns stay.
+    """docs with one row of each class, of the least doc_id. Columns stay.
 
-    An id of one row says what happens to it; rows that share an id are told apart by their sets."""
+    An id of one row says what happens to it; rows that share an id, and rows without one, are told apart by their sets. A row
+    without an id stays if no row of its class has one, and is then the only one of its class. Rows without words stay."""
     found = written(join(docs, similarity), "jaccard-found")
     gone = found.where("doc_id != class_id").select(F.col("doc_id").alias("__gone"))
     shared = written(found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__gone")), "jaccard-shared")
-    kept = docs.join(gone.unionByName(shared).distinct().hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
-    if shared.isEmpty():
-        return kept
+    kept = docs.where("doc_id is not null").join(gone.unionByName(shared).distinct().hint("merge"), F.col("doc_id") == F.col("__gone"), "left_anti")
     at = f"k{docs.columns.index('doc_id')}"
-    least = found.where("doc_id = class_id").join(shared, F.col("doc_id") == F.col("__gone")).select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node"), "class").distinct()
-    rows = with_nodes(docs.join(shared.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_semi"))
-    rows = rows.join(least.hint("merge"), (F.col(at) == F.col("__doc")) & (F.col("node") == F.col("__node")))
-    rows = rows.where("class is not null").dropDuplicates(["class"]).unionByName(rows.where("class is null"))
-    return kept.unionByName(rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)]))
+    named = lambda rows: rows.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
+    if not shared.isEmpty():
+        least = found.where("doc_id = class_id").join(shared, F.col("doc_id") == F.col("__gone")).select(F.col("doc_id").alias("__doc"), F.col("node").alias("__node"), "class").distinct()
+        rows = with_nodes(docs.join(shared.hint("merge"), F.col("doc_id") == F.col("__gone"), "left_semi"))
+        rows = rows.join(least.hint("merge"), (F.col(at) == F.col("__doc")) & (F.col("node") == F.col("__node")))
+        kept = kept.unionByName(named(rows.where("class is not null").dropDuplicates(["class"]).unionByName(rows.where("class is null"))))
+    if not found.where("doc_id is null").isEmpty():
+        rows = written(with_nodes(docs.where("doc_id is null")), "jaccard-nameless")
+        alone = found.where("doc_id is null and class is not null and class_id is null").select(F.col("node").alias("__node"), "class").distinct()
+        # equal sets first, where they lie
+        one = rows.where(F.octet_length("node") > 0).dropDuplicates(["node"]).join(alone, F.col("node") == F.col("__node")).dropDuplicates(["class"])
+        kept = kept.unionByName(named(one)).unionByName(named(rows.where(F.octet_length("node") == 0)))
+    return kept

@@ -202,6 +202,26 @@ def test_suffix_array_against_brute_force(spark, monkeypatch):
     assert got == brute_suffix(rows)
 
 
+def test_suffix_ids_that_are_no_numbers(spark):
+    text = words_of(60, 9)
+    rows = [("b", "x " + text), ("a", text + " y"), (None, text), ("c", "short")]
+    got = {r["doc_id"]: r["n_removed"] for r in op2_suffix.query(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {None: 0, "a": len(text), "b": len(text), "c": 0}
+
+
+def test_suffix_cells_cover_every_window_once():
+    rng = np.random.default_rng(4)
+    data = rng.integers(97, 100, 4000, dtype=np.uint8)
+    ahead = rng.integers(0, 51, 40)
+    more = np.array([rng.integers(0, a + 1) for a in ahead])
+    base = np.arange(40) * 90
+    for wide in op2_suffix.CELLS:
+        rank, rest, uid, at, shape = op2_suffix.cells(data, np.arange(40), base, base, ahead << 8 | more, wide)
+        seen = Counter((u, p) for u, a, s in zip(uid.tolist(), at.tolist(), shape.tolist()) for p in range(a, a + (s & 255) + 1))
+        assert seen == Counter((u, p) for u in range(40) for p in range(base[u], base[u] + more[u] + 1))
+        assert ((shape & 255) < wide).all() and (at + (shape >> 8) == base[uid] + ahead[uid]).all()
+
+
 # 3 ---------------------------------------------------------------------------------------------------------------
 
 FIXED = {
@@ -726,6 +746,34 @@ def test_near_duplicate_stage_tells_rows_of_one_id_apart(spark):
     assert sorted(map(repr, map(tuple, got))) == sorted(map(repr, want))
 
 
+def test_near_duplicate_stage_takes_rows_without_an_id_as_documents(spark):
+    rng = random.Random(2)
+    one, two, three = (words_of(90, 60 + i, 5000) for i in range(3))
+    rows = [(None, one), (None, one), (None, near(one, 1, rng)), (None, two), (4, near(two, 1, rng)), (None, three), (None, ""), (None, None), (None, ""), (9, words_of(50, 3, 5000))]
+    got = op7_jaccard.stage(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()
+    left = [r["text"] for r in got if r["doc_id"] is None]
+    assert len(left) == 5 and three in left and two not in left and sum(not t for t in left) == 3
+    assert sorted(r["doc_id"] for r in got if r["doc_id"] is not None) == [4, 9]
+
+
+# stages on odd tables ---------------------------------------------------------------------------------------------
+
+
+@pytest.mark.parametrize("module", [op4_langid, op7_jaccard, op3_pii, op10_mixing], ids=lambda m: m.__name__.split(".")[-1])
+def test_stages_on_odd_and_empty_tables(module, odd, empty):
+    run = getattr(module, "stage", None) or module.mixed_documents
+    got = run(odd)
+    assert got.columns == odd.columns and [f.dataType for f in got.schema] == [f.dataType for f in odd.schema]
+    rows = got.collect()
+    if module is op3_pii:
+        assert len(rows) == len(odd_rows())
+    if module is op4_langid:
+        assert {r["doc_id"] for r in rows} == {1, 2, 3, 7, 10, 11, None}
+    if module is op10_mixing:
+        assert {r["doc_id"] for r in rows} <= {r[0] for r in odd_rows() if r[1] and r[1].strip()}
+    assert run(empty).count() == 0 and run(empty).columns == empty.columns
+
+
 # 9 ---------------------------------------------------------------------------------------------------------------
 
 
