@@ -26,17 +26,24 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a != b").distinct()
 
 
+#: Edges that a written file has at least, where the count is known.
+FILE_EDGES = 200_000
+
+
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """node, least (the least node of its component), for each node that edges (a, b) name."""
+    """node, least (the least node of its component), for each node that edges (a, b) name.
+
+    Rounds are written, so a lost executor costs no more than a round; a round's files follow the number of edges left."""
     now = written(edges.select("a", "b").where("a != b").distinct(), "edges")
-    state = None
+    state, files = None, None
     for _ in range(most_rounds):
-        now = written(_star(_star(now, True), False), "edges")
+        after = _star(_star(now, True), False)
+        now = written(after.coalesce(files) if files else after, "edges")
         # a change of the edge set moves its order-free sum
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if seen == state:
             break
-        state = seen
+        state, files = seen, 1 + seen[0] // FILE_EDGES
     else:
         raise RuntimeError("components did not settle")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("least")).distinct()

@@ -62,7 +62,7 @@ def word_ends(path: str) -> np.ndarray:
 
 
 #: Characters tokenised at once.
-PART = 4 << 20
+PART = 2 << 20
 
 
 def plain_spaces(text: str | None) -> str:
@@ -218,7 +218,7 @@ def cut(docs: DataFrame, path: str, keep_ids: bool = False, window: int = WINDOW
                     out["ids"].append(piece.tolist())
         return out
 
-    return map_rows(docs, ["doc_id", "text"], run, schema, size=8192, text_bytes=8 << 20)
+    return map_rows(docs, ["doc_id", "text"], run, schema, size=8192, text_bytes=4 << 20)
 
 
 def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:

@@ -368,7 +368,7 @@ def candidate_groups(nodes: DataFrame, similarity: float, runs: int, levels: int
             mixed_ = rows.groupBy("path").agg(F.min("leader").alias("least"), F.max("leader").alias("most")).where("least != most")
             buckets = buckets.join(mixed_.select("path"), "path")
         live = written(rows.join(buckets, "path"), f"buckets-{level}")
-        found.append(written(small_edges(live.where(F.col("n") <= SMALL), similarity), f"edges-{level}"))
+        found.append(small_edges(live.where(F.col("n") <= SMALL), similarity))  # read once, by the components
         large = live.where(F.col("n") > SMALL).drop("n")
         if turn != 1 and large.isEmpty():
             break
@@ -391,7 +391,7 @@ def candidate_groups(nodes: DataFrame, similarity: float, runs: int, levels: int
             rows = first_paths(crowded, similarity, max(1, runs_for(similarity, levels) - runs), runs)
         else:
             rows = next_paths(going.unionByName(waiting) if turn == 1 else going, nodes, similarity)
-    return written(components(reduce(DataFrame.unionByName, found)), "groups")
+    return components(reduce(DataFrame.unionByName, found))
 
 
 SETS = StructType([StructField("node", BinaryType()), StructField("shingles", BinaryType())])
@@ -518,7 +518,7 @@ def join(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
     counted = links.groupBy("node").agg(F.sum("links").alias("links"))
     small = nodes.select("node", "doc", "copies").join(classes, "node", "left").join(counted, "node", "left").withColumn("class", F.coalesce("least", "node"))
     least = small.groupBy("class").agg(F.min("doc").alias("class_id"))
-    small = written(small.join(least, "class").select("node", "class", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links")), "jaccard-classes")
+    small = small.join(least, "class").select("node", "class", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"))
     found = keys.select("doc_id", "node").join(small.withColumnRenamed("node", "its"), F.col("node") == F.col("its"), "left")
     return found.select(
         "doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.coalesce("copies", F.lit(1)) - 1).cast("long").alias("n_links"), F.coalesce("copies", F.lit(1)).cast("long").alias("n_copies"), keys["node"], "class",
