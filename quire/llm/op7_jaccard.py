@@ -80,7 +80,7 @@ def misses(similarity: float, level: int, pairs: int):
 
 
 @cache
-def runs_for(similarity: float, level: int = 2, miss: float = 0.0005, pairs: int = 20_000) -> int:
+def runs_for(similarity: float, level: int = 2, miss: float = 0.0001, pairs: int = 20_000) -> int:
     """Runs until pairs at the bound that share no path of so many levels are at most this share."""
     return next(i for i, share in enumerate(misses(similarity, level, pairs), 1) if share <= miss)
 
