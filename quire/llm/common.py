@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -34,10 +35,48 @@ def parts(batch: pa.RecordBatch, size: int, most_bytes: int = 4 << 20) -> Iterat
         at += n
 
 
-def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: StructType, size: int = 256, text_bytes: int = 4 << 20) -> DataFrame:
+#: What this worker keeps for its next tasks, such as a tokenizer.
+_kept: dict = {}
+
+
+def kept(key, make: Callable):
+    """make(), made once in a worker; the next tasks that name the key in `worker_task` find it there."""
+    if key not in _kept:
+        _kept[key] = make()
+    return _kept[key]
+
+
+def let_go(key=None) -> None:
+    """Drops what the worker keeps under other keys, and gives freed memory back to the system.
+
+    Spark's workers outlive their tasks, and the allocator holds on to what was freed, so an executor would carry both through
+    all later steps."""
+    for other in [k for k in _kept if k != key]:
+        del _kept[other]
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
+def worker_task(run: Callable, key=None) -> Callable:
+    """run, for mapInArrow, as a task that needs what the worker keeps under key and nothing else that it keeps."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        let_go(key)
+        try:
+            yield from run(batches)
+        finally:
+            let_go(key)
+
+    return task
+
+
+def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list]], schema: StructType, size: int = 256, text_bytes: int = 4 << 20, key=None) -> DataFrame:
     """fn(**lists of the named columns) -> dict of lists, over slices of at most size rows and about text_bytes of data.
 
-    A slice never holds more than one row beyond text_bytes, so memory follows the longest row."""
+    A slice never holds more than one row beyond text_bytes, so memory follows the longest row. key: of what the worker keeps
+    for fn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = to_arrow_schema(schema)
@@ -47,4 +86,4 @@ def map_rows(df: DataFrame, columns: list[str], fn: Callable[..., dict[str, list
                 if got is not None:
                     yield pa.RecordBatch.from_arrays([pa.array(got[f.name], f.type) for f in out], schema=out)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return df.select(*columns).mapInArrow(worker_task(run, key), schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, DoubleType, StringType, StructField, StructType
 
-from quire.llm.common import crc_of_id
+from quire.llm.common import crc_of_id, worker_task
 
 #: Characters scored at once.
 SLICE = 1 << 18
@@ -91,7 +91,7 @@ def learn(docs: DataFrame, bits: int = 16, per_language: int = 1500, smoothing:
         yield pa.RecordBatch.from_pydict({"lang": list(found), "counts": [x.tobytes() for x in found.values()]}, schema=pa.schema([("lang", pa.string()), ("counts", pa.binary())]))
 
     table = np.zeros((len(languages), 1 << bits))
-    for r in sample.mapInArrow(count, schema).toLocalIterator():
+    for r in sample.mapInArrow(worker_task(count), schema).toLocalIterator():
         table[languages.index(r["lang"])] += np.frombuffer(r["counts"], np.int64)
     # seen buckets only: what no sample has tells nothing apart
     table += smoothing * np.maximum(table.sum(0, keepdims=True) > 0, 1e-9)
@@ -168,7 +168,7 @@ def classify(docs: DataFrame, model: tuple[list[str], np.ndarray], keep: list[st
                 foreign.append(float(strange[i] / sizes[i]) if sizes[i] >= EVIDENCE else 0.0)
             yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in range(len(names))], pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(foreign, pa.float64())], names=[*names, "lang_pred", "score", "foreign"])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(worker_task(run), schema)
 
 
 def query(docs: DataFrame) -> DataFrame:

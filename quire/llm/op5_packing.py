@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import zlib
-from functools import cache
 from itertools import chain, compress, islice
 
 import numpy as np
@@ -29,12 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
-from quire.llm.common import map_rows
+from quire.llm.common import kept, map_rows
 from quire.session import written
 
 WINDOW = 2048
 END = 1
-#: Chunks whose ids a worker remembers, from one task to the next; beyond, the half that most batches had stays.
+#: Chunks whose ids a worker remembers, from one packing task to the next; beyond, the half that most batches had stays.
 KNOWN = 400_000
 #: Marks that are taken off a chunk's end if a letter or digit stands before them: the tokenizer makes a word of their run.
 MARKS = ".,;:!?"
@@ -193,10 +192,9 @@ class Ids:
         return [np.append(ids, np.uint32(END)).astype("<u4") for ids in out]
 
 
-@cache
 def ids_of(path: str) -> Ids:
-    """The worker's own Ids of a vocabulary."""
-    return Ids(path)
+    """The worker's own Ids of a vocabulary, kept from one packing task to the next."""
+    return kept(("ids", path), lambda: Ids(path))
 
 
 def cut(docs: DataFrame, path: str, keep_ids: bool = False, window: int = WINDOW) -> DataFrame:
@@ -218,7 +216,7 @@ def cut(docs: DataFrame, path: str, keep_ids: bool = False, window: int = WINDOW
                     out["ids"].append(piece.tolist())
         return out
 
-    return map_rows(docs, ["doc_id", "text"], run, schema, size=8192, text_bytes=4 << 20)
+    return map_rows(docs, ["doc_id", "text"], run, schema, size=8192, text_bytes=4 << 20, key=("ids", path))
 
 
 def best_fit(lengths: np.ndarray, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray]:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, LongType, StructField, StructType
 
-from quire.llm.common import map_rows, parts
+from quire.llm.common import map_rows, parts, worker_task
 from quire.llm.components import components
 from quire.session import written
 
@@ -246,7 +246,7 @@ def first_paths(nodes: DataFrame, similarity: float, runs: int, done: int = 0) -
                 marks = _binary(sketch(values))
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), part.column(0).take(take), part.column(2).take(take), marks.take(take)], names=[f.name for f in PATHS])
 
-    return nodes.select("node", "hashes", "leader").mapInArrow(run, PATHS)
+    return nodes.select("node", "hashes", "leader").mapInArrow(worker_task(run), PATHS)
 
 
 def next_paths(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFrame:
@@ -261,7 +261,7 @@ def next_paths(rows: DataFrame, nodes: DataFrame, similarity: float) -> DataFram
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([pa.array(paths.view(np.int64)), *(part.column(i).take(take) for i in (1, 2, 3))], names=[f.name for f in PATHS])
 
-    return rows.join(nodes.select("node", "hashes"), "node").select("path", "node", "leader", "sketch", "hashes").mapInArrow(run, PATHS)
+    return rows.join(nodes.select("node", "hashes"), "node").select("path", "node", "leader", "sketch", "hashes").mapInArrow(worker_task(run), PATHS)
 
 
 EDGES = StructType([StructField("a", BinaryType()), StructField("b", BinaryType())])
@@ -329,7 +329,7 @@ def small_edges(rows: DataFrame, similarity: float) -> DataFrame:
         if pairs := {(min(nodes[i], nodes[j]), max(nodes[i], nodes[j])) for i, j in zip(left, right) if nodes[i] != nodes[j]}:
             yield _edges(pairs)
 
-    return rows.repartition("path").sortWithinPartitions("path").select("path", "node", "sketch").mapInArrow(run, EDGES)
+    return rows.repartition("path").sortWithinPartitions("path").select("path", "node", "sketch").mapInArrow(worker_task(run), EDGES)
 
 
 LED = StructType([*PATHS, StructField("lead", BinaryType()), StructField("apart", LongType())])
@@ -345,7 +345,7 @@ def led(large: DataFrame) -> DataFrame:
                 own, first = (np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for i in (3, 5))
                 yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(5)), pa.array(unlike(own, first))], names=[f.name for f in LED])
 
-    return large.join(least, "path").select("path", "node", "leader", "sketch", F.col("least.node").alias("lead"), F.col("least.sketch").alias("first")).mapInArrow(run, LED)
+    return large.join(least, "path").select("path", "node", "leader", "sketch", F.col("least.node").alias("lead"), F.col("least.sketch").alias("first")).mapInArrow(worker_task(run), LED)
 
 
 def open_rows(found: DataFrame, most: int) -> DataFrame:
@@ -503,7 +503,7 @@ def exact_links(groups: DataFrame, similarity: float) -> DataFrame:
         if found:
             yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.binary()), pa.array([v[0] for v in found.values()], pa.int64()), pa.array([v[1] for v in found.values()], pa.list_(pa.binary()))], names=["node", "links", "to"])
 
-    return dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(run, LINKS)
+    return dealt.repartition("group", "one", "two").sortWithinPartitions("group", "one", "two").mapInArrow(worker_task(run), LINKS)
 
 
 def join(docs: DataFrame, similarity: float = 0.8) -> DataFrame:
@@ -541,7 +541,7 @@ def with_nodes(docs: DataFrame) -> DataFrame:
                 keys = pa.array([set_key(s) for s in shingle_sets(part.column(at).to_pylist())], pa.binary())
                 yield pa.RecordBatch.from_arrays([*part.columns, keys], names=[f.name for f in schema])
 
-    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(names)]).mapInArrow(worker_task(run), schema)
 
 
 def stage(docs: DataFrame, similarity: float = 0.8) -> DataFrame:

@@ -6,6 +6,8 @@ import os
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -41,11 +43,33 @@ def _own_dir(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/quire/{spark.sparkContext.applicationId}"
 
 
+#: Bytes of the Arrow batches that go to Python workers while a table is written; a longer row goes alone.
+BATCH_BYTES = 4 << 20
+BATCH_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def _small_batches(spark: SparkSession) -> Iterator[None]:
+    """Plans made meanwhile have Arrow batches of about BATCH_BYTES, unless the session sets its own bound.
+
+    Spark's 10,000 rows of texts are 35 MB or more, held in whole by the executor, which doubles its buffer up to that, and by
+    the worker."""
+    own = spark.conf.get(BATCH_CONF, None) is not None
+    if not own:
+        spark.conf.set(BATCH_CONF, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if not own:
+            spark.conf.unset(BATCH_CONF)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """df as a Parquet table in the shared folder: cuts lineage and outlives lost executors."""
     spark = df.sparkSession
     path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with _small_batches(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -8,11 +8,14 @@ from collections import Counter
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from quire.llm import op1_html, op2_suffix, op3_pii, op4_langid, op5_packing, op6_jpeg, op7_jaccard, op8_toxicity, op9_quality, op10_mixing, queries
-from quire.session import written
+from quire.llm.common import map_rows
+from quire.session import BATCH_CONF, written
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -917,6 +920,42 @@ def test_mixed_documents_hold_the_words_taken(spark, sf_dir):
 # pipeline --------------------------------------------------------------------------------------------------------
 
 
+def test_workers_let_the_tokenizer_go_when_other_tasks_come(spark):
+    docs = spark.range(64).selectExpr("id AS doc_id", "concat('word', id, ' and more') AS text").repartition(8)
+
+    def held(ids):
+        import gc
+
+        return {"n": [sum(type(x).__name__ == "Ids" for x in gc.get_objects())] * len(ids)}
+
+    def most():
+        return max(r["n"] for r in map_rows(docs, ["doc_id"], held, StructType([StructField("n", LongType())])).collect())
+
+    written(op5_packing.query(docs), "tokens")
+    assert most() == 0
+    one, two = (written(op5_packing.query(docs), "tokens").count() for _ in range(2))
+    assert one == two == 64
+
+
+def test_written_tables_send_bounded_batches_to_workers(spark):
+    def run(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"rows": [batch.num_rows], "bytes": [batch.nbytes]})
+
+    docs = spark.range(0, 200, 1, 1).selectExpr("repeat('x', 100000) AS text")  # 20 MB in one task
+    got = written(docs.mapInArrow(run, "rows long, bytes long"), "batches").collect()
+    assert sum(r["rows"] for r in got) == 200 and max(r["bytes"] for r in got) < 5 << 20
+    # the session's own setting is as it was, and holds where there is one
+    assert spark.conf.get(BATCH_CONF, None) is None
+    spark.conf.set(BATCH_CONF, str(2 << 20))
+    try:
+        got = written(docs.mapInArrow(run, "rows long, bytes long"), "batches").collect()
+        assert sum(r["rows"] for r in got) == 200 and max(r["bytes"] for r in got) < 3 << 20
+        assert spark.conf.get(BATCH_CONF) == str(2 << 20)
+    finally:
+        spark.conf.unset(BATCH_CONF)
+
+
 def test_pipeline_by_stages(spark, sf_dir):
     import corpus_pipeline
 
